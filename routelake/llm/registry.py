@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, packing, quality
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES = {
