@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality
+from . import counts, mixing, packing, quality, wavelet
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_token_counts": counts.op9_token_counts,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
