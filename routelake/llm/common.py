@@ -46,6 +46,18 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def put(folder: str, name: str, data: bytes) -> None:
+    """Writes a whole file under its last name only: a repeated task attempt replaces it by the same bytes."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    part = f"{path}/_{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    store.move(part, f"{path}/{name}")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application."""
     sc = spark.sparkContext

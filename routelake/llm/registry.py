@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import counts, mixing, packing, quality, wavelet
+from . import counts, mixing, packing, quality, warc, wavelet
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
+    "op5_warc": warc.op5_warc,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": counts.op9_token_counts,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op8_quality_rules": quality.ORACLE,
 }

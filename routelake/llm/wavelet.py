@@ -8,7 +8,6 @@ before it), then the blocks of all planes, each compressed by itself if that mak
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, read, ship
+from .common import new_path, put, read, ship
 from .units import crc, encoder, slices
 
 MAGIC = b"RLWMAT01"
@@ -162,18 +161,6 @@ class Shard:
         return value
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Writes a whole file under its last name only: a repeated task attempt replaces it by the same bytes."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    part = f"{path}/_{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, f"{path}/{name}")
-
-
 MANIFEST = "part int, shard int, name string, n_docs long, n_ids long"
 
 
@@ -197,7 +184,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard
             nonlocal doc_ids, lens, ids, k
             name = f"{part:08d}-{k:06d}.wm"
             every, lengths = np.concatenate(ids), np.concatenate(lens)
-            _put(folder, name, encode_shard(every, doc_ids, lengths))
+            put(folder, name, encode_shard(every, doc_ids, lengths))
             row = pa.RecordBatch.from_pylist([{"part": part, "shard": k, "name": name, "n_docs": len(doc_ids), "n_ids": len(every)}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             doc_ids, lens, ids, k = [], [], [], k + 1
             return row
