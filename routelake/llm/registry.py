@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import counts, mixing, packing, quality, warc, wavelet
+from . import counts, mixing, neighbours, packing, quality, warc, wavelet
 
 QUERIES = {
+    "op1_ann": neighbours.op1_ann,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
