@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, mixing, neighbours, packing, quality, warc, wavelet
+from . import counts, mixing, neighbours, packing, quality, suffixes, warc, wavelet
 
 QUERIES = {
     "op1_ann": neighbours.op1_ann,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
     "op5_warc": warc.op5_warc,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": counts.op9_token_counts,
 }
