@@ -16,11 +16,11 @@ from __future__ import annotations
 import pickle
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import n_partitions, read, ship
+from .parcels import PARCEL, bucket_of, held_by_several, mix, pack_names, parcels, squeeze, unpack_names, unsqueeze
 
 GRAM = 20
 #: Bytes of a block at least, and blocks at most.
@@ -30,14 +30,6 @@ CHUNK, ORDERED = 1 << 17, 100_000
 NO_DOC = np.iinfo(np.int64).max
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unsqueeze(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-
-
 def _least(a: np.ndarray, n: int) -> np.ndarray:
     """Least of a[i:i+n] at each i, as far as a goes."""
     out, w = a.copy(), 1
@@ -93,37 +85,15 @@ def _chosen(text: np.ndarray, left: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(most == h)
 
 
-_SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def _mix(words: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of unsigned words."""
-    h = np.zeros(len(words), np.uint64)
-    for k in range(words.shape[1]):
-        h = (h ^ words[:, k].astype(np.uint64)) * _SALT[k % len(_SALT)]
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
 def names(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """48-bit names of the GRAM-byte strings at these places."""
     out = np.empty(len(at), np.uint64)
     view = np.lib.stride_tricks.sliding_window_view(buf, GRAM)
     for a in range(0, len(at), 1 << 16):
-        out[a : a + (1 << 16)] = _mix(np.ascontiguousarray(view[at[a : a + (1 << 16)]]).view("<u4"))
+        out[a : a + (1 << 16)] = mix(np.ascontiguousarray(view[at[a : a + (1 << 16)]]).view("<u4"))
     return out >> np.uint64(16)
 
 
-def _pack_names(sorted_names: np.ndarray) -> np.ndarray:
-    steps = np.diff(sorted_names, prepend=np.uint64(0))
-    return steps.astype(np.uint32) if not len(steps) or steps.max() < 1 << 32 else steps
-
-
-def _unpack_names(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
-
-
 class Block:
     """Texts of a block in one buffer, in a fixed order, with their anchors."""
 
@@ -165,7 +135,7 @@ def same_rows(name: np.ndarray, around: np.ndarray, before: np.ndarray, after: n
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     short = -around.shape[1] % 4
     words = np.pad(around, ((0, 0), (0, short))) if short else around
-    mixed = _mix(np.column_stack([np.ascontiguousarray(words).view("<u4"), before.astype(np.uint32), after.astype(np.uint32)]))
+    mixed = mix(np.column_stack([np.ascontiguousarray(words).view("<u4"), before.astype(np.uint32), after.astype(np.uint32)]))
     order = np.lexsort((mixed, name))
     a, b = order[1:], order[:-1]
     same = (name[a] == name[b]) & (mixed[a] == mixed[b])
@@ -215,13 +185,6 @@ def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, afte
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, shifts, firsts))
 
 
-PARCEL = "to int, origin int, payload binary"
-
-
-def _parcels(to: list, origin: list, payload: list) -> pa.Table:
-    return pa.table([pa.array(to, pa.int32()), pa.array(origin, pa.int32()), pa.array(payload, pa.binary())], ["to", "origin", "payload"])
-
-
 def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
     """Removes every byte that a string of span bytes covers which also starts in a document with a smaller doc_id.
 
@@ -239,9 +202,6 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
     buckets = n_partitions(spark)
     blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
 
-    def bucket_of(name: np.ndarray) -> np.ndarray:
-        return ((name >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
     def offer(table: pa.Table) -> pa.Table:
         block = Block(table, span)
         order = np.lexsort((block.docs[block.of], block.names))
@@ -249,37 +209,23 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(name)) - 1
         several, name = doc[first] != doc[last], name[first]
-        cut = np.searchsorted(bucket_of(name), np.arange(buckets + 1))
+        cut = np.searchsorted(bucket_of(name, buckets), np.arange(buckets + 1))
         parts = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        return _parcels([k for k, _, _ in parts], [table["block"][0].as_py()] * len(parts), [squeeze(_pack_names(name[a:b]), np.packbits(several[a:b])) for _, a, b in parts])
-
-    def shared(table: pa.Table) -> pa.Table:
-        origin, found = table["origin"].to_pylist(), [unsqueeze(p) for p in table["payload"].to_pylist()]
-        name = [_unpack_names(f[0]) for f in found]
-        several = np.concatenate([np.unpackbits(f[1], count=len(n)).astype(bool) for f, n in zip(found, name, strict=True)])
-        every = np.concatenate(name)
-        _, group, n = np.unique(every, return_inverse=True, return_counts=True)
-        yes = n > 1
-        yes[group[several]] = True
-        answers, at = [], 0
-        for one in name:
-            answers.append(squeeze(_pack_names(one[yes[group[at : at + len(one)]]])))
-            at += len(one)
-        return _parcels(origin, table["to"].to_pylist(), answers)
+        return parcels([k for k, _, _ in parts], [table["block"][0].as_py()] * len(parts), [squeeze(pack_names(name[a:b]), np.packbits(several[a:b])) for _, a, b in parts])
 
     def ask(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
-            return _parcels([], [], [])
+            return parcels([], [], [])
         block = Block(docs_, span)
         held = block.surroundings(_answered(answers))
         least, most = _ends(block, held)
-        cut = np.searchsorted(bucket_of(held["name"]), np.arange(buckets + 1))
+        cut = np.searchsorted(bucket_of(held["name"], buckets), np.arange(buckets + 1))
         parts = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        rows = [squeeze(np.array([a]), _pack_names(held["name"][a:b]), held["around"][a:b], held["before"][a:b].astype(np.uint8), held["after"][a:b].astype(np.uint8), least[a:b], most[a:b]) for _, a, b in parts]
-        return _parcels([k for k, _, _ in parts], [docs_["block"][0].as_py()] * len(parts), rows)
+        rows = [squeeze(np.array([a]), pack_names(held["name"][a:b]), held["around"][a:b], held["before"][a:b].astype(np.uint8), held["after"][a:b].astype(np.uint8), least[a:b], most[a:b]) for _, a, b in parts]
+        return parcels([k for k, _, _ in parts], [docs_["block"][0].as_py()] * len(parts), rows)
 
     def _answered(answers: pa.Table) -> np.ndarray:
-        return np.unique(np.concatenate([_unpack_names(unsqueeze(p)[0]) for p in answers["payload"].to_pylist()]))
+        return np.unique(np.concatenate([unpack_names(unsqueeze(p)[0]) for p in answers["payload"].to_pylist()]))
 
     def _ends(block: Block, held: dict) -> tuple[np.ndarray, np.ndarray]:
         doc, n = block.docs[held["of"]], len(held["name"])
@@ -293,7 +239,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         sizes = [len(f[1]) for f in found]
         offset = np.repeat([f[0][0] for f in found], sizes) + np.concatenate([np.arange(n) for n in sizes])
         sender = np.repeat(np.arange(len(found)), sizes)
-        name = np.concatenate([_unpack_names(f[1]) for f in found])
+        name = np.concatenate([unpack_names(f[1]) for f in found])
         around = np.concatenate([f[2] for f in found])
         before, after = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (3, 4))
         least, most = (np.concatenate([f[k] for f in found]) for k in (5, 6))
@@ -327,7 +273,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         pick, member = pick[useful], member[useful]
         cuts = np.searchsorted(sender[member], np.arange(len(found) + 1))
         answers = [squeeze(offset[member[a:b]].astype(np.int32), lo[pick[a:b]].astype(np.uint8), hi[pick[a:b]].astype(np.uint8), who[pick[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return _parcels(origin, table["to"].to_pylist(), answers)
+        return parcels(origin, table["to"].to_pylist(), answers)
 
     def cut(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows:
@@ -336,7 +282,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         payloads = [(unsqueeze(p), o) for p, o, kind in zip(answers["payload"].to_pylist(), answers["origin"].to_pylist(), answers["kind"].to_pylist(), strict=True) if kind == 1]
         marks = np.zeros(len(block.buf) + 1, np.int32)
         if payloads:
-            shared_names = np.unique(np.concatenate([_unpack_names(unsqueeze(p)[0]) for p, kind in zip(answers["payload"].to_pylist(), answers["kind"].to_pylist(), strict=True) if kind == 0]))
+            shared_names = np.unique(np.concatenate([unpack_names(unsqueeze(p)[0]) for p, kind in zip(answers["payload"].to_pylist(), answers["kind"].to_pylist(), strict=True) if kind == 0]))
             held = block.surroundings(shared_names)
             by = np.argsort(held["group"], kind="stable")
             n_groups = len(held["name"])
@@ -356,7 +302,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
     both = lambda first, second: first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)))
     by_block = lambda df: df.groupBy("block")
     offers = by_block(blocked).applyInArrow(offer, PARCEL)
-    answers = offers.groupBy("to").applyInArrow(shared, PARCEL)
+    answers = offers.groupBy("to").applyInArrow(held_by_several, PARCEL)
     asks = by_block(blocked).cogroup(answers.groupBy("to")).applyInArrow(ask, PARCEL)
     orders = asks.groupBy("to").applyInArrow(order, PARCEL)
     return by_block(blocked).cogroup(both(answers, orders).groupBy("to")).applyInArrow(cut, OUT_SQL)
