@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, mixing, neighbours, packing, quality, suffixes, warc, wavelet
+from . import counts, jaccard, mixing, neighbours, packing, quality, suffixes, warc, wavelet
 
 QUERIES = {
     "op1_ann": neighbours.op1_ann,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": counts.op9_token_counts,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
