@@ -11,25 +11,34 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Units held by a worker's cache.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000
 #: Texts handled at a time.
 SLICE = 256
 #: A byte-level pre-tokenizer starts a new piece at a single space between two other characters, always.
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Between a letter and one of these marks both kinds of pre-tokenizers cut, whatever stands around.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|"
+#: For texts whose white space is single spaces and newlines between other characters: words, runs of marks, newlines, or
+#: else all up to the next of those.
+_PLAIN_BYTE = re.compile(rf" ?[{_LETTER}]+(?=[ \n{_MARK}]|\Z)| ?[{_MARK}]+(?=[ \n{_LETTER}]|\Z)|\n| ?[^ \n]+")
+_PLAIN_WORD = re.compile(rf"[{_LETTER}]+(?=[ \n{_MARK}]|\Z)|[{_MARK}]+(?=[ \n{_LETTER}]|\Z)|[^ \n]+")
 
 
 class _Index(dict):
+    """Numbers units as they are met; fresh holds those met since it was last emptied."""
+
     def __init__(self) -> None:
         super().__init__()
-        self.units: list = []
+        self.fresh: list[str] = []
 
-    def __missing__(self, unit) -> int:
-        i = self[unit] = len(self.units)
-        self.units.append(unit)
+    def __missing__(self, unit: str) -> int:
+        i = self[unit] = len(self)
+        self.fresh.append(unit)
         return i
 
 
@@ -50,25 +59,22 @@ def split_rule(path: str) -> str:
     return "whole"
 
 
-def units_of(text: str, rule: str) -> list:
-    """Keys of a text's units; unit_text() turns a key into its text."""
+def units_of(text: str | None, rule: str) -> list[str]:
+    """A text's units in order; with the rule before_space they make up the text."""
     if not text:
         return []
     if rule == "before_space":
-        parts = _SPACE_BETWEEN.split(text)
-        parts[0] = parts[0].encode("utf-8", "surrogatepass")  # the first has no space before it: bytes tell it apart
-        return parts
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or not text.replace("\n", "").isprintable():
+            first, *rest = _SPACE_BETWEEN.split(text)
+            return [first, *(" " + x for x in rest)]
+        return _PLAIN_BYTE.findall(text)
     if rule == "at_space":
-        return text.encode("utf-8", "surrogatepass").split()
+        if not text.replace("\n", "").isprintable():
+            return [x.decode("utf-8", "surrogatepass") for x in text.encode("utf-8", "surrogatepass").split()]
+        return _PLAIN_WORD.findall(text)
     return [text]
 
 
-def unit_text(key, rule: str) -> str:
-    if isinstance(key, bytes):
-        return key.decode("utf-8", "surrogatepass")
-    return " " + key if rule == "before_space" else key
-
-
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -86,15 +92,15 @@ class Encoder:
 
     def reset(self) -> None:
         self.index, self.done = _Index(), 0
-        self.flat, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _learn(self) -> None:
-        fresh = self.index.units[self.done :]
+        fresh, self.index.fresh = self.index.fresh, []
         for at in range(0, len(fresh), 4096):
-            found = [e.ids for e in self.tok.encode_batch_fast([unit_text(u, self.rule) for u in fresh[at : at + 4096]], add_special_tokens=False)]
+            found = [e.ids for e in self.tok.encode_batch_fast(fresh[at : at + 4096], add_special_tokens=False)]
             lens = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for f in found for i in f), np.uint32, int(lens.sum()))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))
             self.flat = _room(self.flat, self.used + len(ids))
             self.starts, self.lens = _room(self.starts, self.done + len(lens)), _room(self.lens, self.done + len(lens))
             self.flat[self.used : self.used + len(ids)] = ids
@@ -107,16 +113,17 @@ class Encoder:
         """All ids of the texts in a row (null: none), with end_id after each text, and where each text starts, with the end."""
         if len(self.index) > CACHE_UNITS:
             self.reset()
-        get, rule = self.index.__getitem__, self.rule
-        picked = [list(map(get, units_of(t, rule))) if t else [] for t in texts]
+        get, rule, at, n_units = self.index.__getitem__, self.rule, [], [0]
+        for t in texts:
+            at.extend(map(get, units_of(t, rule)))
+            n_units.append(len(at))
         self._learn()
-        n_units = np.fromiter(map(len, picked), np.int64, len(picked))
-        at = np.fromiter((i for p in picked for i in p), np.int64, int(n_units.sum()))
+        at = np.array(at, np.int64)
         lens = self.lens[at]
-        ends = np.cumsum(lens)
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_units)])]
+        bounds = np.concatenate([[0], ends])[n_units]
         if end_id is not None:
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
