@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, jaccard, mixing, neighbours, packing, quality, suffixes, warc, wavelet
+from . import chaining, counts, jaccard, mixing, neighbours, packing, quality, suffixes, warc, wavelet
 
 QUERIES = {
     "op1_ann": neighbours.op1_ann,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
     "op5_warc": warc.op5_warc,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
+    "op7_substring_dedup": chaining.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": counts.op9_token_counts,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
