@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, read
+from .common import materialize, n_words, read, words
 
 #: Hash buckets of a source; the cut of a source falls into one of them, so that no source is sorted as a whole.
 BUCKET_HEX_DIGITS = 3
@@ -35,17 +35,19 @@ def water_fill(sources: DataFrame, share: float, max_epochs: int) -> DataFrame:
     return df.withColumn("target", target)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", key: str | None = None) -> DataFrame:
     """Words that a mix takes of every document.
 
-    docs: doc_id, text, source; other columns are ignored. Result: doc_id, size (words), source_size, target (words the
+    docs: doc_id, text, source; other columns are ignored, but for key, which is returned too. Result: doc_id, size (words), source_size, target (words the
     source should give), taken (words the mix takes of the document, repeats counted).
     Sources by code point, null last (an empty name is a name of its own), weigh `weights`, repeating. Every document is
     taken whole as often as target holds its source's size; of the rest, documents are taken whole in order of a
     seeded hash up to the cut, and the document at the cut in part. So taken sums to target, rounded, exactly.
     Null or blank text: size 0, nothing taken. Null doc_id and repeated rows: documents of their own. No rows: no rows.
     """
+    carried = [F.col(f"`{key}`").alias("_key")] if key else []
     sized = docs.select(
+        *carried,
         F.col("doc_id"),
         n_words(F.col("text")).alias("size"),
         F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit(""))).alias("skey"),
@@ -70,10 +72,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return (
         sized.join(offsets, ["skey", "bucket"])
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), cut)))
-        .select("doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size") + F.col("part")).alias("taken"))
+        .select(*([F.col("_key").alias(key)] if key else []), "doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size") + F.col("part")).alias("taken"))
     )
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them; the one at a source's cut is also there with its first words alone.
+
+    All columns stay; n_chars, if there, follows the text. docs must give the same rows in the same order when it is
+    read again, as written tables do.
+    """
+    row = "_row"
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    taken = mix(keyed, key=row, **how).where("taken > 0").select(F.col(row), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    copies = F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))
+    df = keyed.join(taken, row).withColumn("_copy", F.explode(copies))
+    cut = F.col("_copy") > whole
+    df = df.withColumn("text", F.when(cut, F.array_join(F.slice(words(F.col("text")), F.lit(1), part), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return df.select(*docs.columns)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
