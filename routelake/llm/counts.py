@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import n_partitions, read, ship
-from .units import _Index, load, slices, split_rule, unit_text, units_of
+from .units import _Index, load, slices, split_rule, units_of
 
 #: Documents and units of a block of postings at most.
 BLOCK_DOCS, BLOCK_UNITS = 60_000, 4_000_000
@@ -21,18 +22,8 @@ HELD_SUMS = 4_000_000
 INFO_ROWS = 8192
 
 POSTINGS = pa.schema([("key", pa.binary()), ("p", pa.binary())])
-UNIT, HEAD, INFO = b"\x01", b"\x02", b"\x03"
-
-
-def _key(unit) -> bytes:
-    """A unit's text behind a mark that says whether a space before it is left out."""
-    return HEAD + unit if isinstance(unit, bytes) else UNIT + unit.encode("utf-8", "surrogatepass")
-
-
-def _text(key: bytes, rule: str) -> str:
-    if rule == "at_space" or key[:1] == HEAD:
-        return unit_text(key[1:], rule)
-    return unit_text(key[1:].decode("utf-8", "surrogatepass"), rule)
+#: Marks of keys: a unit's text, or a row of block information.
+UNIT, INFO = b"\x01", b"\x02"
 
 
 def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -59,7 +50,7 @@ def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list
     place = _ragged(starts + 8, 2 * n)
     data[place] = doc.view(np.uint8)
     data[_ragged(starts + 8 + 2 * n, n)] = count
-    keys = pa.array([_key(u) for u in units], pa.binary())
+    keys = pa.array([UNIT + u.encode("utf-8", "surrogatepass") for u in units], pa.binary())
     bounds = np.concatenate([[0], ends]).astype(np.int32)
     out = pa.record_batch([keys, pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(bounds), pa.py_buffer(data)])], schema=POSTINGS)
     for k in range(0, out.num_rows, 50_000):
@@ -77,45 +68,42 @@ def _postings(batches: Iterator[pa.RecordBatch], rule: str) -> Iterator[pa.Recor
     index, at, docs, info, held = _Index(), [], [], [], 0
     for b in slices(batches, 64):
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = list(map(index.__getitem__, units_of(text, rule))) if text else []
+            found = list(map(index.__getitem__, units_of(text, rule)))
             if found:
                 at.append(np.array(found, np.int64))
                 docs.append(np.full(len(found), len(info), np.int64))
             info.append((doc_id, len(text.encode("utf-8", "surrogatepass")) if text else 0))
             held += len(found)
             if held >= BLOCK_UNITS or len(info) >= BLOCK_DOCS:
-                yield from _flush(part << 24 | k, index.units, np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info)
+                yield from _flush(part << 24 | k, list(index), np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info)
                 index, at, docs, info, held, k = _Index(), [], [], [], 0, k + 1
     if info:
-        yield from _flush(part << 24 | k, index.units, np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info)
+        yield from _flush(part << 24 | k, list(index), np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info)
 
 
-SUMS = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("tokens", pa.int64())])
+PARTS = pa.schema([("block", pa.int64()), ("info", pa.bool_()), ("payload", pa.binary())])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, p, pieces) -> partial sums per document, and document rows."""
+    """Rows (key, p, pieces) -> a row per block with partial sums of its documents, and the blocks' document rows."""
     held_keys, held_sums, held = [], [], 0
 
-    def sums() -> pa.RecordBatch:
-        nonlocal held_keys, held_sums, held
+    def add_up() -> tuple[np.ndarray, np.ndarray]:
         keys, inverse = np.unique(np.concatenate(held_keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(held_sums)).astype(np.int64)
-        held_keys, held_sums, held = [keys], [total], len(keys)
-        return keys, total
+        return keys, np.bincount(inverse, weights=np.concatenate(held_sums)).astype(np.int64)
 
     def rows(keys: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-        nothing = pa.nulls(len(keys), pa.int64())
-        return pa.record_batch([pa.array(keys >> 16), pa.array(keys & 0xFFFF), nothing, nothing, pa.array(total)], schema=SUMS)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys >> 16)) + 1, [len(keys)]])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        payload = [squeeze((keys[a:b] & 0xFFFF).astype("<u2").tobytes() + total[a:b].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.record_batch([pa.array(keys[cuts[:-1]] >> 16), pa.array([False] * len(payload)), pa.array(payload, pa.binary())], schema=PARTS)
 
     for b in batches:
         pieces = b.column("pieces")
         units = b.filter(pieces.is_valid())
-        for p in b.filter(pieces.is_null()).column("p").to_pylist():
-            block, first = np.frombuffer(p[:16], "<i8").tolist()
-            doc, null, size = np.frombuffer(p[16:], "<i8").reshape(3, -1)
-            n = len(doc)
-            yield pa.record_batch([pa.array(np.full(n, block)), pa.array(first + np.arange(n)), pa.array(doc, mask=null.astype(bool)), pa.array(size), pa.array(np.zeros(n, np.int64))], schema=SUMS)
+        info = b.filter(pieces.is_null()).column("p").to_pylist()
+        if info:
+            yield pa.record_batch([pa.array([int(np.frombuffer(p[:8], "<i8")[0]) for p in info], pa.int64()), pa.array([True] * len(info)), pa.array(info, pa.binary())], schema=PARTS)
         if not units.num_rows:
             continue
         p = units.column("p")
@@ -129,12 +117,27 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_sums.append(freq * np.repeat(units.column("pieces").to_numpy(), n))
         held += len(doc)
         if held >= HELD_SUMS:
-            keys, total = sums()
+            keys, total = add_up()
+            held_keys, held_sums, held = [keys], [total], len(keys)
             if held >= HELD_SUMS // 2:
                 yield rows(keys, total)
                 held_keys, held_sums, held = [], [], 0
     if held:
-        yield rows(*sums())
+        yield rows(*add_up())
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The parts of one block -> its documents with their sums."""
+    info = [p for p, kind in zip(table["payload"].to_pylist(), table["info"].to_pylist(), strict=True) if kind]
+    first = [int(np.frombuffer(p[8:16], "<i8")[0]) for p in info]
+    order = sorted(range(len(info)), key=first.__getitem__)
+    doc, null, size = np.concatenate([np.frombuffer(info[k][16:], "<i8").reshape(3, -1) for k in order], 1)
+    total = np.zeros(len(doc), np.int64)
+    inflate = zstandard.ZstdDecompressor().decompress
+    for p in (inflate(p) for p, kind in zip(table["payload"].to_pylist(), table["info"].to_pylist(), strict=True) if not kind):
+        n = len(p) // 10
+        np.add.at(total, np.frombuffer(p, "<u2", n), np.frombuffer(p, "<i8", n, 2 * n))
+    return pa.table([pa.array(doc, mask=null.astype(bool)), pa.array(size), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -145,7 +148,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     Blocks of documents become postings (pre-token -> places in the block and frequencies), dealt by pre-token once;
     both the distinct pre-tokens, whose pieces are counted, and the join back read that exchange. A frequent pre-token
-    has one row per block, which AQE may split. Sums return per document; ids are not kept anywhere.
+    has one row per block, which AQE may split. Sums return as a row per block and task; ids are not kept anywhere.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -158,7 +161,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         tok = load(path)
         for b in batches:
             keys = [k for k in b.column(0).to_pylist() if k[:1] != INFO]
-            texts = [_text(k, rule) for k in keys]
+            texts = [k[1:].decode("utf-8", "surrogatepass") for k in keys]
             n = [len(e.ids) for at in range(0, len(texts), 4096) for e in tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["key", "pieces"])
 
@@ -166,12 +169,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     # max(octet_length(p)) keeps both columns, and no filter on keys stands here, so that both readers share the exchange.
     distinct = dealt.groupBy("key").agg(F.max(F.octet_length("p")).alias("most")).where(F.col("most") >= 0).select("key")
     pieces = distinct.mapInArrow(count, "key binary, pieces long")
-    sums = dealt.join(pieces.hint("merge"), "key", "left").mapInArrow(_expand, "block long, place long, doc_id long, n_bytes long, tokens long")
-    return (
-        sums.groupBy("block", "place")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    parts = dealt.join(pieces.hint("merge"), "key", "left").mapInArrow(_expand, "block long, info boolean, payload binary")
+    sums = parts.groupBy("block").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
+    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
