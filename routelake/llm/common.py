@@ -58,6 +58,17 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
+def get(folder: str, name: str) -> bytes | None:
+    """A file that put() wrote, or None."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+        return None
+    with store.open_input_stream(f"{path}/{name}", compression=None) as f:
+        return f.read()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application."""
     sc = spark.sparkContext

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, put, read, ship
+from .common import get, materialize, new_path, put, read, ship
 
 #: Payload bytes after which an archive is closed and the next begun.
 ARCHIVE_BYTES = 16_000_000
@@ -29,31 +29,46 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """A response record with its HTTP block, or a revisit record with the HTTP headers alone."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+def record_name(page_id: int | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+
+
+def response(page_id: int | None, url: str | None, payload: bytes, sha: str, date: str) -> bytes:
+    """A response record with its HTTP block."""
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {name(page_id)}",
+        "WARC-Type: response",
+        f"WARC-Record-ID: {record_name(page_id)}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {date}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
-    if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}"]
-        if refers_to is not None:
-            head += [f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def revisit(whole: bytes, refers_to: int | None) -> bytes:
+    """The revisit record of a response record: it keeps the HTTP headers alone, and names the page whose payload is the same."""
+    head, block = whole.split(b"\r\n\r\n", 1)
+    block = block[: block.index(b"\r\n\r\n") + 4]
+    lines = []
+    for line in head.split(b"\r\n"):
+        if line == b"WARC-Type: response":
+            line = b"WARC-Type: revisit"
+        elif line.startswith(b"Content-Length: "):
+            line = b"Content-Length: %d" % len(block)
+        lines.append(line)
+    lines.append(f"WARC-Profile: {REVISIT_PROFILE}".encode())
+    if refers_to is not None:
+        lines += [f"WARC-Refers-To: {record_name(refers_to)}".encode(), b"X-Refers-To-Page-Id: %d" % refers_to]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def headers(raw: bytes) -> dict[str, str]:
     pairs = (line.split(":", 1) for line in raw.decode("utf-8").split("\r\n")[1:] if ":" in line)
     return {k.strip().lower(): v.strip() for k, v in pairs}
@@ -98,81 +113,104 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         raise ValueError("an archive ends inside a record")
 
 
-def normalise(data: bytes) -> tuple[bytes, bytes]:
-    """A whole-file gzip archive as one member per record, and its index: a JSON line per record with offset and length."""
+def normalise(data: bytes, revisits: dict[int, int | None]) -> tuple[bytes, bytes]:
+    """A whole-file gzip archive as one member per record, and its index: a JSON line per record with offset and length.
+
+    revisits: place of a record -> the page that holds its payload; those become revisit records.
+    """
     out, index = bytearray(), []
-    for head, _, whole in records(data):
+    for k, (head, _, whole) in enumerate(records(data)):
+        if k in revisits:
+            whole = revisit(whole, revisits[k])
         squeeze = zlib.compressobj(4, zlib.DEFLATED, GZIP)
         member = squeeze.compress(whole) + squeeze.flush()
-        index.append({"offset": len(out), "length": len(member), "type": head["warc-type"], "uri": head["warc-target-uri"], "digest": head["warc-payload-digest"], "id": head["warc-record-id"]})
+        index.append({"offset": len(out), "length": len(member), "type": "revisit" if k in revisits else "response", "uri": head["warc-target-uri"], "digest": head["warc-payload-digest"], "id": head["warc-record-id"]})
         out += member
     return bytes(out), "".join(json.dumps(x) + "\n" for x in index).encode()
 
 
-def assign(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, revisit, refers_to of each page.
+ROWS = pa.schema([("archive", pa.string()), ("place", pa.int64()), ("page_id", pa.int64()), ("u", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string())])
 
-    Of pages with equal payloads of at least min_bytes, the one with the largest page_id is the response. Null page_ids
-    come before all others; equal ones are told apart by url; rows equal in all are each the response. Only digests,
-    never payloads, are grouped. A payload that many pages share is one row on the other side of the join, and AQE
-    splits its pages.
-    """
-    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
-    mark = F.struct(F.col("page_id"), F.coalesce(F.xxhash64("url"), F.lit(0)).alias("u"))
-    shared = base.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max(mark).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    joined = base.join(shared, "sha", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(mark)
-    return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
 
+def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Writes every page as a response record, in archives that are one gzip stream each, and returns what stands where.
 
-def write_archives(assigned: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes the records as archives that are one gzip stream each; tasks roll archives by size and hold one at a time."""
-    spark = assigned.sparkSession
+    Tasks write the pages that they read, roll archives by size and hold one at a time; no payload is shuffled.
+    """
+    spark = pages.sparkSession
     ship(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, size, n = TaskContext.get().partitionId(), 0, 0, 0
+        part, k, size, rows = TaskContext.get().partitionId(), 0, 0, []
         squeeze, out = zlib.compressobj(1, zlib.DEFLATED, GZIP), bytearray()
 
         def close() -> pa.RecordBatch:
-            nonlocal squeeze, out, k, size, n
+            nonlocal squeeze, out, k, size, rows
             out += squeeze.flush()
-            put(folder, f"{part:08d}-{k:06d}.warc.gz", bytes(out))
-            row = pa.record_batch([pa.array([n], pa.int64())], ["n"])
-            squeeze, out, k, size, n = zlib.compressobj(1, zlib.DEFLATED, GZIP), bytearray(), k + 1, 0, 0
-            return row
+            name = f"{part:08d}-{k:06d}"
+            put(folder, f"{name}.warc.gz", bytes(out))
+            done = pa.RecordBatch.from_pylist([{"archive": name, "place": i, "page_id": p, "u": u, "n_bytes": n, "digest": d} for i, (p, u, n, d) in enumerate(rows)], ROWS)
+            squeeze, out, k, size, rows = zlib.compressobj(1, zlib.DEFLATED, GZIP), bytearray(), k + 1, 0, []
+            return done
 
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 cols = [c.to_pylist() for c in b.slice(at, SLICE).columns]
-                for page_id, url, payload, revisit, refers_to in zip(*cols, strict=True):
-                    out += squeeze.compress(record(page_id, url, payload, refers_to, revisit, date))
-                    size, n = size + len(payload), n + 1
+                for page_id, url, payload, u in zip(*cols, strict=True):
+                    sha = digest(payload)
+                    out += squeeze.compress(response(page_id, url, payload, sha, date))
+                    rows.append((page_id, u, len(payload), sha))
+                    size += len(payload)
                     if size >= ARCHIVE_BYTES:
                         yield close()
-        if n:
+        if rows:
             yield close()
 
-    assigned.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), F.coalesce(F.xxhash64("url"), F.lit(0)).alias("u"))
+    return materialize(base.mapInArrow(write, "archive string, place long, page_id long, u long, n_bytes long, digest string"), "warc-rows")
+
+
+def choose(rows: DataFrame, folder: str, min_bytes: int = 0) -> None:
+    """Writes beside each archive which of its records revisit which page.
+
+    Of records with equal payloads of at least min_bytes, that with the largest page_id is the response (null page_ids
+    come before all others; equal ones are told apart by url; rows equal in all are each the response). Payloads that
+    several records share are one row on the other side of the join, and AQE splits their records.
+    """
+    mark = F.struct(F.col("page_id"), F.col("u"))
+    shared = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max(mark).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = rows.join(shared, "digest").where(~F.col("first").eqNullSafe(mark)).select("archive", "place", F.col("first.page_id").alias("refers_to"))
+
+    def note(table: pa.Table) -> pa.Table:
+        lines = "".join(json.dumps([p, r]) + "\n" for p, r in zip(table["place"].to_pylist(), table["refers_to"].to_pylist(), strict=True))
+        put(folder, table["archive"][0].as_py() + ".revisits", lines.encode())
+        return pa.table([pa.array([table.num_rows], pa.int64())], ["n"])
+
+    again.groupBy("archive").applyInArrow(note, "n long").agg(F.sum("n")).collect()  # one row
 
 
 def normalise_archives(spark: SparkSession, source: str, folder: str) -> None:
     """Rewrites every archive under source with a member per record, and an index beside it."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    files = _archives(spark, source)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 name = b.column(0)[i].as_py()
-                data, index = normalise(b.column(1)[i].as_buffer().to_pybytes())
-                put(folder, name, data)
-                put(folder, name.removesuffix(".warc.gz") + ".cdxj", index)
+                noted = get(source, f"{name}.revisits") or b""
+                data, index = normalise(b.column(1)[i].as_buffer().to_pybytes(), dict(map(json.loads, noted.splitlines())))
+                put(folder, f"{name}.warc.gz", data)
+                put(folder, f"{name}.cdxj", index)
                 yield pa.record_batch([pa.array([len(data)], pa.int64())], ["n"])
 
     files.mapInArrow(rewrite, "n long").agg(F.sum("n")).collect()  # one row
 
 
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.regexp_extract("path", r"([^/]+)\.warc\.gz$", 1).alias("name"), "content")
+
+
 RECORD_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -183,15 +221,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     headers that it repeats.
     """
     ship(spark)
-    stem = F.regexp_extract("path", r"([^/]+)\.(warc\.gz|cdxj)$", 1)
-    files = lambda glob, to: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(stem.alias("stem"), F.col("content").alias(to))
-    both = files("*.warc.gz", "archive").join(files("*.cdxj", "idx"), "stem")
-
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                archive, rows = b.column("archive")[i].as_buffer(), []
-                for line in b.column("idx")[i].as_buffer().to_pybytes().splitlines():
+                archive, rows = b.column(1)[i].as_buffer(), []
+                for line in get(folder, b.column(0)[i].as_py() + ".cdxj").splitlines():
                     at = json.loads(line)
                     head, block, _ = next(records(archive[at["offset"] : at["offset"] + at["length"]].to_pybytes()))
                     top = block.index(b"\r\n\r\n") + 4
@@ -202,7 +236,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append({"page_id": number("x-page-id"), "payload_bytes": size, "payload_digest": sha, "record_type": head["warc-type"], "refers_to": number("x-refers-to-page-id")})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    return both.mapInArrow(parse, RECORD_SQL)
+    return _archives(spark, folder).mapInArrow(parse, RECORD_SQL)
 
 
 def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -213,7 +247,7 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     spark = pages.sparkSession
     put(f"{folder}/archive", "_STARTED", b"")  # the folders exist even where there is nothing to write
     put(f"{folder}/raw", "_STARTED", b"")
-    write_archives(assign(pages, min_bytes), f"{folder}/raw")
+    choose(write_archives(pages, f"{folder}/raw"), f"{folder}/raw", min_bytes)
     normalise_archives(spark, f"{folder}/raw", f"{folder}/archive")
     return read_archives(spark, f"{folder}/archive")
 
