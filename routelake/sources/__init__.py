@@ -1 +1,23 @@
+"""Readers and writers of routing traces, model containers, expert stores, surfaces and plans."""
 
+
+def put_file(path: str, data: bytes) -> None:
+    """Writes a file by its URI or local path, under its last name only when it is whole."""
+    import uuid
+
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    store.move(part, at)
+
+
+def open_file(path: str):
+    """A seekable reader of a file by its URI or local path, and its length."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return store.open_input_file(at), store.get_file_info(at).size

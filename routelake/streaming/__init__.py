@@ -1 +1 @@
-
+"""Caches over streams of accesses."""
