@@ -160,17 +160,21 @@ def fused_dot(name: str, data: bytes, a: np.ndarray) -> float:
 def register(spark) -> None:
     """SQL functions quantize_<name>(array<float>) -> binary and dequantize_<name>(binary, n) -> array<float>, Arrow-batched."""
     for name in BITS:
+        pack, unpack = _udfs(name)
+        spark.udf.register(f"quantize_{name.lower()}", F.pandas_udf(pack, "binary"))
+        spark.udf.register(f"dequantize_{name.lower()}", F.pandas_udf(unpack, "array<float>"))
 
-        def pack(x: pd.Series, name: str = name) -> pd.Series:
-            return x.map(lambda v: quantize(name, np.asarray(v, np.float32)), na_action="ignore")
 
-        def unpack(x: pd.Series, n: pd.Series, name: str = name) -> pd.Series:
-            return pd.Series([None if d is None else dequantize(name, d, int(k)) for d, k in zip(x, n, strict=True)])
+def _udfs(name: str):
+    def pack(x):
+        return x.map(lambda v: quantize(name, np.asarray(v, np.float32)), na_action="ignore")
 
-        pack.__annotations__ = {"x": pd.Series, "return": pd.Series}
-        unpack.__annotations__ = {"x": pd.Series, "n": pd.Series, "return": pd.Series}
-        spark.udf.register(f"quantize_{name.lower()}", F.pandas_udf(pack, "binary"))
-        spark.udf.register(f"dequantize_{name.lower()}", F.pandas_udf(unpack, "array<float>"))
+    def unpack(x, n):
+        return pd.Series([None if d is None else dequantize(name, d, int(k)) for d, k in zip(x, n, strict=True)])
+
+    pack.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    unpack.__annotations__ = {"x": pd.Series, "n": pd.Series, "return": pd.Series}
+    return pack, unpack
 
 
 def roundtrip(values: Column, name: str) -> Column:

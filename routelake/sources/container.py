@@ -235,6 +235,7 @@ class SliceSource(DataSource):
 def slices(spark: SparkSession, path: str, tensor: str = "") -> DataFrame:
     """Slices of the tensors whose name contains `tensor`."""
     spark.dataSource.register(SliceSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # pushFilters needs it
     return spark.read.format("model_slices").option("tensor", tensor).load(path)
 
 
