@@ -207,7 +207,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         order = np.lexsort((block.docs[block.of], block.names))
         name, doc = block.names[order], block.docs[block.of[order]]
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(name)) - 1
+        last = np.append(first[1:], len(name))[: len(first)] - 1
         several, name = doc[first] != doc[last], name[first]
         cut = np.searchsorted(bucket_of(name, buckets), np.arange(buckets + 1))
         parts = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
