@@ -595,3 +595,63 @@ def advise_findings(spark, sf_dir):
     found = advise.trace_findings(derive.trace_wide(spark, sf_dir), layer, LAYERS, EXPERTS, TOP_K, n_tokens(spark, sf_dir), 4 * 15936, 0.7)
     rows = advise.ranked(found).where(F.col("idx").isin(6, 8, 10)).drop("rank")
     return rounded(rows, "metric", "ratio")
+
+
+# Files and streams
+
+
+@query(f"WITH {TRACE_SQL} SELECT * FROM trace")
+def trace_file_round_trip(spark, sf_dir):
+    """The trace written as one binary file and read again by ranges of tokens."""
+    from ..sources import scratch
+    from ..sources import trace as traces
+
+    path = f"{scratch(spark, 'trace')}/t.bin"
+    traces.write(derive.trace(spark, sf_dir), path, LAYERS, EXPERTS, TOP_K, 100)
+    return traces.read(spark, path, 128)
+
+
+@query("SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END)::INT AS ty, 64::BIGINT AS n_weights, (CASE WHEN vec_id % 2 = 0 THEN 36 ELSE 20 END)::BIGINT AS nbytes FROM embeddings WHERE vec_id < 192")
+def store_file_round_trip(spark, sf_dir):
+    """Embeddings quantised as expert slices, written as a store and read again, without payloads."""
+    from ..sources import scratch, store
+
+    vid = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").where("vec_id < 192").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (vid % 3).cast("int")).alias("kind"), F.when(vid % 2 == 0, "Q4").otherwise("Q2").alias("type"), F.col("embedding").alias("weights"))
+    path = f"{scratch(spark, 'store')}/s.bin"
+    store.write(store.quantise(rows), path, 4096, 4)
+    return store.read(spark, path, payload=False).select("layer", "slot", "kind", "ty", "n_weights", "nbytes")
+
+
+@query()
+def repack_round_trip(spark, sf_dir):
+    """A checkpoint repacked by co-activation order and verified: (tensors, permuted, mismatches)."""
+    from ..sources import plan, scratch, synth
+    from ..sources import container
+
+    folder = scratch(spark, "repack")
+    synth.checkpoint(f"{folder}/a", LAYERS, EXPERTS, 64, 64)
+    order = layout.seriation(stats.coactivation(derive.trace_wide(spark, sf_dir)), EXPERTS).orderBy("layer", "slot").collect()  # a row per expert
+    names = [t.name for t in container.parse(f"{folder}/a").tensors]
+    p = plan.Plan("a", "t", [plan.Layer(b, [n for n in names if n.startswith(f"blk.{b}.")], [r["expert"] for r in order if r["layer"] == b]) for b in range(LAYERS)])
+    done = model.repack(f"{folder}/a", p, f"{folder}/b", 4096)
+    bad = model.verify(spark, f"{folder}/a", f"{folder}/b", p)
+    return bad.agg(F.count(F.lit(1)).alias("mismatches")).select(F.lit(done["tensors"]).alias("tensors"), F.lit(done["permuted"]).alias("permuted"), "mismatches")
+
+
+@query(f"{_DIST} SELECT 'users' AS cache, count(*) FILTER (distance < 40) AS hits, count(*) FILTER (distance IS NULL OR distance >= 40) AS misses FROM p LEFT JOIN d USING (seq)")
+def stream_lru(spark, sf_dir):
+    """The access log as a stream through an LRU cache kept in the state store."""
+    import uuid
+
+    from ..sources import scratch
+    from ..streaming import lru
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", lru.PROVIDER)
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    accesses = events.select(F.lit("users").alias("cache"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("user_id").alias("key"))
+    name = f"lru_{uuid.uuid4().hex}"
+    q = lru.lru_stream(accesses, 40).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).groupBy("cache").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))

@@ -21,3 +21,18 @@ def open_file(path: str):
 
     store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     return store.open_input_file(at), store.get_file_info(at).size
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; only local masters may go without it."""
+    import os
+    import tempfile
+    import uuid
+    from pathlib import Path
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = Path(tempfile.gettempdir(), f"routelake-{os.getuid()}").as_uri()
+    return f"{named.rstrip('/')}/routelake/{name}-{uuid.uuid4().hex[:12]}"
