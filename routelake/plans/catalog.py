@@ -652,6 +652,11 @@ def stream_lru(spark, sf_dir):
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     accesses = events.select(F.lit("users").alias("cache"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("user_id").alias("key"))
     name = f"lru_{uuid.uuid4().hex}"
-    q = lru.lru_stream(accesses, 40).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # one cache needs one; each has a state store
+    try:
+        q = lru.lru_stream(accesses, 40).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     q.awaitTermination()
     return spark.table(name).groupBy("cache").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))
