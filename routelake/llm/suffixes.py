@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_partitions, read, ship
+from .common import n_partitions, read, ship, trim
 from .parcels import PARCEL, bucket_of, held_by_several, mix, pack_names, parcels, squeeze, unpack_names, unsqueeze
 
 GRAM = 20
@@ -203,6 +203,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
     blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
 
     def offer(table: pa.Table) -> pa.Table:
+        trim()
         block = Block(table, span)
         order = np.lexsort((block.docs[block.of], block.names))
         name, doc = block.names[order], block.docs[block.of[order]]
@@ -214,6 +215,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         return parcels([k for k, _, _ in parts], [table["block"][0].as_py()] * len(parts), [squeeze(pack_names(name[a:b]), np.packbits(several[a:b])) for _, a, b in parts])
 
     def ask(docs_: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         if not docs_.num_rows or not answers.num_rows:
             return parcels([], [], [])
         block = Block(docs_, span)
@@ -235,6 +237,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         return least, most
 
     def order(table: pa.Table) -> pa.Table:
+        trim()
         origin, found = table["origin"].to_pylist(), [unsqueeze(p) for p in table["payload"].to_pylist()]
         sizes = [len(f[1]) for f in found]
         offset = np.repeat([f[0][0] for f in found], sizes) + np.concatenate([np.arange(n) for n in sizes])
@@ -276,6 +279,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         return parcels(origin, table["to"].to_pylist(), answers)
 
     def cut(docs_: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         if not docs_.num_rows:
             return pa.table({k: [] for k in ("doc_id", "n_bytes", "spans", "kept")}, OUT)
         block = Block(docs_, span)
