@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Units held by a worker's cache.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 800_000
 #: Texts handled at a time.
 SLICE = 256
 #: A byte-level pre-tokenizer starts a new piece at a single space between two other characters, always.
@@ -54,9 +54,15 @@ def split_rule(path: str) -> str:
         return "before_space"
     steps = [n["type"] for n in (norm or {}).get("normalizers", [])]
     parts = (pre or {}).get("pretokenizers") or [{}]
-    if set(steps) <= {"NFC", "Replace", "Lowercase"} and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s" in parts[0]["pattern"].get("Regex", ""):
+    if set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s" in parts[0]["pattern"].get("Regex", ""):
         return "at_space"
     return "whole"
+_ONE_PIECE = {"before_space": re.compile(f" [{_LETTER}]+"), "at_space": re.compile(f"[{_LETTER}]+")}
+
+
+def _plain(text: str) -> bool:
+    """White space is single spaces and newlines between other characters."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ") and text.replace("\n", "").isprintable()
 
 
 def units_of(text: str | None, rule: str) -> list[str]:
@@ -64,17 +70,28 @@ def units_of(text: str | None, rule: str) -> list[str]:
     if not text:
         return []
     if rule == "before_space":
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or not text.replace("\n", "").isprintable():
-            first, *rest = _SPACE_BETWEEN.split(text)
-            return [first, *(" " + x for x in rest)]
-        return _PLAIN_BYTE.findall(text)
+        if _plain(text):
+            return _PLAIN_BYTE.findall(text)
+        first, *rest = _SPACE_BETWEEN.split(text)
+        return [first, *(" " + x for x in rest)]
     if rule == "at_space":
-        if not text.replace("\n", "").isprintable():
-            return [x.decode("utf-8", "surrogatepass") for x in text.encode("utf-8", "surrogatepass").split()]
-        return _PLAIN_WORD.findall(text)
+        if text.replace("\n", "").isprintable():
+            return _PLAIN_WORD.findall(_lowered(text))
+        return [x.decode("utf-8", "surrogatepass") for x in text.encode("utf-8", "surrogatepass").split()]
     return [text]
 
 
+def _lowered(text: str) -> str:
+    """Lower-cases where that surely is what the tokenizer's normalizer does; saves units that differ by case."""
+    if "<|" in text:  # a special string is looked for as it stands
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -85,49 +102,85 @@ def load(path: str):
     return tok
 
 
+class _Ids:
+    """Ids of numbered stretches, one after another."""
+
+    def __init__(self) -> None:
+        self.index = _Index()
+        self.flat, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.flat, self.starts, self.lens = _room(self.flat, self.used + len(ids)), _room(self.starts, self.n + len(lens)), _room(self.lens, self.n + len(lens))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.lens[self.n : self.n + len(lens)] = lens
+        self.used += len(ids)
+        self.n += len(lens)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these stretches in a row, and where each ends."""
+        lens = self.lens[at]
+        ends = np.cumsum(lens, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)], ends
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tok, self.rule = load(path), split_rule(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index, self.done = _Index(), 0
-        self.flat, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.units, self.end = _Ids(), None
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        # Which ids begin or end a piece, by which the ids of many one-piece units can be told apart.
+        self.marks = None
+        if self.rule == "before_space" or self.rule == "at_space" and suffix:
+            vocabulary = self.tok.get_vocab(with_added_tokens=False)
+            self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.marks[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.rule == "before_space" else t.endswith(suffix))]] = True
 
     def _learn(self) -> None:
-        fresh, self.index.fresh = self.index.fresh, []
-        for at in range(0, len(fresh), 4096):
-            found = [e.ids for e in self.tok.encode_batch_fast(fresh[at : at + 4096], add_special_tokens=False)]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))
-            self.flat = _room(self.flat, self.used + len(ids))
-            self.starts, self.lens = _room(self.starts, self.done + len(lens)), _room(self.lens, self.done + len(lens))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.done : self.done + len(lens)] = self.used + np.cumsum(lens) - lens
-            self.lens[self.done : self.done + len(lens)] = lens
-            self.used += len(ids)
-            self.done += len(lens)
+        """Ids of the units met for the first time."""
+        fresh, self.units.index.fresh = self.units.index.fresh, []
+        for k in range(0, len(fresh), 4096):
+            self.units.add(*self._encode(fresh[k : k + 4096]))
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units and how many each has. Words of letters alone are one piece each, and go in one text."""
+        single = np.array([self.marks is not None and _ONE_PIECE[self.rule].fullmatch(u) is not None for u in units], bool)
+        lens = np.zeros(len(units), np.int64)
+        parts: list = [None] * len(units)
+        words = [u for u, yes in zip(units, single.tolist(), strict=True) if yes]
+        if words:
+            ids = np.array(self.tok.encode_batch_fast([("" if self.rule == "before_space" else " ").join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            edge = np.flatnonzero(self.marks[ids])
+            bounds = np.append(edge, len(ids)) if self.rule == "before_space" else np.concatenate([[0], edge + 1])
+            if len(bounds) != len(words) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
+                raise ValueError("the pieces of a text don't agree with its words")
+            for k, a, b in zip(np.flatnonzero(single).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                parts[k] = ids[a:b]
+            lens[single] = np.diff(bounds)
+        rest = np.flatnonzero(~single).tolist()
+        for k, e in zip(rest, self.tok.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            parts[k] = np.array(e.ids, np.uint32)
+            lens[k] = len(parts[k])
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), lens
 
     def encode(self, texts: list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row (null: none), with end_id after each text, and where each text starts, with the end."""
-        if len(self.index) > CACHE_UNITS:
-            self.reset()
-        get, rule, at, n_units = self.index.__getitem__, self.rule, [], [0]
+        if len(self.units.index) > CACHE_UNITS or end_id != self.end or not self.units.n:
+            self.units, self.end = _Ids(), end_id
+            self.units.index[None] = 0  # stands for the end of a text
+            self.units.add(np.array([] if end_id is None else [end_id], np.uint32), np.array([int(end_id is not None)]))
+        units, n_units = [], [0]
         for t in texts:
-            at.extend(map(get, units_of(t, rule)))
-            n_units.append(len(at))
+            units += units_of(t, self.rule)
+            n_units.append(len(units))
+        at = np.fromiter(map(self.units.index.__getitem__, units), np.int64, len(units))
         self._learn()
-        at = np.array(at, np.int64)
-        lens = self.lens[at]
-        ends = np.cumsum(lens, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[n_units]
-        if end_id is not None:
-            ids = np.insert(ids, bounds[1:], np.uint32(end_id))
-            bounds = bounds + np.arange(len(bounds))
-        return ids, bounds
+        n_units = np.array(n_units)
+        ids, ends = self.units.take(np.insert(at, n_units[1:], 0))
+        return ids, np.concatenate([[0], ends])[n_units + np.arange(len(n_units))]
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
