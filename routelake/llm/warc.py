@@ -179,6 +179,7 @@ def choose(rows: DataFrame, folder: str, min_bytes: int = 0) -> None:
     """
     mark = F.struct(F.col("page_id"), F.col("u"))
     shared = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max(mark).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    shared = materialize(shared, "warc-shared")  # joined by an exchange of its own, which lets AQE split a digest
     again = rows.join(shared, "digest").where(~F.col("first").eqNullSafe(mark)).select("archive", "place", F.col("first.page_id").alias("refers_to"))
 
     def note(table: pa.Table) -> pa.Table:
