@@ -12,7 +12,7 @@ from routelake.llm.common import SPACE_CHARS, materialize, read
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs, read(spark, sf_dir, "labels"), whole=True).where("kept").select("_doc.*")
+    return quality.kept_rows(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,12 +20,12 @@ RULES = (
 BROADCAST_ROWS = 20_000
 
 
-def features(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; with whole, also _doc, the row itself."""
+def features(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the column key, if named, as _key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keep = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if whole else []
+    keep = [F.col(f"`{key}`").alias("_key")] if key else []
     df = docs.select("doc_id", "lang", *keep, text.alias("_t"), words(F.col("text")).alias("_w"))
-    keep = ["_doc"] if whole else []
+    keep = ["_key"] if key else []
     grams = F.when(
         F.size("_w") >= 5,
         F.transform(F.sequence(F.lit(0), F.size("_w") - 5), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(5)])),
@@ -93,15 +93,15 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float, delta: float)
     return sure.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name, *_ in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05, whole: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05, key: str | None = None) -> DataFrame:
     """Features of every document, base_failed, and kept (false if base_failed or above a certified threshold of its stratum).
 
     docs: doc_id, text, lang; labels: doc_id, quality, toxic. Null text: no words, so base_failed. Null lang: a stratum of
     its own. Several labels of a document: good only if all say so. Strata without certified cutoffs, and no labels
-    at all: only the base rules reject. Repeated rows are judged alike. Extra columns are ignored; with whole, _doc
-    holds the row with all of them.
+    at all: only the base rules reject. Repeated rows are judged alike. Extra columns are ignored, but for key, which
+    is returned as _key.
     """
-    feats = materialize(features(docs, whole), "quality-features")
+    feats = materialize(features(docs, key), "quality-features")
     cuts = materialize(thresholds(feats, labels, alpha, delta), "quality-cuts")
     bounded = cuts.count() <= BROADCAST_ROWS
     df = feats.withColumn("stratum", stratum(F.col("lang"))).join(F.broadcast(cuts) if bounded else cuts, "stratum", "left")
@@ -111,6 +111,14 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float
     return df.withColumn("kept", ~failed)
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns, that judge keeps. docs must give the same rows in the same order when it is read
+    again, as written tables do."""
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    kept = judge(keyed, labels, key="_row", **how).where("kept").select(F.col("_key").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -211,7 +211,7 @@ def test_quality(spark, docs, rows, none):
         want[(r[0], *f, bad, not bad)] += 1
     assert want == collections.Counter((None if math.isnan(r[0]) else int(r[0]), *r[1:]) for r in got.itertuples(index=False))
     assert quality.judge(none, no_labels).count() == 0
-    whole = quality.judge(docs, no_labels, whole=True).where("kept").select("_doc.*")
+    whole = quality.kept_rows(common.materialize(docs, "t"), no_labels)
     assert whole.columns == docs.columns and whole.count() == got.kept.sum()
 
 
