@@ -348,6 +348,35 @@ def test_passages(docs, rows, none, monkeypatch):
     assert chaining.find_passages(none).count() == 0 and chaining.remove_passages(none).count() == 0
 
 
+def test_passages_of_parts_that_stand_singly_before(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK_BYTES", 2_000)
+    rng = random.Random(12)
+
+    def made(n):
+        return " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.randrange(60)}" for _ in range(n))
+
+    texts = []
+    for sizes in ((45, 45), (25, 30, 25), (20, 15, 20, 15), (49, 9), (40, 5, 40)):
+        parts = [made(n) for n in sizes]
+        texts += [f"{made(12)} {p} {made(12)}" for p in parts]
+        # Joints stand first in documents that hold too little of either side.
+        texts += [f"{made(8)} {' '.join(a.split()[-20:])} {' '.join(b.split()[:20])} {made(9)}" for a, b in zip(parts[:-1], parts[1:], strict=True)]
+        texts += [f"{made(11)} {' '.join(parts)} {made(7)}" for _ in range(3)]
+    got = chaining.find_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    split = [t.split() for t in texts]
+    covered = collections.defaultdict(set)
+    for r in got:
+        assert r["first_doc_id"] < r["doc_id"] and r["identity"] >= 0.8 and r["end_word"] - r["start_word"] >= 50
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    first, repeated = {}, 0
+    for d, w in enumerate(split):
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), d) < d:
+                repeated += 1
+                assert covered[d].issuperset(range(k, k + 50)), (d, k)
+    assert repeated > 100
+
+
 def test_fenwick_chains_against_all_pairs():
     rng = np.random.default_rng(8)
     for _ in range(60):
