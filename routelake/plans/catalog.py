@@ -434,7 +434,17 @@ _SENS = "sens AS (SELECT (vec_id // 16)::INT AS layer, (vec_id % 16)::INT AS exp
 
 
 def _sens(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 64")
+    """The sensitivities of weighted_loss's SQL: of the first 64 embeddings alone."""
+    return _errors(table(spark, sf_dir, "embeddings").where("vec_id < 64"))
+
+
+def _mean_sens(spark, sf_dir):
+    """Mean finite error per layer, expert and precision over all embeddings, dealt by vec_id modulo 64."""
+    e = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.pmod("vec_id", F.lit(LAYERS * EXPERTS)))
+    return allocate.finite(_errors(e)).groupBy("layer", "expert", "ord", "bits").agg(F.avg("error").alias("error"))
+
+
+def _errors(e):
     bits = F.array(F.lit(8.25), F.lit(4.5), F.lit(2.5))
     rows = F.transform(F.slice("embedding", 1, 3), lambda x, i: F.struct(i.alias("ord"), F.get(bits, i).alias("bits"), F.abs(x).cast("double").alias("error")))
     return e.select(F.expr("vec_id div 16").cast("int").alias("layer"), (F.col("vec_id") % 16).cast("int").alias("expert"), F.inline(rows))
@@ -451,7 +461,7 @@ def weighted_loss(spark, sf_dir):
 @query()
 def bit_allocation(spark, sf_dir):
     config = allocate.Config(weights_per_expert=4 << 20, resident_budget=8 * (4 << 20), baseline_bits=8.25, error_budget=("uniform", 4.5), require_protection=False)
-    return allocate.allocate(stats.frequency(derive.trace(spark, sf_dir), EXPERTS), _sens(spark, sf_dir), n_tokens(spark, sf_dir), config)
+    return allocate.allocate(stats.frequency(derive.trace(spark, sf_dir), EXPERTS), _mean_sens(spark, sf_dir), n_tokens(spark, sf_dir), config)
 
 
 # Models
