@@ -46,6 +46,12 @@ def n_tokens(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "embeddings").count()
 
 
+def fit_tokens(spark: SparkSession, sf_dir: str) -> int:
+    """Tokens that predictors are fitted on: half of them, the reference's default. The SQL says 250, half of 500."""
+    n = n_tokens(spark, sf_dir)
+    return max(1, min(n // 2, n - 1))
+
+
 # Traces
 
 
@@ -101,7 +107,7 @@ def mass_in_top_orders(spark, sf_dir):
 
 @query(f"WITH {TRACE_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < 250 GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (2), (4)) t(top) GROUP BY ALL")
 def expert_skew_by_layer(spark, sf_dir):
-    return rounded(predict.skew(derive.trace_wide(spark, sf_dir), 250, [2, 4]), "mass")
+    return rounded(predict.skew(derive.trace_wide(spark, sf_dir), fit_tokens(spark, sf_dir), [2, 4]), "mass")
 
 
 @query(f"{_RANKED} SELECT layer, expert, n, r::INT AS hot_rank FROM h WHERE r <= 4")
@@ -180,7 +186,7 @@ SELECT '{kind}' AS kind, budget, round(avg(hit / 4.0::DOUBLE), {R}) AS recall, r
 
 
 def _predict(spark, sf_dir, kind):
-    return rounded(predict.evaluate(derive.trace_wide(spark, sf_dir), 250, (kind,), [4, 8, 16]), "recall", "precision", "amplification")
+    return rounded(predict.evaluate(derive.trace_wide(spark, sf_dir), fit_tokens(spark, sf_dir), (kind,), [4, 8, 16]), "recall", "precision", "amplification")
 
 
 @query(_predict_sql([], "frequency"))
@@ -338,13 +344,13 @@ def _replay_inputs(spark):
 @query()
 def replay_default(spark, sf_dir):
     sizes, charged = _replay_inputs(spark)
-    return replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, 250, [{"policy": "gdsf", "predictor": "sticky+markov", "budget": 4, "cache_bytes": 12 << 20, "queue_depth": 8}])
+    return replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, fit_tokens(spark, sf_dir), [{"policy": "gdsf", "predictor": "sticky+markov", "budget": 4, "cache_bytes": 12 << 20, "queue_depth": 8}])
 
 
 @query()
 def replay_sweep(spark, sf_dir):
     sizes, charged = _replay_inputs(spark)
-    return replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, 250, replay.sweep_configs(TOP_K, 12 << 20, 8))
+    return replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, fit_tokens(spark, sf_dir), replay.sweep_configs(TOP_K, 12 << 20, 8))
 
 
 # Codecs and allocation

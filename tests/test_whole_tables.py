@@ -22,3 +22,12 @@ def test_bits_are_allocated_by_the_errors_of_all_embeddings(spark, monkeypatch):
             errors[r["vec_id"] % 64 // 16, r["vec_id"] % 16, k].append(abs(r["embedding"][k]))
     got = {(r["layer"], r["expert"], r["ord"]): r["error"] for r in seen[0].collect()}
     assert got == pytest.approx({k: sum(v) / len(v) for k, v in errors.items()})
+
+
+def test_half_of_the_tokens_are_fitted(spark):
+    large = "/root/testdata/sf0.1"
+    n = pq.read_metadata(f"{large}/embeddings.parquet").num_rows
+    assert n > 500
+    scored = {r["budget"]: r["samples"] for r in catalog.predict_sticky(spark, large).collect()}
+    assert set(scored.values()) == {(n - n // 2) * catalog.LAYERS}
+    assert {r["tokens"] for r in catalog.replay_default(spark, large).collect()} == {n - n // 2}
