@@ -1,4 +1,4 @@
-"""Removal of byte strings that an earlier document holds: suffix order, longest previous factors, first copies stay.
+"""Removal of byte strings that an earlier document holds: runs of equal strings in suffix order, first copies stay.
 
 A string of SPAN bytes can stand twice only around an anchor that both places choose alike: the least of the hashed
 GRAM-byte strings in it. So only suffixes at anchors that several documents share are put in suffix order, dealt by
@@ -6,8 +6,9 @@ anchor, and every string of SPAN bytes is still judged exactly, by its bytes.
 
 Blocks of documents pass four steps: (1) each sends its distinct anchors to buckets; (2) a bucket answers which of them
 several documents hold; (3) a block sends the bytes around those, once per distinct surrounding, with its least doc_id;
-a bucket sorts the suffixes and answers, for every place, the least document that holds the same SPAN bytes, by previous
-and next smaller documents in suffix order; (4) a block marks what an earlier document holds. A string that a third of all
+a bucket sorts the suffixes by their first SPAN bytes and answers, for every place, the least document of its run of equal
+strings; longest previous factors, previous and next smaller places are not computed, as the result asks only whether an
+earlier document holds the same SPAN bytes; (4) a block marks what an earlier document holds. A string that a third of all
 documents share is one row per block in each step. The blocked texts are shuffled once and read three times.
 """
 
@@ -151,8 +152,8 @@ def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, afte
     """Per suffix in these surroundings: its row, its place before the anchor, and the least document with the same span bytes.
 
     Suffixes are put in order by their first span bytes. In that order, those with a longest common prefix of span or
-    more stand together, and a suffix has a previous factor of that length if a smaller document stands before or after
-    it in its run; the run's least document is the end of both chains of smaller ones.
+    more stand together, and a suffix has a previous factor of that length if its run holds a smaller document. So the
+    run's least document is taken; neither prefix lengths nor previous and next smaller documents are computed.
     """
     wing = span - GRAM
     words = np.lib.stride_tricks.sliding_window_view(around, 8, axis=1)
