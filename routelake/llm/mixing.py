@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, n_words, read, words
 
-#: Hash buckets of a source; the cut of a source falls into one of them, so that no source is sorted as a whole.
-BUCKET_HEX_DIGITS = 3
+#: Hex digits of the seeded hash by which a source is narrowed down to its cut: sums per first digits, then per next ones.
+DIGITS = 3
+#: The most sources whose cuts are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: int) -> DataFrame:
@@ -35,27 +37,70 @@ def water_fill(sources: DataFrame, share: float, max_epochs: int) -> DataFrame:
     return df.withColumn("target", target)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", key: str | None = None) -> DataFrame:
+def source_key(source: Column) -> Column:
+    return F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source, F.lit("")))
+
+
+def seeded_hash(seed: str, doc_id: Column, text: Column) -> Column:
+    """Hex digits that put documents in order. Rows with equal ones are equal in doc_id and text."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def _hinted(per_source: DataFrame, n_sources: int) -> DataFrame:
+    return F.broadcast(per_source) if n_sources <= BROADCAST_ROWS else per_source
+
+
+def cuts(sized: DataFrame, needs: DataFrame, n_sources: int) -> DataFrame:
+    """skey, cut_h, cut_rid, cut_words: of a source's rows, those that stand before (cut_h, cut_rid) are in the part of
+    `need` words, and the row there with its first cut_words words. Sources without a row are in it whole.
+
+    sized: (skey, h, rid, size), written; needs: (skey, need). The place is narrowed down by sums per first digits of the
+    hash, per next digits, per hash, then, among equal documents, per part of the written table, and at last among the
+    rows of one part. Windows run over sums only, so neither a large source nor many equal documents meet in one task.
+    """
+    keys = {
+        "d1": F.substring("h", 1, DIGITS),
+        "d2": F.substring("h", DIGITS + 1, DIGITS),
+        "cut_h": F.col("h"),
+        "part": F.shiftright("rid", 33),
+        "cut_rid": F.col("rid"),
+    }
+    found, known = needs, ["skey"]
+    for name, key in keys.items():
+        rows = sized.where("size > 0").select("skey", *[keys[k].alias(k) for k in known[1:]], key.alias(name), "size")
+        if len(known) > 1:
+            rows = rows.join(_hinted(found.select(*known), n_sources), known)
+        sums = rows.groupBy(*known, name).agg(F.sum("size").alias("total")).join(_hinted(found, n_sources), known)
+        before = F.sum("total").over(Window.partitionBy("skey").orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+        left = sums.withColumn("need", F.col("need") - F.coalesce(before, F.lit(0)))
+        found = materialize(left.where("need >= 0 AND need < total").drop("total"), "mix-cut")
+        known.append(name)
+    return found.select("skey", "cut_h", "cut_rid", F.col("need").alias("cut_words"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", carry: bool = False) -> DataFrame:
     """Words that a mix takes of every document.
 
-    docs: doc_id, text, source; other columns are ignored, but for key, which is returned too. Result: doc_id, size (words), source_size, target (words the
-    source should give), taken (words the mix takes of the document, repeats counted).
+    docs: doc_id, text, source; other columns are ignored; with carry, all columns come back in a struct row. Result:
+    doc_id, size (words), source_size, target (words the source should give), taken (words the mix takes of the document,
+    repeats counted).
     Sources by code point, null last (an empty name is a name of its own), weigh `weights`, repeating. Every document is
     taken whole as often as target holds its source's size; of the rest, documents are taken whole in order of a
-    seeded hash up to the cut, and the document at the cut in part. So taken sums to target, rounded, exactly.
-    Null or blank text: size 0, nothing taken. Null doc_id and repeated rows: documents of their own. No rows: no rows.
+    seeded hash of doc_id and text up to the cut, and the document at the cut in part. So taken sums to target, rounded,
+    exactly. Null or blank text: size 0, nothing taken. Null doc_id and repeated rows: documents of their own; of rows
+    equal in doc_id and text any may stand at the cut. No rows: no rows.
     """
-    carried = [F.col(f"`{key}`").alias("_key")] if key else []
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     sized = docs.select(
         *carried,
         F.col("doc_id"),
         n_words(F.col("text")).alias("size"),
-        F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit(""))).alias("skey"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("h"),
-    ).withColumn("bucket", F.substring("h", 1, BUCKET_HEX_DIGITS))
+        source_key(F.col("source")).alias("skey"),
+        seeded_hash(seed, F.col("doc_id"), F.col("text")).alias("h"),
+        F.monotonically_increasing_id().alias("rid"),  # written, and read from there alone
+    )
     sized = materialize(sized, "mix-sizes")
-    buckets = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
-    per_source = buckets.groupBy("skey").agg(F.sum("bucket_size").alias("source_size"))
+    per_source = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
     by_name = Window.partitionBy(F.lit(0)).orderBy("skey")
     rank = (F.row_number().over(by_name) - 1) % len(weights)
     weighted = per_source.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), rank + 1))
@@ -65,34 +110,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("reps"),
     ).withColumn("need", F.floor(F.col("target") + 0.5) - F.col("reps") * F.col("source_size"))
-    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(plan, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.col("need") - F.col("bucket_start") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return (
-        sized.join(offsets, ["skey", "bucket"])
-        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), cut)))
-        .select(*([F.col("_key").alias(key)] if key else []), "doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size") + F.col("part")).alias("taken"))
-    )
+    plan = materialize(plan, "mix-plan")
+    n_sources = plan.count()
+    plan = plan.join(cuts(sized, plan.select("skey", "need"), n_sources), "skey", "left")
+    earlier = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("rid") < F.col("cut_rid")))
+    at_cut = (F.col("h") == F.col("cut_h")) & (F.col("rid") == F.col("cut_rid"))
+    part = F.when(F.col("cut_h").isNull() | earlier, F.col("size")).when(at_cut, F.col("cut_words")).otherwise(0)
+    taken = (F.col("reps") * F.col("size") + part).alias("taken")
+    return sized.join(_hinted(plan, n_sources), "skey").select("doc_id", "size", "source_size", "target", taken, *(["row"] if carry else []))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as the mix takes them; the one at a source's cut is also there with its first words alone.
 
-    All columns stay; n_chars, if there, follows the text. docs must give the same rows in the same order when it is
-    read again, as written tables do.
+    All columns stay; n_chars, if there, follows the text. Rows are written with their sizes and not looked up again.
     """
-    row = "_row"
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    taken = mix(keyed, key=row, **how).where("taken > 0").select(F.col(row), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    copies = F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))
-    df = keyed.join(taken, row).withColumn("_copy", F.explode(copies))
-    cut = F.col("_copy") > whole
-    df = df.withColumn("text", F.when(cut, F.array_join(F.slice(words(F.col("text")), F.lit(1), part), " ")).otherwise(F.col("text")))
+    taken = mix(docs, carry=True, **how).where("taken > 0").select("row", "size", "taken")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    copies = F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))
+    df = taken.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(copies).alias("copy"))
+    cut = F.col("copy") > F.col("whole")
+    text = F.when(cut, F.array_join(F.slice(words(F.col("row.text")), F.lit(1), F.col("rest")), " ")).otherwise(F.col("row.text"))
+    df = df.select("row", cut.alias("cut"), text.alias("text"))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("cut"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +146,7 @@ ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (CASE WHEN source IS NULL THEN '1' ELSE '0' END) || coalesce(source, '') AS skey,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS h
   FROM documents),
 per_source AS (SELECT skey, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
 weighted AS (
@@ -121,7 +164,7 @@ cut AS (
 walked AS (
   SELECT s.doc_id, s.size, c.source_size, c.target, c.reps,
     floor(c.target + 0.5)::BIGINT - c.reps * c.source_size AS need,
-    coalesce(sum(s.size) OVER (PARTITION BY s.skey ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    coalesce(sum(s.size) OVER (PARTITION BY s.skey ORDER BY s.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized s JOIN cut c USING (skey))
 SELECT doc_id, size, source_size, target, (reps * size + greatest(0, least(size, need - before)))::BIGINT AS taken FROM walked
 """

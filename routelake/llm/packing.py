@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read, ship
-from .units import crc, encoder, slices
+from .units import crc, encoder, kept, slices
 
 #: Items that one best-fit run holds; partitions with more are packed in several runs.
 RUN_ITEMS = 100_000
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, path: str, room: int = 1024, end_id: int = 2) -> DataF
     ship(spark)
 
     def first(batches):
-        return _runs((_pieces(b, path, room, end_id) for b in slices(batches)), room, 0)
+        return kept(_runs((_pieces(b, path, room, end_id) for b in slices(batches)), room, 0))
 
     bins = materialize(docs.select("doc_id", "text").mapInArrow(first, BIN_SQL), "pack-0")
     done = [bins.where("full")]

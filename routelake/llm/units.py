@@ -15,8 +15,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Units held by a worker's cache.
-CACHE_UNITS = 800_000
+from .common import trim
+
+#: Bytes that a worker's cache of units may take, as estimated by Encoder.held, before it is emptied.
+CACHE_BYTES = 96 << 20
+#: What a unit takes besides its letters and ids: its string, its number and its place in the index.
+UNIT_BYTES = 200
 #: Texts handled at a time.
 SLICE = 256
 #: A byte-level pre-tokenizer starts a new piece at a single space between two other characters, always.
@@ -57,6 +61,8 @@ def split_rule(path: str) -> str:
     if set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s" in parts[0]["pattern"].get("Regex", ""):
         return "at_space"
     return "whole"
+
+
 _ONE_PIECE = {"before_space": re.compile(f" [{_LETTER}]+"), "at_space": re.compile(f"[{_LETTER}]+")}
 
 
@@ -129,7 +135,7 @@ class _Ids:
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tok, self.rule = load(path), split_rule(path)
-        self.units, self.end = _Ids(), None
+        self.units, self.end, self.letters = _Ids(), None, 0
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
         # Which ids begin or end a piece, by which the ids of many one-piece units can be told apart.
@@ -142,9 +148,18 @@ class Encoder:
     def _learn(self) -> None:
         """Ids of the units met for the first time."""
         fresh, self.units.index.fresh = self.units.index.fresh, []
+        self.letters += sum(map(len, fresh))
         for k in range(0, len(fresh), 4096):
             self.units.add(*self._encode(fresh[k : k + 4096]))
 
+    def held(self) -> int:
+        """About how many bytes the cache takes."""
+        return UNIT_BYTES * self.units.n + self.letters + self.units.flat.nbytes
+
+    def forget(self) -> None:
+        """Empties the cache; the tokenizer stays."""
+        self.units, self.end, self.letters = _Ids(), None, 0
+
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units and how many each has. Words of letters alone are one piece each, and go in one text."""
         single = np.array([self.marks is not None and _ONE_PIECE[self.rule].fullmatch(u) is not None for u in units], bool)
@@ -168,8 +183,9 @@ class Encoder:
 
     def encode(self, texts: list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row (null: none), with end_id after each text, and where each text starts, with the end."""
-        if len(self.units.index) > CACHE_UNITS or end_id != self.end or not self.units.n:
-            self.units, self.end = _Ids(), end_id
+        if self.held() > CACHE_BYTES or end_id != self.end or not self.units.n:
+            self.forget()
+            self.end = end_id
             self.units.index[None] = 0  # stands for the end of a text
             self.units.add(np.array([] if end_id is None else [end_id], np.uint32), np.array([int(end_id is not None)]))
         units, n_units = [], [0]
@@ -195,13 +211,23 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; it outlives tasks where Spark keeps workers."""
+    """The worker's encoder for a file. Its tokenizer outlives tasks where Spark keeps workers; its cache must not, see kept()."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def kept(rows: Iterator) -> Iterator:
+    """rows of a task that uses encoder(); when they end, the cache is emptied and its memory given back."""
+    try:
+        yield from rows
+    finally:
+        for e in _ENCODERS.values():
+            e.forget()
+        trim()
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").view(np.uint8))
 

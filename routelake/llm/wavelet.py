@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, put, read, ship, trim
-from .units import crc, encoder, slices
+from .units import crc, encoder, kept, slices
 
 MAGIC = b"RLWMAT02"
 #: Bits of a plane's block.
@@ -269,7 +269,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard
             yield close()
 
     manifest = f"{folder}/manifest"
-    ranged.select("doc_id", "text").mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(manifest)
+    ranged.select("doc_id", "text").mapInArrow(lambda batches: kept(write(batches)), MANIFEST).write.mode("overwrite").parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 

@@ -59,7 +59,7 @@ def _same(a, b):
 
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
 def test_units_are_exact(path, monkeypatch):
-    monkeypatch.setattr(units, "CACHE_UNITS", 400)
+    monkeypatch.setattr(units, "CACHE_BYTES", 400 * units.UNIT_BYTES + (1 << 18))
     rng, enc, plain = random.Random(5), units.Encoder(path), ids_of(path)
     parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", ".", ",", "!?", "'s", "'", "'ll", "a", "The", "é", "e\u0301", "É", "12", "<|endoftext|>", "<|", "|>", "|", "日本", "İ", "Σ", "σς", "😀", "_", "(", "ª", "#", "\x00", "word", " and", "\u200b"]
     for _ in range(60):
