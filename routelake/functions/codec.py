@@ -179,18 +179,18 @@ def _udfs(name: str):
 
 def roundtrip(values: Column, name: str) -> Column:
     """An array of 64 finite doubles after native quantisation, by SQL functions alone; nulls and other lengths give null."""
-    bits = BITS[name]
-    top = F.array_max(F.transform(values, F.abs))
     away = lambda x: F.signum(x) * F.floor(F.abs(x) + 0.5)
+    # A one-element transform binds an array's scale once; inside the inner one it would be computed anew for every value.
+    bound = lambda scale, f: F.get(F.transform(F.array(scale), lambda p: F.transform(values, lambda x: f(p, x))), F.lit(0))
     if name == "Q8":
-        d = half(top / 127)
-        out = F.transform(values, lambda x: F.when(top > 0, F.greatest(F.lit(-127.0), F.least(F.lit(127.0), away(x * (F.lit(127.0) / top)))) * d).otherwise(0.0))
-    else:
-        levels = float((1 << bits) - 1)
-        lo, d = half(F.array_min(values)), half((F.array_max(values) - F.array_min(values)) / levels)
-        bound = F.get(F.transform(F.array(F.struct(lo.alias("lo"), d.alias("d"))), lambda p: F.transform(values, lambda x: p["lo"] + p["d"] * F.when(p["d"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(levels), away((x - p["lo"]) / p["d"])))).otherwise(0.0))), F.lit(0))
-        out = bound
-    return F.when(F.size(values) == GROUP, out)
+        top = F.get(F.transform(F.array(F.array_max(F.transform(values, F.abs))), lambda t: F.struct(t.alias("top"), half(t / 127).alias("d"))), F.lit(0))
+        one = lambda p, x: F.when(p["top"] > 0, F.greatest(F.lit(-127.0), F.least(F.lit(127.0), away(x * (F.lit(127.0) / p["top"])))) * p["d"]).otherwise(0.0)
+        return F.when(F.size(values) == GROUP, bound(top, one))
+    levels = float((1 << BITS[name]) - 1)
+    ends = F.array(F.struct(F.array_min(values).alias("lo"), F.array_max(values).alias("hi")))
+    scale = F.get(F.transform(ends, lambda e: F.struct(half(e["lo"]).alias("lo"), half((e["hi"] - e["lo"]) / levels).alias("d"))), F.lit(0))
+    one = lambda p, x: p["lo"] + p["d"] * F.when(p["d"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(levels), away((x - p["lo"]) / p["d"])))).otherwise(0.0)
+    return F.when(F.size(values) == GROUP, bound(scale, one))
 
 
 def rmse_table(vectors: DataFrame, names: tuple[str, ...] = tuple(BITS)) -> DataFrame:

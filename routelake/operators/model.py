@@ -191,19 +191,25 @@ def repack(source: str, plan: Plan, target: str, group_align: int = 0) -> dict:
             container.slice_bytes(t)
             perm[name] = layer.perm
     placed = container.place(c.tensors, c.alignment, group_align, set(perm))
-    out = bytearray(container.header(c.version, c.keys, placed, c.alignment))
-    start = len(out)
-    f, _ = container.open_file(source)
-    with f:
-        for t, old in zip(placed, c.tensors, strict=True):
-            out += bytes(start + t.offset - len(out))
-            order = perm.get(t.name, [0])
-            size = t.nbytes // len(order)
-            for e in order:
-                f.seek(c.data_start + old.offset + e * size)
-                out += f.read(size)
-    put_file(target, bytes(out))
-    return {"tensors": len(placed), "permuted": len(perm), "bytes": len(out), "padding": len(out) - start - sum(t.nbytes for t in placed)}
+    head = bytes(container.header(c.version, c.keys, placed, c.alignment))
+    end = max([len(head), *(len(head) + t.offset + t.nbytes for t in placed)])
+
+    def pieces() -> Iterator[bytes]:
+        yield head
+        at = len(head)
+        f, _ = container.open_file(source)
+        with f:
+            for t, old in zip(placed, c.tensors, strict=True):
+                yield bytes(len(head) + t.offset - at)
+                order = perm.get(t.name, [0])
+                size = t.nbytes // len(order)
+                for e in order:
+                    f.seek(c.data_start + old.offset + e * size)
+                    yield f.read(size)
+                at = len(head) + t.offset + size * len(order)
+
+    put_file(target, pieces())
+    return {"tensors": len(placed), "permuted": len(perm), "bytes": end, "padding": end - len(head) - sum(t.nbytes for t in placed)}
 
 
 def verify(spark: SparkSession, source: str, target: str, plan: Plan) -> DataFrame:

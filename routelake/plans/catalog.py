@@ -21,6 +21,7 @@ ranked AS (SELECT token, layer, expert, row_number() OVER (PARTITION BY token, l
 trace AS (SELECT token, layer::INT AS layer, (r - 1)::INT AS rnk, expert::INT AS expert FROM ranked WHERE r <= 4)"""
 RAGGED_SQL = "trace AS (SELECT DISTINCT l_orderkey AS token, 0 AS layer, l_suppkey AS expert FROM lineitem)"
 N_SQL = "n AS (SELECT count(*) AS n FROM embeddings)"
+FIT_SQL = "(SELECT greatest(1, least(count(*) // 2, count(*) - 1)) FROM embeddings)"
 SURFACE_SQL = "surface(cell_idx, blob_bytes, queue_depth, bytes_per_sec) AS (VALUES " + ", ".join(f"({i}, {b}, {q}, {v!r}::DOUBLE)" for i, b, q, v in derive.surface_cells()) + ")"
 LOG_SQL = "log AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, user_id AS key FROM events)"
 R = 9  # digits that float results are rounded to
@@ -47,7 +48,7 @@ def n_tokens(spark: SparkSession, sf_dir: str) -> int:
 
 
 def fit_tokens(spark: SparkSession, sf_dir: str) -> int:
-    """Tokens that predictors are fitted on: half of them, the reference's default. The SQL says 250, half of 500."""
+    """Tokens that predictors are fitted on: half of them by default."""
     n = n_tokens(spark, sf_dir)
     return max(1, min(n // 2, n - 1))
 
@@ -105,7 +106,7 @@ def mass_in_top_orders(spark, sf_dir):
     return rounded(stats.mass_in_top(stats.frequency(derive.ragged_trace(spark, sf_dir)), [1, 10, 50]), "mass")
 
 
-@query(f"WITH {TRACE_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < 250 GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (2), (4)) t(top) GROUP BY ALL")
+@query(f"WITH {TRACE_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < {FIT_SQL} GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (2), (4)) t(top) GROUP BY ALL")
 def expert_skew_by_layer(spark, sf_dir):
     return rounded(predict.skew(derive.trace_wide(spark, sf_dir), fit_tokens(spark, sf_dir), [2, 4]), "mass")
 
@@ -167,10 +168,10 @@ def phase_width(spark, sf_dir):
 # Predictors
 
 _FIT = f"""{TRACE_SQL},
-f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < 250 GROUP BY ALL),
+f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < {FIT_SQL} GROUP BY ALL),
 hot AS (SELECT layer, expert, row_number() OVER (PARTITION BY layer ORDER BY n DESC, expert) AS pos FROM f),
-trans AS (SELECT b.layer, a.expert AS prev, b.expert, count(*) AS n FROM trace a JOIN trace b ON a.token = b.token AND b.layer = a.layer + 1 WHERE a.token < 250 GROUP BY ALL),
-slots AS (SELECT DISTINCT token, layer FROM trace WHERE token >= 250),
+trans AS (SELECT b.layer, a.expert AS prev, b.expert, count(*) AS n FROM trace a JOIN trace b ON a.token = b.token AND b.layer = a.layer + 1 WHERE a.token < {FIT_SQL} GROUP BY ALL),
+slots AS (SELECT DISTINCT token, layer FROM trace WHERE token >= {FIT_SQL}),
 sticky AS (SELECT s.token, s.layer, t.expert, 0 AS prio, t.rnk::BIGINT AS pos FROM slots s JOIN trace t ON t.token = s.token - 1 AND t.layer = s.layer),
 scored AS (SELECT s.token, s.layer, tr.expert, sum(tr.n) AS w FROM slots s JOIN trace t ON t.token = s.token AND t.layer = s.layer - 1 JOIN trans tr ON tr.layer = s.layer AND tr.prev = t.expert GROUP BY ALL),
 markov AS (SELECT token, layer, expert, 1 AS prio, row_number() OVER (PARTITION BY token, layer ORDER BY w DESC, expert) AS pos FROM scored),
@@ -319,17 +320,41 @@ def _policy(spark, sf_dir, policy):
     return rounded(cache.simulate(_log(spark, sf_dir), _configs(spark, [policy], [10, 40, 100])), "hit_rate")
 
 
-@query()
+_ENTRY = "STRUCT(p BOOLEAN, s DOUBLE, k BIGINT, h BIGINT)[]"  # protected, score, key, hits: the least is the victim
+
+
+def _policy_sql(policy: str) -> str:
+    """The policy access by access, as a recursion over the log; every entry has size 1000 and cost 1."""
+    score = {"lfu": "({h})::DOUBLE", "gdsf": "level + ({h}) * 1.0::DOUBLE / 1000", "slru": "(i + 1)::DOUBLE"}[policy]
+    slru = str(policy == "slru").lower()
+    again = f"struct_pack(p := {slru}, s := {score.format(h='e.h + 1')}, k := e.k, h := e.h + 1)"
+    return f"""WITH RECURSIVE {LOG_SQL}, keys AS (SELECT list(key ORDER BY seq) AS keys, count(*) AS n FROM log),
+run AS (
+  SELECT slots, 0::BIGINT AS i, 0::BIGINT AS hits, 0::BIGINT AS evictions, 0::DOUBLE AS clock, []::{_ENTRY} AS st FROM (VALUES (10), (40), (100)) s(slots)
+  UNION ALL
+  SELECT slots, i + 1, hits + hit::BIGINT, evictions + full_::BIGINT, level,
+    CASE WHEN {slru} AND len(list_filter(st2, lambda e: e.p)) > 0.8::DOUBLE * slots
+      THEN list_transform(st2, lambda e: CASE WHEN e.k = least_safe.k THEN struct_pack(p := false, s := e.s, k := e.k, h := e.h) ELSE e END) ELSE st2 END
+  FROM (SELECT *, list_min(list_filter(st2, lambda e: e.p)) AS least_safe FROM (SELECT *, CASE WHEN hit THEN list_transform(st, lambda e: CASE WHEN e.k = key THEN {again} ELSE e END)
+      ELSE list_append(CASE WHEN full_ THEN list_filter(st, lambda e: e.k <> victim.k) ELSE st END, struct_pack(p := false, s := {score.format(h='1')}, k := key, h := 1::BIGINT)) END AS st2
+    FROM (SELECT *, CASE WHEN full_ AND '{policy}' = 'gdsf' THEN greatest(clock, victim.s) ELSE clock END AS level
+      FROM (SELECT *, NOT hit AND len(st) >= slots AS full_, list_min(st) AS victim
+        FROM (SELECT run.*, keys[i + 1] AS key, len(list_filter(st, lambda e: e.k = keys[i + 1])) > 0 AS hit FROM run, keys WHERE i < n))))))
+SELECT '{policy}' AS policy, slots * 1000::BIGINT AS capacity, {cache.PROTECTED}::DOUBLE AS protected_share, hits, n - hits AS misses, evictions, (n - hits) * 1000 AS bytes_fetched, (n - hits)::DOUBLE AS fetch_seconds, round(hits / n::DOUBLE, {R}) AS hit_rate
+FROM run, keys WHERE i = n"""
+
+
+@query(_policy_sql("lfu"))
 def cache_policy_lfu(spark, sf_dir):
     return _policy(spark, sf_dir, "lfu")
 
 
-@query()
+@query(_policy_sql("gdsf"))
 def cache_policy_gdsf(spark, sf_dir):
     return _policy(spark, sf_dir, "gdsf")
 
 
-@query()
+@query(_policy_sql("slru"))
 def cache_policy_slru(spark, sf_dir):
     return _policy(spark, sf_dir, "slru")
 
@@ -341,10 +366,37 @@ def _replay_inputs(spark):
     return sizes, charged
 
 
-@query()
+#: What each configuration of the replay moves and how long that takes, step by step: guesses come before uses.
+_REPLAY = f"""WITH RECURSIVE {_FIT}, {SURFACE_SQL}, pool AS (SELECT * FROM sticky UNION ALL SELECT * FROM markov UNION ALL SELECT * FROM padding),
+firsts AS (SELECT token, layer, expert, min((prio, pos)) AS o FROM pool GROUP BY ALL),
+guessed AS (SELECT * FROM (SELECT token, layer, expert, row_number() OVER (PARTITION BY token, layer ORDER BY o, expert) AS r FROM firsts) WHERE r <= 4),
+c AS (SELECT max(CASE WHEN q = 1 THEN s END) AS c1, max(CASE WHEN q = 8 THEN s END) AS c8 FROM (SELECT q, 393216 / arg_min(bytes_per_sec, (round(abs(ln(393216 / blob_bytes::DOUBLE)) + abs(ln(q / queue_depth::DOUBLE)), 12), cell_idx)) AS s FROM surface, (VALUES (1), (8)) d(q) GROUP BY q)),
+steps AS (SELECT token, layer, false AS used, r AS pos, expert, EXISTS (SELECT 1 FROM trace t WHERE t.token = g.token AND t.layer = g.layer AND t.expert = g.expert) AS right_ FROM guessed g
+  UNION ALL SELECT token, layer, true, rnk, expert, true FROM trace WHERE token >= {FIT_SQL}),
+ops AS (SELECT list(struct_pack(used := used, k := (layer * 16 + expert)::BIGINT, fresh := NOT used AND pos = 1, right_ := right_) ORDER BY token, layer, used, pos) AS ops, count(*) AS n, count(DISTINCT token) AS tokens FROM steps),
+run AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS hits, 0::BIGINT AS misses, 0::BIGINT AS useful, 0::BIGINT AS wasted, 0::BIGINT AS requests, 0::DOUBLE AS seconds, 0::DOUBLE AS fetched, 0::DOUBLE AS clock, []::BIGINT[] AS flying, []::{_ENTRY} AS st
+  UNION ALL
+  SELECT i + 1, hits + (op.used AND hit)::BIGINT, misses + (op.used AND NOT hit)::BIGINT, useful + (op.used AND hit AND list_contains(flying, op.k))::BIGINT, wasted + (NOT op.used AND NOT hit AND NOT op.right_)::BIGINT,
+    requests + (NOT hit)::BIGINT, seconds + CASE WHEN hit THEN 0 WHEN op.used THEN c1 ELSE c8 END, fetched + CASE WHEN op.used AND NOT hit THEN c8 ELSE 0 END, level,
+    CASE WHEN op.used OR hit THEN flown ELSE list_append(flown, op.k) END,
+    CASE WHEN hit AND NOT op.used THEN st
+      WHEN hit THEN list_transform(st, lambda e: CASE WHEN e.k = op.k THEN struct_pack(p := false, s := level + (e.h + 1) * c8 / 393216, k := e.k, h := e.h + 1) ELSE e END)
+      ELSE list_append(CASE WHEN full_ THEN list_filter(st, lambda e: e.k <> victim.k) ELSE st END, struct_pack(p := false, s := level + 1 * c8 / 393216, k := op.k, h := 1::BIGINT)) END
+  FROM (SELECT *, CASE WHEN full_ THEN greatest(clock, victim.s) ELSE clock END AS level, CASE WHEN op.fresh THEN [] ELSE flying END AS flown
+    FROM (SELECT *, NOT hit AND len(st) >= 32 AS full_, list_min(st) AS victim
+      FROM (SELECT run.*, c1, c8, ops[i + 1] AS op, len(list_filter(st, lambda e: e.k = ops[i + 1].k)) > 0 AS hit FROM run, ops, c WHERE i < n))))
+SELECT 0 AS config, 'gdsf' AS policy, 'sticky+markov' AS predictor, 4 AS budget, tokens, hits, misses, round(hits / (hits + misses)::DOUBLE, {R}) AS hit_rate, round(requests * 393216 / tokens::DOUBLE, 3) AS bytes_per_token, round(requests / tokens::DOUBLE, {R}) AS requests_per_token,
+  round(seconds / tokens, {R}) AS seconds_per_token, round(fetched, {R}) AS cache_fetch_seconds, useful, wasted, round(useful / (useful + wasted)::DOUBLE, {R}) AS prefetch_precision, round(requests * 393216 / seconds, 0) AS effective_bps, round(1 / (seconds / tokens), 4) AS tokens_per_second, true AS calibrated
+FROM run, ops WHERE i = n"""
+
+
+@query(_REPLAY)
 def replay_default(spark, sf_dir):
     sizes, charged = _replay_inputs(spark)
-    return replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, fit_tokens(spark, sf_dir), [{"policy": "gdsf", "predictor": "sticky+markov", "budget": 4, "cache_bytes": 12 << 20, "queue_depth": 8}])
+    out = replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, fit_tokens(spark, sf_dir), [{"policy": "gdsf", "predictor": "sticky+markov", "budget": 4, "cache_bytes": 12 << 20, "queue_depth": 8}])
+    digits = {"bytes_per_token": 3, "effective_bps": 0, "tokens_per_second": 4}
+    return out.withColumns({c: F.round(c, digits.get(c, R)) for c, kind in out.dtypes if kind == "double"})
 
 
 @query()
@@ -436,12 +488,7 @@ def planned_hit_rate(spark, sf_dir):
     return rounded(allocate.hit_rate(allocate.residents(_freq(spark, sf_dir), 100_000, 599_999)), "hit_rate")
 
 
-_SENS = "sens AS (SELECT (vec_id // 16)::INT AS layer, (vec_id % 16)::INT AS expert, i::INT AS ord, [8.25, 4.5, 2.5][i + 1]::DOUBLE AS bits, abs(embedding[i + 1])::DOUBLE AS error FROM embeddings, range(0, 3) r(i) WHERE vec_id < 64)"
-
-
-def _sens(spark, sf_dir):
-    """The sensitivities of weighted_loss's SQL: of the first 64 embeddings alone."""
-    return _errors(table(spark, sf_dir, "embeddings").where("vec_id < 64"))
+_SENS = "sens AS (SELECT ((vec_id % 64) // 16)::INT AS layer, (vec_id % 16)::INT AS expert, i::INT AS ord, [8.25, 4.5, 2.5][i + 1]::DOUBLE AS bits, avg(abs(embedding[i + 1])::DOUBLE) AS error FROM embeddings, range(0, 3) r(i) GROUP BY ALL)"
 
 
 def _mean_sens(spark, sf_dir):
@@ -459,7 +506,7 @@ def _errors(e):
 @query(f"WITH {TRACE_SQL}, {_SENS}, f AS (SELECT layer, expert, count(*) AS n FROM trace GROUP BY ALL), l AS (SELECT f.layer, f.expert, f.n, b.at_bits, arg_min(s.error, (abs(s.bits - b.at_bits), s.ord)) AS loss FROM f, (VALUES (3.0::DOUBLE), (5.5::DOUBLE)) b(at_bits), sens s WHERE s.layer = f.layer AND s.expert = f.expert GROUP BY ALL) SELECT layer, at_bits, round(sum(n / (SELECT count(*) FROM embeddings)::DOUBLE * loss), {R}) AS expected FROM l GROUP BY ALL")
 def weighted_loss(spark, sf_dir):
     asked = _freq(spark, sf_dir).withColumn("at_bits", F.explode(F.array(F.lit(3.0), F.lit(5.5))))
-    lost = allocate.loss_at(asked, _sens(spark, sf_dir))
+    lost = allocate.loss_at(asked, _mean_sens(spark, sf_dir))
     n = n_tokens(spark, sf_dir)
     return lost.groupBy("layer", "at_bits").agg(F.round(F.sum(F.col("n") / F.lit(float(n)) * F.col("loss")), R).alias("expected"))
 
@@ -541,23 +588,35 @@ def survey_slices(spark, sf_dir):
     return model.survey(spark.createDataFrame(REPOS, "repo string, experts int, hidden long, inter long")).select("repo", "slice_bytes", "in_band")
 
 
-@query(f"WITH {_roundtrip_sql()}, r AS (SELECT vec_id AS slot, sha256(array_to_string(embedding, ',')) AS h, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS old FROM embeddings) SELECT count(*) AS slices, count(*) FILTER (slot = old) AS fixed, 0::BIGINT AS mismatches FROM r")
+@query(f"{_RANKED} SELECT 'blk.' || layer || '.ffn_up_exps.weight' AS tensor, slot AS slice, 'bytes differ' AS problem FROM h, range(0, 16) s(slot) WHERE r = 1 AND (slot * 7 + 3) % 16 = expert")
 def verify_permutation(spark, sf_dir):
-    """Moves every slice by a permutation and proves that each stands where the plan says, by a hash join."""
-    n = n_tokens(spark, sf_dir)
-    src = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("old"), F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256).alias("h0"))
-    moved = src.select(F.pmod((F.col("old") - 3) * F.lit(pow(7, -1, n)), F.lit(n)).alias("slot"), F.col("h0").alias("h"))
-    plan = moved.select("slot", "h", F.pmod(F.col("slot") * 7 + 3, F.lit(n)).alias("old"))
-    both = plan.join(src, "old", "left")
-    return both.agg(F.count(F.lit(1)).alias("slices"), F.count_if(F.col("slot") == F.col("old")).alias("fixed"), F.count_if(F.col("h0").isNull() | (F.col("h") != F.col("h0"))).alias("mismatches"))
+    """A checkpoint repacked by a permutation, in which a byte of each layer's hottest expert is then changed: verify finds these
+    slices and no others."""
+    from ..sources import container, open_file, plan, put_file, scratch, synth
+
+    folder = scratch(spark, "verify")
+    synth.checkpoint(f"{folder}/a", LAYERS, EXPERTS, 64, 64)
+    names = [t.name for t in container.parse(f"{folder}/a").tensors]
+    order = [(7 * slot + 3) % EXPERTS for slot in range(EXPERTS)]
+    p = plan.Plan("a", "t", [plan.Layer(b, [n for n in names if n.startswith(f"blk.{b}.")], order) for b in range(LAYERS)])
+    model.repack(f"{folder}/a", p, f"{folder}/b", 4096)
+    f, size = open_file(f"{folder}/b")
+    with f:
+        data = bytearray(f.read(size))
+    c = container.parse(f"{folder}/b")
+    for r in predict.hottest(stats.hot_rank(_freq(spark, sf_dir)), 1).collect():  # a row per layer
+        t = c.by_name[f"blk.{r['layer']}.ffn_up_exps.weight"]
+        data[c.data_start + t.offset + t.nbytes // EXPERTS * order.index(r["expert"])] ^= 1
+    put_file(f"{folder}/c", bytes(data))
+    return model.verify(spark, f"{folder}/a", f"{folder}/c", p)
 
 
-_REC = "rec AS (SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (64 + vec_id % 7)::BIGINT AS nbytes, vec_id % 3 AS k FROM embeddings WHERE vec_id < 192)"
+_REC = "rec AS (SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (64 + vec_id % 7)::BIGINT AS nbytes, vec_id % 3 AS k FROM embeddings)"
 
 
 def _records(spark, sf_dir):
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").where("vec_id < 192").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (v % 3).cast("int")).alias("kind"), (64 + v % 7).cast("long").alias("nbytes"))
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (v % 3).cast("int")).alias("kind"), (64 + v % 7).cast("long").alias("nbytes"))
 
 
 _PLACED = f"""{_REC}, g AS (SELECT layer, slot // 4 AS g, sum(nbytes) AS size FROM rec GROUP BY ALL),
@@ -627,13 +686,13 @@ def trace_file_round_trip(spark, sf_dir):
     return traces.read(spark, path, 128)
 
 
-@query("SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END)::INT AS ty, 64::BIGINT AS n_weights, (CASE WHEN vec_id % 2 = 0 THEN 36 ELSE 20 END)::BIGINT AS nbytes FROM embeddings WHERE vec_id < 192")
+@query("SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END)::INT AS ty, 64::BIGINT AS n_weights, (CASE WHEN vec_id % 2 = 0 THEN 36 ELSE 20 END)::BIGINT AS nbytes FROM embeddings")
 def store_file_round_trip(spark, sf_dir):
     """Embeddings quantised as expert slices, written as a store and read again, without payloads."""
     from ..sources import scratch, store
 
     vid = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 192").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (vid % 3).cast("int")).alias("kind"), F.when(vid % 2 == 0, "Q4").otherwise("Q2").alias("type"), F.col("embedding").alias("weights"))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (vid % 3).cast("int")).alias("kind"), F.when(vid % 2 == 0, "Q4").otherwise("Q2").alias("type"), F.col("embedding").alias("weights"))
     path = f"{scratch(spark, 'store')}/s.bin"
     store.write(store.quantise(rows), path, 4096, 4)
     return store.read(spark, path, payload=False).select("layer", "slot", "kind", "ty", "n_weights", "nbytes")

@@ -46,11 +46,24 @@ def ragged_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, key): events in order of time, by user."""
+    """(seq, key): events in order of time, by user.
+
+    Ranges of (ts, event_id) are sorted apart and written once; a row's seq is its place in its range after the counts of
+    the ranges before, so no task sorts the whole log.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select((F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("user_id").alias("key"))
+    from ..sources import scratch
+
+    path = scratch(spark, "log")
+    ranged = table(spark, sf_dir, "events").select("ts", "event_id", F.col("user_id").alias("key")).repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id")
+    ranged.select("key", F.monotonically_increasing_id().alias("place")).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("range", F.shiftright("place", 33))
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    starts = counts.select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    seq = F.col("start") + F.col("place") - F.shiftleft("range", 33)
+    return placed.join(F.broadcast(starts), "range").select(seq.alias("seq"), "key")
 
 
 #: A published bandwidth surface, GB/s by request size and queue depth.

@@ -1,8 +1,9 @@
 """Readers and writers of routing traces, model containers, expert stores, surfaces and plans."""
 
 
-def put_file(path: str, data: bytes) -> None:
-    """Writes a file by its URI or local path, under its last name only when it is whole."""
+def put_file(path: str, data) -> None:
+    """Writes bytes, or an iterator of them piece by piece, as a file by its URI or local path, under its last name only when
+    it is whole."""
     import uuid
 
     from pyarrow import fs
@@ -11,7 +12,8 @@ def put_file(path: str, data: bytes) -> None:
     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
     part = f"{at}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part, compression=None) as f:
-        f.write(data)
+        for piece in [data] if isinstance(data, bytes) else data:
+            f.write(piece)
     store.move(part, at)
 
 

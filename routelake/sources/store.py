@@ -84,19 +84,29 @@ def quantise(slices: DataFrame) -> DataFrame:
 
 
 def write(records: DataFrame, path: str, requested_align: int = 2 << 20, group_experts: int = 8) -> None:
-    """One store file from quantised records; Parquet in the same order is the sink for stores that one file shouldn't hold."""
-    placed = layout(records, requested_align, group_experts).orderBy("offset", "layer", "slot")
-    index = [r.asDict() for r in placed.drop("payload").collect()]  # a row per slice, as the file's index holds
-    align = index[0]["align"] if index else max(1, requested_align)
+    """One store file from quantised records; Parquet in the same order is the sink for stores that one file shouldn't hold.
+
+    A file has one writer: index rows and payloads pass through the driver partition by partition, and none is kept.
+    """
+    placed = layout(records, requested_align, group_experts)
+    n, align = placed.agg(F.count(F.lit(1)), F.max("align")).head()
+    align = align if n else max(1, requested_align)
     index_at = struct.calcsize(HEADER)
-    start = index_at + len(index) * struct.calcsize(RECORD)
+    start = index_at + n * struct.calcsize(RECORD)
     start += -start % max(1, align)
-    out = bytearray(struct.pack(HEADER, MAGIC, VERSION, len(index), align, index_at, start))
-    for r in sorted(index, key=lambda r: (r["layer"], r["slot"], KINDS.index(r["kind"]))):
-        out += struct.pack(RECORD, r["layer"], r["slot"], r["n_weights"], r["offset"], r["nbytes"], KINDS.index(r["kind"]), r["ty"])
-    for r in placed.select("offset", "payload").toLocalIterator():
-        out += bytes(start + r["offset"] - len(out)) + bytes(r["payload"])
-    put_file(path, bytes(out))
+
+    def pieces() -> Iterator[bytes]:
+        yield struct.pack(HEADER, MAGIC, VERSION, n, align, index_at, start)
+        kind = F.when(F.col("kind") == "gate", 0).when(F.col("kind") == "up", 1).otherwise(2).alias("k")
+        for r in placed.select("layer", "slot", kind, "n_weights", "offset", "nbytes", "ty").orderBy("layer", "slot", "k").toLocalIterator():
+            yield struct.pack(RECORD, r["layer"], r["slot"], r["n_weights"], r["offset"], r["nbytes"], r["k"], r["ty"])
+        at = index_at + n * struct.calcsize(RECORD)
+        for r in placed.select("offset", "payload").orderBy("offset").toLocalIterator():
+            yield bytes(start + r["offset"] - at) + bytes(r["payload"])
+            at = start + r["offset"] + len(r["payload"])
+        yield bytes(max(0, start - at))
+
+    put_file(path, pieces())
 
 
 def parse(path: str) -> tuple[int, int, list[tuple]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,7 +121,7 @@ def write(trace: DataFrame, path: str, n_layers: int, n_experts: int, top_k: int
 
     parts = ordered.mapInArrow(pack, "token long, data binary").orderBy("token")
     head = struct.pack(VERSIONS[2], MAGIC, 2, n_layers, n_experts, top_k, prefill_tokens)
-    put_file(path, head + b"".join(bytes(r["data"]) for r in parts.toLocalIterator()))
+    put_file(path, chain([head], (bytes(r["data"]) for r in parts.toLocalIterator())))
 
 
 def from_text(spark: SparkSession, path: str) -> DataFrame:
