@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,11 @@ BLOCK_DOCS, BLOCK_UNITS = 60_000, 4_000_000
 HELD_SUMS = 4_000_000
 #: Document rows in a row of block information.
 INFO_ROWS = 8192
+#: Documents of a block from which on a unit counts as frequent there. Its postings are dealt by block, too: into as many
+#: parts as there are blocks, SALTS at most, so that no unit's postings meet in one task.
+FREQUENT, SALTS = 1024, 4096
 
-POSTINGS = pa.schema([("key", pa.binary()), ("p", pa.binary())])
+POSTINGS = pa.schema([("key", pa.binary()), ("salt", pa.int32()), ("p", pa.binary())])
 #: Marks of keys: a unit's text, or a row of block information.
 UNIT, INFO = b"\x01", b"\x02"
 
@@ -33,7 +37,7 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, postings): block id (8 bytes), then places in the block (2 bytes each), then frequencies (1 byte each)."""
+    """Rows (unit, salt, postings): block id (8 bytes), then places in the block (2 bytes each), then frequencies (1 byte each)."""
     both, freq = np.unique(at << 16 | docs, return_counts=True)
     parts = -(-freq // 255)  # a frequency above 255 takes several postings
     full = np.repeat(both, parts)
@@ -52,14 +56,15 @@ def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list
     data[_ragged(starts + 8 + 2 * n, n)] = count
     keys = pa.array([UNIT + u.encode("utf-8", "surrogatepass") for u in units], pa.binary())
     bounds = np.concatenate([[0], ends]).astype(np.int32)
-    out = pa.record_batch([keys, pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(bounds), pa.py_buffer(data)])], schema=POSTINGS)
+    salt = np.where(n >= FREQUENT, 1 + zlib.crc32(block.to_bytes(8, "little")) % SALTS, 0).astype(np.int32)
+    out = pa.record_batch([keys, pa.array(salt), pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(bounds), pa.py_buffer(data)])], schema=POSTINGS)
     for k in range(0, out.num_rows, 50_000):
         yield out.slice(k, 50_000)
     rows = []
     for k in range(0, len(info), INFO_ROWS):
         part = info[k : k + INFO_ROWS]
         body = np.array([[d or 0 for d, _ in part], [d is None for d, _ in part], [n for _, n in part]], "<i8")
-        rows.append({"key": INFO + block.to_bytes(8, "little") + k.to_bytes(4, "little"), "p": np.array([block, k], "<i8").tobytes() + body.tobytes()})
+        rows.append({"key": INFO + block.to_bytes(8, "little") + k.to_bytes(4, "little"), "salt": 0, "p": np.array([block, k], "<i8").tobytes() + body.tobytes()})
     yield pa.RecordBatch.from_pylist(rows, POSTINGS)
 
 
@@ -146,9 +151,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Null text counts as empty: 0 bytes, 0 tokens. Null doc_ids and
     repeated rows are documents of their own. No rows: no rows.
 
-    Blocks of documents become postings (pre-token -> places in the block and frequencies), dealt by pre-token once;
-    both the distinct pre-tokens, whose pieces are counted, and the join back read that exchange. A frequent pre-token
-    has one row per block, which AQE may split. Sums return as a row per block and task; ids are not kept anywhere.
+    Blocks of documents become postings (pre-token -> places in the block and frequencies), dealt once by pre-token, and
+    by block where it is frequent; both the distinct pre-tokens, whose pieces are counted once each, and the join back read
+    that exchange. Sums return as a row per block and task; ids are not kept anywhere.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -160,16 +165,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     def count(batches):
         tok = load(path)
         for b in batches:
-            keys = [k for k in b.column(0).to_pylist() if k[:1] != INFO]
-            texts = [k[1:].decode("utf-8", "surrogatepass") for k in keys]
+            texts = [k[1:].decode("utf-8", "surrogatepass") for k in b.column(0).to_pylist()]
             n = [len(e.ids) for at in range(0, len(texts), 4096) for e in tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["key", "pieces"])
-
-    dealt = docs.select("doc_id", "text").mapInArrow(postings, "key binary, p binary").repartition(n_partitions(spark), "key")
-    # max(octet_length(p)) keeps both columns, and no filter on keys stands here, so that both readers share the exchange.
-    distinct = dealt.groupBy("key").agg(F.max(F.octet_length("p")).alias("most")).where(F.col("most") >= 0).select("key")
-    pieces = distinct.mapInArrow(count, "key binary, pieces long")
-    parts = dealt.join(pieces.hint("merge"), "key", "left").mapInArrow(_expand, "block long, info boolean, payload binary")
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], ["key", "salts", "pieces"])
+
+    dealt = docs.select("doc_id", "text").mapInArrow(postings, "key binary, salt int, p binary").repartition(n_partitions(spark), "key", "salt")
+    # max(octet_length(p)) keeps all columns, and no filter on keys stands here, so that both readers share the exchange.
+    distinct = dealt.groupBy("key", "salt").agg(F.max(F.octet_length("p")).alias("most")).where(F.col("most") >= 0)
+    by_key = distinct.where(F.substring("key", 1, 1) == F.lit(UNIT)).groupBy("key").agg(F.collect_set("salt").alias("salts"))  # at most SALTS + 1
+    pieces = by_key.mapInArrow(count, "key binary, salts array<int>, pieces long").select("key", F.explode("salts").alias("salt"), "pieces")
+    parts = dealt.join(pieces.hint("merge"), ["key", "salt"], "left").select("key", "p", "pieces").mapInArrow(_expand, "block long, info boolean, payload binary")
     sums = parts.groupBy("block").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-import pickle
+import math
+import struct
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import SparkSession
+
+from .common import n_partitions
 
 PARCEL = "to int, origin int, payload binary"
+#: About what a parcel takes besides its arrays, and from which size on it is worth compressing.
+PARCEL_BYTES, COMPRESSED = 60, 256
+
+
+def layout(spark: SparkSession, total: int, block_bytes: int) -> tuple[int, int]:
+    """Into how many blocks of texts and buckets of names a table of total bytes is dealt.
+
+    Blocks have block_bytes and buckets no more, until blocks times buckets, the number of parcels, would outweigh the
+    texts themselves; beyond that both grow with the square root of the input, to 77 MB at 100 TB.
+    """
+    size = max(block_bytes, math.isqrt(PARCEL_BYTES * total))
+    return max(1, -(-total // size)), max(n_partitions(spark), -(-total // size))
 
 
 def parcels(to: list, origin: list, payload: list) -> pa.Table:
@@ -16,11 +32,27 @@ def parcels(to: list, origin: list, payload: list) -> pa.Table:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays as bytes: a kind, then of each array its type and shape and its values; compressed where that pays."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        out += [struct.pack(f"<BB{a.ndim}I", ord(a.dtype.char), a.ndim, *a.shape), a.tobytes()]
+    raw = b"".join(out)
+    return b"\0" + raw if len(raw) < COMPRESSED else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unsqueeze(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    raw = data[1:] if data[0] == 0 else zstandard.ZstdDecompressor().decompress(data[1:])
+    at, out = 0, []
+    while at < len(raw):
+        kind, dims = raw[at], raw[at + 1]
+        shape = struct.unpack_from(f"<{dims}I", raw, at + 2)
+        at += 2 + 4 * dims
+        dtype = np.dtype(chr(kind))
+        n = math.prod(shape)
+        out.append(np.frombuffer(raw, dtype, n, at).reshape(shape))
+        at += n * dtype.itemsize
+    return tuple(out)
 
 
 SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)

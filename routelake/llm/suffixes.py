@@ -1,31 +1,30 @@
-"""Removal of byte strings that an earlier document holds: runs of equal strings in suffix order, first copies stay.
+"""Removal of byte strings that an earlier document holds, by longest previous factors; first copies stay.
 
 A string of SPAN bytes can stand twice only around an anchor that both places choose alike: the least of the hashed
-GRAM-byte strings in it. So only suffixes at anchors that several documents share are put in suffix order, dealt by
-anchor, and every string of SPAN bytes is still judged exactly, by its bytes.
+GRAM-byte strings in it. So only suffixes that start at or before anchors that several documents share are put in suffix
+order, dealt by anchor, and every string of SPAN bytes is still judged exactly, by its bytes.
 
 Blocks of documents pass four steps: (1) each sends its distinct anchors to buckets; (2) a bucket answers which of them
-several documents hold; (3) a block sends the bytes around those, once per distinct surrounding, with its least doc_id;
-a bucket sorts the suffixes by their first SPAN bytes and answers, for every place, the least document of its run of equal
-strings; longest previous factors, previous and next smaller places are not computed, as the result asks only whether an
-earlier document holds the same SPAN bytes; (4) a block marks what an earlier document holds. A string that a third of all
-documents share is one row per block in each step. The blocked texts are shuffled once and read three times.
+several documents hold; (3) a block sends the bytes around those, once per distinct surrounding, with its least doc_id; a
+bucket makes a suffix array of its suffixes with common prefixes, capped at SPAN bytes, and from the previous and next
+smaller documents in suffix order the longest previous factor of each suffix: where it reaches SPAN, an earlier document
+holds those bytes; (4) a block marks what an earlier document holds. A string that a third of all documents share is one row
+per block in each step. The blocked texts are shuffled once and read three times.
 """
 
 from __future__ import annotations
 
-import pickle
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_partitions, read, ship, trim
-from .parcels import PARCEL, bucket_of, held_by_several, mix, pack_names, parcels, squeeze, unpack_names, unsqueeze
+from .common import read, ship, trim
+from .parcels import PARCEL, bucket_of, held_by_several, layout, mix, pack_names, parcels, squeeze, unpack_names, unsqueeze
 
 GRAM = 20
-#: Bytes of a block at least, and blocks at most.
-BLOCK_BYTES, MOST_BLOCKS = 8_000_000, 200_000
+#: Bytes of a block; more only in very large tables, see layout().
+BLOCK_BYTES = 8_000_000
 #: Bytes hashed at a time, so that they stay in a processor's cache; contexts put in suffix order at a time.
 CHUNK, ORDERED = 1 << 17, 100_000
 NO_DOC = np.iinfo(np.int64).max
@@ -148,15 +147,68 @@ def same_rows(name: np.ndarray, around: np.ndarray, before: np.ndarray, after: n
     return group, order[np.flatnonzero(np.concatenate([[True], ~same]))]
 
 
+def smaller_before(doc: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every place in suffix order the previous one with a smaller document, and their common prefix; -1 and 0 where that
+    is shorter than least.
+
+    lcp: common prefix of a place and the one before. Links start at the place before and jump over each other: what stands
+    between a place and its link is never smaller, so a link may take over that of the place it points to.
+    """
+    at, held = np.arange(len(doc)) - 1, lcp.astype(np.int64)
+    open_ = held >= least
+    if len(open_):
+        open_[0] = False
+    at[~open_], held[~open_] = -1, 0
+    go = np.flatnonzero(open_)
+    while len(go):
+        go = go[doc[at[go]] >= doc[go]]
+        hop = at[go]
+        further, both = at[hop], np.minimum(held[go], held[hop])
+        lost = (further < 0) | (both < least)
+        at[go], held[go] = np.where(lost, -1, further), np.where(lost, 0, both)
+        go = go[~lost]
+    return at, held
+
+
+def longest_previous(doc: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors in suffix order: how many bytes of a suffix also start in an earlier document, and the place
+    there; 0 and -1 where fewer than least. Of all earlier ones, the previous and the next smaller place are the most alike.
+    """
+    before, n_before = smaller_before(doc, lcp, least)
+    after, n_after = smaller_before(doc[::-1], np.concatenate([lcp[:1], lcp[1:][::-1]]), least)
+    after, n_after = after[::-1], n_after[::-1]
+    after = np.where(after < 0, -1, len(doc) - 1 - after)
+    return np.maximum(n_before, n_after), np.where(n_before >= n_after, before, after)
+
+
+def common_prefixes(keys: list[np.ndarray], steps: list[int], span: int, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Equal bytes of each place in order and the one before, at most span; 0 across groups. keys: 8 bytes from each step on."""
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return out
+    a, b = order[1:], order[:-1]
+    apart, step = np.zeros(len(a), np.uint64), np.full(len(a), span, np.int64)
+    for key, at in zip(keys, steps, strict=True):
+        new = key[a] ^ key[b]
+        fresh = (apart == 0) & (new != 0)
+        apart[fresh], step[fresh] = new[fresh], at
+    equal = np.zeros(len(a), np.int64)
+    for bits in range(8, 64, 8):
+        equal += apart < np.uint64(1 << bits)
+    out[1:] = np.where(group[a] != group[b], 0, np.where(apart == 0, span, step + equal))
+    return out
+
+
 def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per suffix in these surroundings: its row, its place before the anchor, and the least document with the same span bytes.
+    """Per suffix in these surroundings: its row, its place before the anchor, and a document with the same span bytes: an
+    earlier one if there is any, else its own least.
 
-    Suffixes are put in order by their first span bytes. In that order, those with a longest common prefix of span or
-    more stand together, and a suffix has a previous factor of that length if its run holds a smaller document. So the
-    run's least document is taken; neither prefix lengths nor previous and next smaller documents are computed.
+    The suffix array holds suffixes by their first span bytes, equal ones by document. The answer is read from the longest
+    previous factors: those of span bytes have an earlier document, which stands at the previous or next smaller place.
     """
     wing = span - GRAM
     words = np.lib.stride_tricks.sliding_window_view(around, 8, axis=1)
+    steps = [*range(0, span - 7, 8), span - 8]
     rows, shifts, firsts = [], [], []
     bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])), [len(name)]])
     at = 0
@@ -164,26 +216,24 @@ def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, afte
         upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + ORDERED, side="right")) - 1)
         lo, hi = int(bounds[at]), int(bounds[upto])
         at = upto
-        big = np.ascontiguousarray(words[lo:hi]).view(">u8")[:, :, 0].astype(np.uint64)
+        held = lo + np.argsort(doc[lo:hi], kind="stable")  # sorting keeps this order among equal suffixes
+        big = np.ascontiguousarray(words[held]).view(">u8")[:, :, 0].astype(np.uint64)
         shift = np.arange(wing + 1)
-        ok = (shift <= before[lo:hi, None]) & (wing - shift <= after[lo:hi, None])
-        row, s = np.nonzero(ok)
-        steps = [*range(0, span - 7, 8), span - 8]
+        row, s = np.nonzero((shift <= before[held, None]) & (wing - shift <= after[held, None]))
         keys = [big[row, wing - s + o] for o in steps]
-        _, group = np.unique(name[lo:hi], return_inverse=True)
-        order = np.lexsort((*keys[::-1], group[row]))
-        a, b = order[1:], order[:-1]
-        new = group[row[a]] != group[row[b]]
-        for key in keys:
-            new |= key[a] != key[b]
-        run = np.flatnonzero(np.concatenate([[True], new]))
-        least = np.minimum.reduceat(doc[lo + row[order]], run) if len(order) else np.zeros(0, np.int64)
-        out = np.empty(len(order), np.int64)
-        out[order] = np.repeat(least, np.diff(np.append(run, len(order))))
-        rows.append(lo + row)
+        group = np.unique(name[held], return_inverse=True)[1][row]
+        order = np.lexsort((*keys[::-1], group))
+        lcp = common_prefixes(keys, steps, span, order, group)
+        own = doc[held[row[order]]]
+        factor, holder = longest_previous(own, lcp, span)
+        who = np.empty(len(order), np.int64)
+        who[order] = np.where(factor >= span, own[holder], own)
+        rows.append(held[row])
         shifts.append(s)
-        firsts.append(out)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, shifts, firsts))
+        firsts.append(who)
+    rows, shifts, firsts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, shifts, firsts))
+    by = np.argsort(rows, kind="stable")
+    return rows[by], shifts[by], firsts[by]
 
 
 def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -199,8 +249,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n_blocks = int(min(MOST_BLOCKS, max(1, -(-total // BLOCK_BYTES))))
-    buckets = n_partitions(spark)
+    n_blocks, buckets = layout(spark, total, BLOCK_BYTES)
     blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
 
     def offer(table: pa.Table) -> pa.Table:
@@ -261,7 +310,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         wing = span - GRAM
         # Runs of shifts with one holder: (number, from, to, holder).
         start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1])])) if len(row) else np.zeros(0, np.int64)
-        end = np.append(start[1:], len(row)) - 1
+        end = np.append(start[1:], len(row))[: len(start)] - 1
         number = np.concatenate([lone, several[row[start]]]).astype(np.int64)
         lo = np.concatenate([np.maximum(0, wing - after[first[lone]]), shift[start]])
         hi = np.concatenate([np.minimum(wing, before[first[lone]]), shift[end]])

@@ -493,3 +493,19 @@ def test_neighbours(spark):
     few = neighbours.nearest(df.where("vec_id < 3"), F.lit(True), 10)
     assert few.count() == 6
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(4)
+    for size, letters in ((1, 2), (30, 2), (300, 3), (2000, 2)):
+        for least in (1, 3, 6):
+            text, doc = rng.integers(0, letters, (size, 6)), rng.integers(0, 9, size)
+            order = np.lexsort((doc, *text.T[::-1]))
+            text, doc = text[order], doc[order]
+            same = lambda a, b: int(np.cumprod(text[a] == text[b]).sum())  # noqa: B023, E731
+            lcp = np.array([0, *(same(i - 1, i) for i in range(1, size))])
+            factor, at = suffixes.longest_previous(doc, lcp, least)
+            for i in range(0, size, 1 + size // 100):
+                want = max((same(i, j) for j in np.flatnonzero(doc < doc[i])), default=0)
+                assert factor[i] == (want if want >= least else 0)
+                assert at[i] < 0 if want < least else doc[at[i]] < doc[i] and same(i, at[i]) == want
