@@ -509,3 +509,132 @@ def test_longest_previous_factors():
                 want = max((same(i, j) for j in np.flatnonzero(doc < doc[i])), default=0)
                 assert factor[i] == (want if want >= least else 0)
                 assert at[i] < 0 if want < least else doc[at[i]] < doc[i] and same(i, at[i]) == want
+
+
+# Names, splits and repeated rows
+
+CLASHES = "_row _size _sha _copy _taken _d _key _id row rest size taken copy whole cut step kept stratum rid h skey id sha order target name list part".split()
+
+
+def test_columns_that_clash(spark, docs):
+    odd = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for made in (quality.kept_rows(odd, labels), mixing.mixed(odd), jaccard.one_of_each(odd), chaining.remove_passages(odd)):
+        assert made.columns == odd.columns
+        found = made.collect()
+        assert found
+        for r in found:
+            d = -1 if r["doc_id"] is None else r["doc_id"]
+            assert all(r[c] == f"{c}-{d}" for c in CLASHES)
+
+
+def test_rows_do_not_depend_on_splits(spark, docs, rows, tmp_path):
+    path = str(tmp_path / "d")
+    docs.repartition(8).write.parquet(path)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = sorted(str(r) for r in quality.kept_rows(docs, labels).select("doc_id", "text").collect())
+    mix = sorted(str(r) for r in mixing.mixed(docs).select("doc_id", "text").collect())
+    for before, after in (("1", "16"), ("16", "1")):
+        try:
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
+            read = spark.read.parquet(path)
+            kept, mixed = quality.kept_rows(read, labels), mixing.mixed(read)
+            spark.conf.set("spark.sql.files.minPartitionNum", after)
+            assert sorted(str(r) for r in kept.select("doc_id", "text").collect()) == want
+            assert sorted(str(r) for r in mixed.select("doc_id", "text").collect()) == mix
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_mix_of_equal_documents(spark):
+    rows = [(None, "one two three", "s")] * 5000 + [(7, "a b", "s")] * 500 + [(i, "w " * (i % 9), "t") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(df, weights=(1, 3)).toPandas()
+    for (_, t), g in got.groupby(["source_size", "target"]):
+        assert g.taken.sum() == math.floor(t + 0.5) and (g.taken <= 2 * g["size"]).all()
+    key = lambda f: sorted(f.fillna(-1).itertuples(index=False))
+    assert key(got) == key(mixing.mix(df.repartition(3), weights=(1, 3)).toPandas())
+
+
+def test_equal_rows_of_one_group(spark):
+    text = "a b c d e f g h i j"
+    df = spark.createDataFrame([(1, text, x) for x in ("q", "r", "p")] + [(2, text, "o")], "doc_id long, text string, other string")
+    kept = {tuple(jaccard.one_of_each(df.repartition(n, "other")).collect()[0]) for n in (1, 3, 4)}
+    assert len(kept) == 1 and next(iter(kept))[0] == 1
+
+
+def test_repeated_queries(spark):
+    x = np.random.default_rng(2).normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[100], rows[7]], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10).toPandas()
+    assert got[got.query_id == 0]["rank"].tolist() and sorted(got[got.query_id == 0]["rank"]) == list(range(1, 11))
+    twice = got[got.query_id == 100]
+    assert sorted(twice["rank"]) == sorted([*range(1, 11)] * 2)
+    assert twice[twice["rank"] == 1].vec_id.tolist() == [100, 100] and (twice[twice["rank"] == 1].score == 0).all()
+    assert (twice[twice["rank"] == 2].score > 0).all()
+
+
+# Rules by stratum
+
+
+def test_rules_are_certified_by_stratum(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(2400):
+        lang = ("a", "b", "c", None)[i % 4]
+        good = i % 12 < 8
+        noisy = not good or lang == "b" and rng.random() < 0.2  # good documents of b have symbols, too
+        rows.append((i, " ".join(f"w{rng.randrange(10**6)}" + "#" * (2 * noisy) for _ in range(30)), lang))
+        if lang != "c" or i < 100:  # c has few labels
+            labels.append((i, int(good), int(good and lang == "a" and i % 24 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).toPandas()
+    got["good"] = got.doc_id % 12 < 8
+    lost = lambda lang: 1 - got[got.good & (got.lang.isna() if lang is None else got.lang == lang)].kept.mean()
+    caught = lambda lang: 1 - got[~got.good & (got.lang.isna() if lang is None else got.lang == lang)].kept.mean()
+    assert caught("a") == caught(None) == 1 and lost("a") <= 0.04 and lost(None) <= 0.04
+    assert caught("b") == lost("b") == 0 and caught("c") == 0
+
+
+# Fuzzy passages
+
+
+def _common(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last, row = row, [0]
+        for j, b in enumerate(y):
+            row.append(last[j] + 1 if a == b else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_fuzzy_passages_are_found(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK_BYTES", 30_000)
+    rng = random.Random(11)
+    made = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+
+    def edited(p, share, kind):
+        at, out = set(rng.sample(range(len(p)), round(share * len(p)))), []
+        for i, w in enumerate(p):
+            out += [w] if i not in at else [made(1)[0]] if kind == "replaced" else [] if rng.random() < 0.5 else [w, *made(1)]
+        return out
+
+    texts, planted = [], collections.defaultdict(list)
+    for kind in ("replaced", "moved", "split"):
+        for share in (0.05, 0.1, 0.15):
+            for _ in range(25):
+                p = made(100)
+                texts += [made(15) + q + made(15) for q in ((p[:50], p[50:], p) if kind == "split" else (p,))]
+                q = edited(p, share, "replaced" if kind == "split" else kind)
+                planted[kind, share].append((len(texts), 15, 15 + len(q)))
+                texts.append(made(15) + q + made(15))
+    order = list(range(len(texts)))
+    got = chaining.find_passages(spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string")).collect()
+    covered = collections.defaultdict(set)
+    for r in got:
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        x, y = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["first_doc_id"]][r["first_start_word"] : r["first_end_word"]]
+        assert r["first_doc_id"] < r["doc_id"] and len(x) >= 50 and 0.8 * max(len(x), len(y)) <= r["matched"] <= _common(x, y)
+    for cell, places in planted.items():
+        assert np.mean([len(covered[d] & set(range(a, b))) >= 0.8 * (b - a) for d, a, b in places]) >= 0.9, cell
