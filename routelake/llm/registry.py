@@ -19,5 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op6_suffix_dedup": suffixes.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op10_jaccard_join": jaccard.ORACLE,
 }

@@ -383,3 +383,24 @@ def _result(block: Block, gone: np.ndarray) -> pa.Table:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return remove_earlier(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 50 bytes with its least document; places are walked in pieces of 300, as engines cut long strings slowly.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (SELECT rid, doc_id, o, substring(h, 2 * o + 1, 698) AS h FROM (SELECT *, unnest(range(0, len(h) // 2, 300)) AS o FROM d)),
+w AS MATERIALIZED (
+  SELECT rid, doc_id, o + i AS i, substring(h, 2 * i + 1, 100) AS g
+  FROM (SELECT *, unnest(range(0, least(300, len(h) // 2 - 49))) AS i FROM p WHERE len(h) >= 100)),
+first AS MATERIALIZED (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT rid, i, i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 IS NOT FALSE AS fresh FROM w JOIN first USING (g) WHERE doc_id > least),
+runs AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS r FROM gone) GROUP BY rid, r),
+per AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS las, list(b ORDER BY a) AS lbs FROM runs GROUP BY rid),
+parts AS (
+  SELECT d.*, n_removed, n_spans,
+    list_transform(range(0, coalesce(len(las), 0) + 1), lambda k: substring(h, 2 * coalesce(lbs[k], 0) + 1, 2 * (coalesce(las[k + 1], len(h) // 2) - coalesce(lbs[k], 0)))) AS kept
+  FROM d LEFT JOIN per USING (rid))
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(kept, ''))) AS kept_sha256
+FROM parts
+"""
