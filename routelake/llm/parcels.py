@@ -15,6 +15,8 @@ from .common import n_partitions
 PARCEL = "to int, origin int, payload binary"
 #: About what a parcel takes besides its arrays, and from which size on it is worth compressing.
 PARCEL_BYTES, COMPRESSED = 60, 256
+#: Blocks from which on a name counts as hot.
+HOT_BLOCKS = 256
 
 
 def layout(spark: SparkSession, total: int, block_bytes: int) -> tuple[int, int]:
@@ -83,7 +85,8 @@ def bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def held_by_several(table: pa.Table) -> pa.Table:
-    """Parcels (sorted names, bits: held by several in the block) of a bucket -> to each block, its names that several hold."""
+    """Parcels (sorted names, bits: held by several in the block) of a bucket -> to each block, its names that several hold,
+    with bits: in HOT_BLOCKS blocks or more."""
     origin, found = table["origin"].to_pylist(), [unsqueeze(p) for p in table["payload"].to_pylist()]
     name = [unpack_names(f[0]) for f in found]
     several = np.concatenate([np.unpackbits(f[1], count=len(n)).astype(bool) for f, n in zip(found, name, strict=True)])
@@ -92,6 +95,7 @@ def held_by_several(table: pa.Table) -> pa.Table:
     yes[group[several]] = True
     answers, at = [], 0
     for one in name:
-        answers.append(squeeze(pack_names(one[yes[group[at : at + len(one)]]])))
+        mine = group[at : at + len(one)]
+        answers.append(squeeze(pack_names(one[yes[mine]]), np.packbits(n[mine[yes[mine]]] >= HOT_BLOCKS)))
         at += len(one)
     return parcels(origin, table["to"].to_pylist(), answers)

@@ -9,7 +9,9 @@ several documents hold; (3) a block sends the bytes around those, once per disti
 bucket makes a suffix array of its suffixes with common prefixes, capped at SPAN bytes, and from the previous and next
 smaller documents in suffix order the longest previous factor of each suffix: where it reaches SPAN, an earlier document
 holds those bytes; (4) a block marks what an earlier document holds. A string that a third of all documents share is one row
-per block in each step. The blocked texts are shuffled once and read three times.
+per block in each step. Anchors in very many blocks are dealt by the bytes after them, for suffixes that reach far behind
+them, and once more by the bytes before them, for the others, so that one bucket doesn't get all that stands around a frequent
+word. The blocked texts are shuffled once and read three times.
 """
 
 from __future__ import annotations
@@ -199,8 +201,14 @@ def common_prefixes(keys: list[np.ndarray], steps: list[int], span: int, order:
     return out
 
 
-def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per suffix in these surroundings: its row, its place before the anchor, and a document with the same span bytes: an
+def sides(span: int) -> np.ndarray:
+    """Least and largest place before the anchor of suffixes: of all, of those dealt by the bytes after it, of the others."""
+    wing = span - GRAM
+    return np.array([[0, wing], [0, wing // 2], [wing // 2 + 1, wing]])
+
+
+def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, span: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per suffix in these surroundings, at the given least to largest places: its row, its place before the anchor, and a document with the same span bytes: an
     earlier one if there is any, else its own least.
 
     The suffix array holds suffixes by their first span bytes, equal ones by document. The answer is read from the longest
@@ -219,7 +227,8 @@ def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, afte
         held = lo + np.argsort(doc[lo:hi], kind="stable")  # sorting keeps this order among equal suffixes
         big = np.ascontiguousarray(words[held]).view(">u8")[:, :, 0].astype(np.uint64)
         shift = np.arange(wing + 1)
-        row, s = np.nonzero((shift <= before[held, None]) & (wing - shift <= after[held, None]))
+        ok = (shift <= before[held, None]) & (wing - shift <= after[held, None])
+        row, s = np.nonzero(ok & (shift >= places[held, :1]) & (shift <= places[held, 1:]))
         keys = [big[row, wing - s + o] for o in steps]
         group = np.unique(name[held], return_inverse=True)[1][row]
         order = np.lexsort((*keys[::-1], group))
@@ -269,15 +278,33 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         if not docs_.num_rows or not answers.num_rows:
             return parcels([], [], [])
         block = Block(docs_, span)
-        held = block.surroundings(_answered(answers))
+        shared, hot = _answered(answers["payload"].to_pylist())
+        held = block.surroundings(shared)
         least, most = _ends(block, held)
-        cut = np.searchsorted(bucket_of(held["name"], buckets), np.arange(buckets + 1))
-        parts = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        rows = [squeeze(np.array([a]), pack_names(held["name"][a:b]), held["around"][a:b], held["before"][a:b].astype(np.uint8), held["after"][a:b].astype(np.uint8), least[a:b], most[a:b]) for _, a, b in parts]
-        return parcels([k for k, _, _ in parts], [docs_["block"][0].as_py()] * len(parts), rows)
-
-    def _answered(answers: pa.Table) -> np.ndarray:
-        return np.unique(np.concatenate([unpack_names(unsqueeze(p)[0]) for p in answers["payload"].to_pylist()]))
+        is_hot = hot[np.searchsorted(shared, held["name"])]
+        wing, to, payload = span - GRAM, [], []
+        for side, chosen in ((0, ~is_hot), (1, is_hot & (held["after"] >= wing - wing // 2)), (2, is_hot & (held["before"] > wing // 2))):
+            at = np.flatnonzero(chosen)
+            name = held["name"][at]
+            if side:  # dealt by the anchor and the bytes that all suffixes of this side hold
+                context = held["around"][at, wing + GRAM : 2 * wing + GRAM - wing // 2] if side == 1 else held["around"][at, wing - wing // 2 - 1 : wing]
+                name = mix(np.column_stack([name, name >> np.uint64(24), context])) >> np.uint64(16)
+                by = np.argsort(name, kind="stable")
+                name, at = name[by], at[by]
+            cut = np.searchsorted(bucket_of(name, buckets), np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                part = at[cut[k] : cut[k + 1]]
+                to.append(k)
+                payload.append(squeeze(np.array([side]), np.diff(part, prepend=0).astype(np.int32), pack_names(name[cut[k] : cut[k + 1]]), held["around"][part], held["before"][part].astype(np.uint8), held["after"][part].astype(np.uint8), least[part], most[part]))
+        return parcels(to, [docs_["block"][0].as_py()] * len(to), payload)
+
+    def _answered(answers: list) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted names that several documents hold, and which of them are hot."""
+        found = [unsqueeze(p) for p in answers]
+        names_ = [unpack_names(f[0]) for f in found]
+        hot = [np.unpackbits(f[1], count=len(n)).astype(bool) for f, n in zip(found, names_, strict=True)]
+        every, first = np.unique(np.concatenate(names_), return_index=True)
+        return every, np.concatenate(hot)[first]
 
     def _ends(block: Block, held: dict) -> tuple[np.ndarray, np.ndarray]:
         doc, n = block.docs[held["of"]], len(held["name"])
@@ -290,13 +317,16 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         trim()
         origin, found = table["origin"].to_pylist(), [unsqueeze(p) for p in table["payload"].to_pylist()]
         sizes = [len(f[1]) for f in found]
-        offset = np.repeat([f[0][0] for f in found], sizes) + np.concatenate([np.arange(n) for n in sizes])
+        side = np.repeat([f[0][0] for f in found], sizes)
+        offset = np.concatenate([np.cumsum(f[1]) for f in found])
         sender = np.repeat(np.arange(len(found)), sizes)
-        name = np.concatenate([unpack_names(f[1]) for f in found])
-        around = np.concatenate([f[2] for f in found])
-        before, after = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (3, 4))
-        least, most = (np.concatenate([f[k] for f in found]) for k in (5, 6))
+        # Names of different sides are told apart by two bits.
+        name = np.concatenate([unpack_names(f[2]) for f in found]) << np.uint64(2) | side.astype(np.uint64)
+        around = np.concatenate([f[3] for f in found])
+        before, after = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (4, 5))
+        least, most = (np.concatenate([f[k] for f in found]) for k in (6, 7))
         group, first = same_rows(name, around, before, after)
+        places = sides(span)[side[first]]
         doc = np.full(len(first), NO_DOC)
         np.minimum.at(doc, group, least)
         # A surrounding that is alone at its anchor needs no order: all of its strings start first in its least document.
@@ -305,15 +335,15 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         run = np.cumsum(new) - 1
         alone = np.bincount(run)[run] == 1
         several = np.flatnonzero(~alone)
-        row, shift, holder = first_holders(first_name[several], around[first[several]], before[first[several]], after[first[several]], doc[several], span)
+        row, shift, holder = first_holders(first_name[several], around[first[several]], before[first[several]], after[first[several]], doc[several], span, places[several])
         lone = np.flatnonzero(alone)
         wing = span - GRAM
         # Runs of shifts with one holder: (number, from, to, holder).
         start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1])])) if len(row) else np.zeros(0, np.int64)
         end = np.append(start[1:], len(row))[: len(start)] - 1
         number = np.concatenate([lone, several[row[start]]]).astype(np.int64)
-        lo = np.concatenate([np.maximum(0, wing - after[first[lone]]), shift[start]])
-        hi = np.concatenate([np.minimum(wing, before[first[lone]]), shift[end]])
+        lo = np.concatenate([np.maximum(places[lone, 0], wing - after[first[lone]]), shift[start]])
+        hi = np.concatenate([np.minimum(places[lone, 1], before[first[lone]]), shift[end]])
         who = np.concatenate([doc[lone], holder[start]])
         by = np.argsort(number, kind="stable")
         number, lo, hi, who = number[by], lo[by], hi[by], who[by]
@@ -322,7 +352,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         ends = np.cumsum(count)
         pick = np.repeat(at[group] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
         member = np.repeat(np.arange(len(group)), count)
-        useful = who[pick] < most[member]
+        useful = (who[pick] < most[member]) & (lo[pick] <= hi[pick])
         pick, member = pick[useful], member[useful]
         cuts = np.searchsorted(sender[member], np.arange(len(found) + 1))
         answers = [squeeze(offset[member[a:b]].astype(np.int32), lo[pick[a:b]].astype(np.uint8), hi[pick[a:b]].astype(np.uint8), who[pick[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -336,8 +366,8 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
         payloads = [(unsqueeze(p), o) for p, o, kind in zip(answers["payload"].to_pylist(), answers["origin"].to_pylist(), answers["kind"].to_pylist(), strict=True) if kind == 1]
         marks = np.zeros(len(block.buf) + 1, np.int32)
         if payloads:
-            shared_names = np.unique(np.concatenate([unpack_names(unsqueeze(p)[0]) for p, kind in zip(answers["payload"].to_pylist(), answers["kind"].to_pylist(), strict=True) if kind == 0]))
-            held = block.surroundings(shared_names)
+            shared, _ = _answered([p for p, kind in zip(answers["payload"].to_pylist(), answers["kind"].to_pylist(), strict=True) if kind == 0])
+            held = block.surroundings(shared)
             by = np.argsort(held["group"], kind="stable")
             n_groups = len(held["name"])
             at, n = np.searchsorted(held["group"][by], np.arange(n_groups)), np.bincount(held["group"], minlength=n_groups)

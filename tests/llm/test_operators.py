@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from routelake.llm import chaining, common, counts, graph, jaccard, mixing, neighbours, packing, quality, registry, suffixes, units, warc, wavelet
+from routelake.llm import chaining, common, counts, graph, jaccard, mixing, neighbours, packing, parcels, quality, registry, suffixes, units, warc, wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -281,9 +281,10 @@ def test_gzip_forms():
 # Suffixes
 
 
-@pytest.mark.parametrize("block", [2_000, 10**7])
-def test_suffixes(docs, rows, none, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(2_000, 256), (2_000, 2), (10**7, 256)])
+def test_suffixes(docs, rows, none, monkeypatch, block, hot):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
+    monkeypatch.setattr(parcels, "HOT_BLOCKS", hot)
     got = suffixes.remove_earlier(docs).collect()
     first = {}
     for r in rows:
