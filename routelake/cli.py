@@ -139,23 +139,22 @@ def cmd_build_store(spark, a):
     freq = stats.frequency(wide.select("layer", F.explode("experts").alias("expert")), meta.n_experts)
     bps = surfaces.lookup(spark.createDataFrame([(2 * MIB, 8)], "blob_bytes long, queue_depth int"), _surface(spark, a.probe)).head()["bytes_per_sec"] or 2.4e9
     tags = {n: group_bytes(n) * 8 / 64 for n, *_ in NATIVE_TYPES}
-    decode = F.udf(lambda t, d: codec.decode(t, bytes(d), len(d) // codec.BLOCKS[t][1] * codec.BLOCKS[t][0]).tolist(), "array<float>", useArrow=True)
+    decode = codec.decode_slices
     slices = None
     for row in rows[: meta.n_layers]:
-        first = container.slices(spark, a.model).where(F.col("tensor") == row["expert_tensors"][0]).select(F.col("slice").alias("key"), decode("ggml_type", "data").alias("values"))
+        first = decode(container.slices(spark, a.model).where(F.col("tensor") == row["expert_tensors"][0]), "values").select(F.col("slice").alias("key"), "values")
         bits = F.create_map(*[x for n, b in tags.items() for x in (F.lit(n), F.lit(b))])
         sens = codec.rmse_by_codec(first).select(F.lit(row["trace_layer"]).alias("layer"), F.col("key").cast("int").alias("expert"), F.lit(1).alias("ord"), bits[F.col("name")].alias("bits"), F.col("rmse").alias("error"))
         zero = spark.range(row["n_experts"]).select(F.lit(row["trace_layer"]).alias("layer"), F.col("id").cast("int").alias("expert"), F.lit(0).alias("ord"), F.lit(row["min_baseline_bits"]).alias("bits"), F.lit(0.0).alias("error"))
         config = allocate.Config(row["weights_per_expert"], (a.ram_mib * MIB) // len(rows), row["min_baseline_bits"], storage_bps=bps, error_budget=("uniform", a.error_bits), require_protection=False)
         chosen = allocate.allocate(freq.where(F.col("layer") == row["trace_layer"]), sens.unionByName(zero), meta.n_tokens, config)
-        nearest = F.udf(allocate.nearest_native, "string", useArrow=True)
-        types = chosen.select(F.col("expert").alias("slice"), F.when(F.col("tier") == "resident", "Q8").otherwise(nearest("bits")).alias("type"))
-        one = container.slices(spark, a.model).where(F.col("tensor").isin(*row["expert_tensors"])).join(types, "slice")
-        one = one.select(F.lit(row["trace_layer"]).alias("layer"), F.col("slice").cast("int").alias("slot"), kind_of(F.col("tensor")).alias("kind"), "type", decode("ggml_type", "data").alias("weights"))
+        types = chosen.select(F.col("expert").alias("slice"), F.when(F.col("tier") == "resident", "Q8").otherwise(allocate.nearest_native(F.col("bits"))).alias("type"))
+        one = decode(container.slices(spark, a.model).where(F.col("tensor").isin(*row["expert_tensors"])), "weights").join(types, "slice")
+        one = one.select(F.lit(row["trace_layer"]).alias("layer"), F.col("slice").cast("int").alias("slot"), kind_of(F.col("tensor")).alias("kind"), "type", "weights")
         slices = one if slices is None else slices.unionByName(one)
     records = store.quantise(slices)
     store.write(records, a.out, a.group_align, a.group_experts)
-    store.read(spark, a.out, payload=False).groupBy("ty").agg(F.count(F.lit(1)).alias("n"), F.sum("nbytes").alias("bytes")).show()
+    store.precision_mix(store.read(spark, a.out, payload=False)).show()
 
 
 def cmd_bench(spark, a):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,3 +214,17 @@ def rmse_by_codec(vectors: DataFrame, names: tuple[str, ...] = tuple(BITS)) -> D
 
     kind = vectors.schema["key"].dataType.simpleString()
     return vectors.select("key", "values").mapInPandas(run, f"key {kind}, name string, rmse double")
+
+
+def decode_slices(slices: DataFrame, name: str) -> DataFrame:
+    """Container slices (tensor, slice, ggml_type, data) -> (tensor, slice, and their weights as array<float> under name), an Arrow
+    batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [decode(t, d, len(d) // BLOCKS[t][1] * BLOCKS[t][0]) for t, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.float32)
+            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.astype(np.float32)))], ["tensor", "slice", name])
+
+    return slices.select("tensor", "slice", "ggml_type", "data").mapInArrow(run, f"tensor string, slice long, {name} array<float>")

@@ -146,10 +146,12 @@ def allocate(freq: DataFrame, sens: DataFrame, tokens: int, config: Config) -> D
     return joined.groupBy("layer").applyInPandas(run, ALLOC)
 
 
-def nearest_native(bits: float) -> str:
+def nearest_native(bits: Column) -> Column:
+    """The native type whose bits per weight are nearest, the first of them on ties."""
     from ..functions.scalars import NATIVE_TYPES, group_bytes
 
-    return min(NATIVE_TYPES, key=lambda t: abs(group_bytes(t[0]) * 8 / 64 - bits))[0]
+    cells = [F.struct(F.abs(bits - group_bytes(n) * 8 / 64).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, *_) in enumerate(NATIVE_TYPES)]
+    return F.least(*cells)["name"]
 
 
 def demoted_any(alloc: DataFrame, baseline_bits: float) -> DataFrame:

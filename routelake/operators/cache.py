@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 POLICIES = ("lru", "lfu", "gdsf", "slru")
 #: Share of the capacity that SLRU protects, and the range it is held to.
 PROTECTED, PROTECTED_RANGE = 0.8, (0.05, 0.95)
+#: Accesses of a block in which reuse distances are counted, and blocks at most.
+BLOCK, MOST_BLOCKS = 200_000, 1000
 
 
 @dataclass
@@ -225,17 +228,53 @@ def _pair(log: DataFrame, configs: DataFrame) -> DataFrame:
     return every.join(F.broadcast(grid), "config").repartition(len(rows), "config").sortWithinPartitions("config", "seq")
 
 
-def reuse_distance(log: DataFrame) -> DataFrame:
-    """(seq, key, prev_seq, distance): distinct keys since the key's last use; null at its first.
+def smaller_after(values: np.ndarray) -> np.ndarray:
+    """How many later values are smaller, for each: halves of ever wider stretches are merged, all stretches at once."""
+    n = len(values)
+    out, at = np.zeros(n, np.int64), np.arange(n)
+    order, width = np.argsort(values, kind="stable"), 1
+    while width < n:
+        pair = at // (2 * width)
+        by = order[np.argsort(pair[order], kind="stable")]
+        right = (at[by] // width) % 2 == 1
+        seen = np.cumsum(right)
+        first = np.flatnonzero(np.concatenate([[True], pair[by][1:] != pair[by][:-1]]))
+        before = (seen - right)[first][pair[by]]
+        out[by] += np.where(right, 0, seen - before)
+        width *= 2
+    return out
+
+
+def reuse_distance(log: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(seq, key, prev_seq, distance): distinct keys since the key's last use; null at its first. log: seq (0, 1, ...), key.
 
-    A range join: for tests and short logs. simulate() is the way for long ones.
+    Between a use and the one before it stand all accesses but those whose own next use comes before, too: intervals that
+    lie inside. With seq cut into blocks, the inside ones that start in the same block are counted in one task per
+    block, those that only end in the same block in another, and all others from the numbers of intervals by first and last
+    block, a table of blocks squared. Blocks grow so that there are MOST_BLOCKS at most.
     """
-    prev = log.withColumn("prev_seq", F.lag("seq").over(Window.partitionBy("key").orderBy("seq"))).withColumn("next_seq", F.lead("seq").over(Window.partitionBy("key").orderBy("seq")))
-    a, b = prev.alias("a"), prev.alias("b")
-    # Each key that is used between counts once: by its last use before seq.
-    inside = (F.col("b.seq") > F.col("a.prev_seq")) & (F.col("b.seq") < F.col("a.seq")) & (F.col("b.next_seq").isNull() | (F.col("b.next_seq") >= F.col("a.seq")))
-    counts = a.where("prev_seq IS NOT NULL").join(b, inside, "left").groupBy("a.seq").agg(F.count("b.seq").alias("distance"))
-    return prev.select("seq", "key", "prev_seq").join(counts, "seq", "left")
+    n = log.agg(F.max("seq")).head()[0]
+    size = max(block, -(-((n or 0) + 1) // MOST_BLOCKS))
+    prev = log.select("seq", "key", F.lag("seq").over(Window.partitionBy("key").orderBy("seq")).alias("prev_seq"))
+    spans = prev.where("prev_seq IS NOT NULL").select("seq", "prev_seq", F.expr(f"prev_seq div {size}").alias("first"), F.expr(f"seq div {size}").alias("last"))
+
+    def starting(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("prev_seq")
+        return pdf.assign(inside=smaller_after(pdf["seq"].to_numpy()))
+
+    def ending(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ascending=False)
+        return pdf.assign(inside=pdf["inside"] + smaller_after(-pdf["first"].to_numpy()))
+
+    schema = "seq long, prev_seq long, first long, last long, inside long"
+    near = spans.groupBy("first").applyInPandas(starting, schema).groupBy("last").applyInPandas(ending, schema)
+    cells = spans.groupBy("first", "last").agg(F.count(F.lit(1)).alias("n"))  # MOST_BLOCKS squared rows at most
+    a, b = cells.select("first", "last").alias("a"), cells.alias("b")
+    wide = a.where(F.col("a.last") > F.col("a.first") + 1).join(F.broadcast(b), (F.col("b.first") > F.col("a.first")) & (F.col("b.last") < F.col("a.last")))
+    far = wide.groupBy("a.first", "a.last").agg(F.sum("b.n").alias("far"))
+    counted = near.join(F.broadcast(far), ["first", "last"], "left")
+    distance = F.col("seq") - F.col("prev_seq") - 1 - F.col("inside") - F.coalesce("far", F.lit(0))
+    return prev.join(counted.select("seq", distance.alias("distance")), "seq", "left")
 
 
 def lru_hits(log: DataFrame, slots: list[int]) -> DataFrame:

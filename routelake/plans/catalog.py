@@ -275,7 +275,15 @@ def layout_cost_relabelled(spark, sf_dir):
     return _layout_cost(spark, sf_dir, 0, True)
 
 
-@query()
+_PAIRS = f"""{TRACE_SQL}, pair AS (SELECT a.layer, a.expert AS ea, b.expert AS eb, count(*) AS n FROM trace a JOIN trace b ON a.token = b.token AND a.layer = b.layer AND a.expert <> b.expert GROUP BY ALL),
+grid AS (SELECT l::INT AS layer, a::INT AS ea, b::INT AS eb FROM range(0, {LAYERS}) x(l), range(0, {EXPERTS}) y(a), range(0, {EXPERTS}) z(b)),
+co AS (SELECT layer, list(coalesce(n, 0) ORDER BY ea, eb) AS m, arg_min([ea, eb], (-coalesce(n, 0), ea, eb)) FILTER (ea < eb) AS pair_ FROM grid LEFT JOIN pair USING (layer, ea, eb) GROUP BY layer)"""
+_ORDER = f"""WITH RECURSIVE {_PAIRS}, run AS (SELECT layer, m, pair_ AS o FROM co UNION ALL
+SELECT layer, m, list_append(o, list_min(list_transform(list_filter(range(0, {EXPERTS}), lambda e: NOT list_contains(o, e)), lambda e: struct_pack(near := -m[o[-1] * {EXPERTS} + e + 1], recent := -list_sum(list_transform(o[-4:], lambda x: m[x * {EXPERTS} + e + 1])), id := e))).id::INT)
+FROM run WHERE len(o) < {EXPERTS})"""
+
+
+@query(f"{_ORDER} SELECT layer, unnest(range(0, {EXPERTS}))::INT AS slot, unnest(o) AS expert FROM run WHERE len(o) = {EXPERTS}")
 def seriation(spark, sf_dir):
     return layout.seriation(stats.coactivation(derive.trace_wide(spark, sf_dir)), EXPERTS)
 
@@ -285,6 +293,24 @@ def layout_optimize(spark, sf_dir):
     return layout.optimise(derive.trace_wide(spark, sf_dir), derive.surface(spark), EXPERTS, 131072, passes=3)
 
 
+@query(_layout_sql(0).replace("SELECT layer, round(avg(bytes / bw), 12) AS seconds_per_token, round(avg(bytes), 6) AS bytes_per_token, round(avg(requests), 9) AS requests_per_token FROM", "SELECT layer, 0 AS broken_orders, true AS no_worse, true AS cost_agrees, round(avg(bytes / bw), 12) AS seconds_before FROM"))
+def layout_search_invariants(spark, sf_dir):
+    """What must hold of searched orders: each is a permutation, costs no more than the identity, and costs what the layout's
+    own cost says."""
+    wide = derive.trace_wide(spark, sf_dir)
+    found = layout.optimise(wide, derive.surface(spark), EXPERTS, 131072, passes=3)
+    each = found.groupBy("layer").agg(F.first("seconds_before").alias("before"), F.first("seconds_after").alias("after"))
+    broken = layout.check_permutation(found, EXPERTS).select("layer", F.lit(1).alias("bad"))
+    costed = layout.cost(layout.shape(layout.slots_of(wide, found.select("layer", "slot", "expert")), 0), derive.surface(spark), 131072, 3, 8).select("layer", "seconds_per_token")
+    rows = each.join(broken, "layer", "left").join(costed, "layer")
+    return rows.select("layer", F.coalesce("bad", F.lit(0)).alias("broken_orders"), (F.col("after") <= F.col("before")).alias("no_worse"), (F.abs(F.col("after") / F.col("seconds_per_token") - 1) < 1e-9).alias("cost_agrees"), F.round("before", 12).alias("seconds_before"))
+
+
+@query(f"WITH a AS ({_layout_sql(0)}), b AS ({_layout_sql(0, '(expert % 4) * 4 + expert // 4')}), r AS (SELECT layer, a.seconds_per_token / b.seconds_per_token AS s FROM a JOIN b USING (layer)) SELECT layer, round(s, 6) AS speedup, s >= 1.05 AS worth_repacking FROM r")
+def layout_speedup(spark, sf_dir):
+    return layout.speedup(_layout_cost(spark, sf_dir, 0), _layout_cost(spark, sf_dir, 0, True)).withColumn("speedup", F.round("speedup", 6))
+
+
 # Caches
 
 _DIST = f"""WITH {LOG_SQL}, p AS (SELECT *, lag(seq) OVER k AS prev_seq, lead(seq) OVER k AS next_seq FROM log WINDOW k AS (PARTITION BY key ORDER BY seq)),
@@ -293,8 +319,8 @@ d AS (SELECT a.seq, count(b.seq) AS distance FROM p a LEFT JOIN p b ON b.seq > a
 
 @query(f"{_DIST} SELECT p.seq, p.key, p.prev_seq, d.distance FROM p LEFT JOIN d USING (seq)")
 def reuse_distance(spark, sf_dir):
-    """Short logs only: a range join. lru_hit_rate runs the policy itself over the whole log."""
-    return cache.reuse_distance(derive.access_log(spark, sf_dir))
+    """With far smaller blocks than usual, so that all parts of the count have rows."""
+    return cache.reuse_distance(derive.access_log(spark, sf_dir), 500)
 
 
 def _configs(spark, policies, slots):
@@ -511,10 +537,78 @@ def weighted_loss(spark, sf_dir):
     return lost.groupBy("layer", "at_bits").agg(F.round(F.sum(F.col("n") / F.lit(float(n)) * F.col("loss")), R).alias("expected"))
 
 
-@query()
+_RUNGS = [(8.25, "keep"), *sorted((r for r in allocate.LADDER if r[0] < 8.25), reverse=True)]
+#: The greedy demotion, step by step: per layer where each expert stands on the ladder, and the loss so far.
+_ALLOCATION = f"""WITH RECURSIVE {TRACE_SQL}, {_SENS}, f AS (SELECT layer, expert, count(*) AS n FROM trace GROUP BY ALL),
+g AS (SELECT l::INT AS layer, e::INT AS expert, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY l ORDER BY coalesce(n, 0) DESC, e) <= 7 AS resident FROM range(0, {LAYERS}) x(l) CROSS JOIN range(0, {EXPERTS}) y(e) LEFT JOIN f ON layer = l AND expert = e),
+rung(k, bits, label) AS (VALUES {", ".join(f"({k}, {b}::DOUBLE, '{name}')" for k, (b, name) in enumerate(_RUNGS))}),
+r AS (SELECT g.*, k, bits, label, n / (SELECT count(*) FROM embeddings)::DOUBLE AS rate, ceil(4194304 * bits / 8) AS size, ceil(4194304 * bits / 8) / CASE WHEN resident THEN {allocate.RESIDENT_BPS} ELSE {allocate.STORAGE_BPS} END::DOUBLE AS seconds,
+  (SELECT arg_min(s.error, (abs(s.bits - rung.bits), s.ord)) FROM sens s WHERE s.layer = g.layer AND s.expert = g.expert) AS loss FROM g, rung),
+t AS (SELECT layer, list(struct_pack(rate := rate, seconds := seconds, loss := loss) ORDER BY expert, k) AS c, sum(rate * loss) FILTER (bits = 4.5) AS ceiling, sum(rate * loss) FILTER (k = 0) AS loss0 FROM r GROUP BY layer),
+run AS (
+  SELECT layer, c, ceiling, loss0 AS now, list_transform(range(0, {EXPERTS}), lambda e: 0::BIGINT) AS st, false AS over_ FROM t
+  UNION ALL
+  SELECT layer, c, ceiling, CASE WHEN pick IS NULL THEN now ELSE now + pick.added END, CASE WHEN pick IS NULL THEN st ELSE list_transform(st, lambda x, i: CASE WHEN i - 1 = pick.e THEN x + 1 ELSE x END) END, pick IS NULL
+  FROM (SELECT *, list_min(list_filter(list_transform(list_filter(range(0, {EXPERTS}), lambda e: st[e + 1] + 1 < {len(_RUNGS)}), lambda e: struct_pack(
+      costly := CASE WHEN c[e * {len(_RUNGS)} + st[e + 1] + 2].loss <= c[e * {len(_RUNGS)} + st[e + 1] + 1].loss OR c[e * {len(_RUNGS)} + 1].rate = 0 THEN 0 ELSE 1 END,
+      gain := CASE WHEN c[e * {len(_RUNGS)} + st[e + 1] + 2].loss <= c[e * {len(_RUNGS)} + st[e + 1] + 1].loss OR c[e * {len(_RUNGS)} + 1].rate = 0 THEN 0 ELSE
+        -(c[e * {len(_RUNGS)} + 1].rate * (c[e * {len(_RUNGS)} + st[e + 1] + 1].seconds - c[e * {len(_RUNGS)} + st[e + 1] + 2].seconds)) / (c[e * {len(_RUNGS)} + 1].rate * (c[e * {len(_RUNGS)} + st[e + 1] + 2].loss - c[e * {len(_RUNGS)} + st[e + 1] + 1].loss)) END,
+      e := e, added := c[e * {len(_RUNGS)} + 1].rate * (c[e * {len(_RUNGS)} + st[e + 1] + 2].loss - c[e * {len(_RUNGS)} + st[e + 1] + 1].loss))), lambda x: x.costly = 0 OR now + x.added <= ceiling)) AS pick
+    FROM run WHERE NOT over_)),
+chosen AS (SELECT layer, unnest(range(0, {EXPERTS}))::INT AS expert, unnest(st) AS k FROM run WHERE over_)
+SELECT layer, expert, n AS freq, CASE WHEN resident THEN 'resident' ELSE 'storage' END AS tier, bits, label, size::BIGINT AS bytes FROM chosen JOIN r USING (layer, expert, k)"""
+
+
+@query(_ALLOCATION)
 def bit_allocation(spark, sf_dir):
     config = allocate.Config(weights_per_expert=4 << 20, resident_budget=8 * (4 << 20), baseline_bits=8.25, error_budget=("uniform", 4.5), require_protection=False)
-    return allocate.allocate(stats.frequency(derive.trace(spark, sf_dir), EXPERTS), _mean_sens(spark, sf_dir), n_tokens(spark, sf_dir), config)
+    plan = allocate.allocate(stats.frequency(derive.trace(spark, sf_dir), EXPERTS), _mean_sens(spark, sf_dir), n_tokens(spark, sf_dir), config)
+    return plan.select("layer", "expert", "freq", "tier", "bits", "label", "bytes")
+
+
+@query(f"WITH plan AS ({_ALLOCATION.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)}) SELECT layer, bool_or(bits < 8.25) AS demoted FROM plan GROUP BY layer")
+def allocation_demoted(spark, sf_dir):
+    return allocate.demoted_any(bit_allocation(spark, sf_dir), 8.25)
+
+
+@query("WITH t(ord, name, b) AS (VALUES " + ", ".join(f"({i}, '{n}', {scalars.group_bytes(n) / 8}::DOUBLE)" for i, (n, *_) in enumerate(scalars.NATIVE_TYPES)) + ") SELECT vec_id, arg_min(name, (abs(1 + 8 * abs(embedding[1]::DOUBLE) - b), ord)) AS type FROM embeddings, t GROUP BY vec_id")
+def nearest_native_type(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", allocate.nearest_native(1 + 8 * F.abs(F.get("embedding", 0).cast("double"))).alias("type"))
+
+
+@query("SELECT CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END::INT AS ty, count(*) AS n, sum(CASE WHEN vec_id % 2 = 0 THEN 36 ELSE 20 END)::BIGINT AS bytes FROM embeddings GROUP BY 1")
+def precision_mix(spark, sf_dir):
+    """What a store written from all embeddings holds of each type."""
+    from ..sources import store
+
+    return store.precision_mix(store_file_round_trip(spark, sf_dir))
+
+
+_SIZES = "sizes AS (SELECT lang AS key, sum(octet_length(encode(text)))::BIGINT AS n FROM documents GROUP BY lang)"
+
+
+@query(f"""WITH {_SIZES} SELECT key, n, CASE WHEN n >= power(2, 40) THEN printf('%.2f TiB', n / power(2, 40)) WHEN n >= power(2, 30) THEN printf('%.2f GiB', n / power(2, 30)) WHEN n >= power(2, 20) THEN printf('%.2f MiB', n / power(2, 20)) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024.0::DOUBLE) ELSE printf('%d B', n) END AS human,
+round(n / {allocate.RESIDENT_BPS}::DOUBLE, 12) AS resident_seconds, round(n / {allocate.STORAGE_BPS}::DOUBLE, 12) AS storage_seconds, round({allocate.RESIDENT_BPS}::DOUBLE / {allocate.STORAGE_BPS}::DOUBLE, {R}) AS penalty FROM sizes""")
+def tier_costs(spark, sf_dir):
+    """Bytes of text by language, read at each tier's rate."""
+    n, fast, slow = F.col("n"), F.lit(allocate.RESIDENT_BPS), F.lit(allocate.STORAGE_BPS)
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("key")).agg(F.sum(F.octet_length("text")).alias("n"))
+    return sizes.select("key", "n", scalars.human(n).alias("human"), F.round(scalars.tier_seconds(n, fast), 12).alias("resident_seconds"), F.round(scalars.tier_seconds(n, slow), 12).alias("storage_seconds"), F.round(scalars.storage_penalty(fast, slow), R).alias("penalty"))
+
+
+_COUNTERS = "c AS (SELECT vec_id AS id, (vec_id * 37 % 101)::BIGINT AS cached, (vec_id % 97)::BIGINT AS recently_evicted, (vec_id % 3 * 101)::BIGINT AS pages FROM embeddings)"
+
+
+@query(f"WITH {_COUNTERS} SELECT id, round(CASE WHEN pages > 0 THEN cached / pages::DOUBLE ELSE 0 END, {R}) AS cached_fraction, recently_evicted > 0 AS thrashing FROM c")
+def page_residency(spark, sf_dir):
+    v = F.col("vec_id")
+    counters = table(spark, sf_dir, "embeddings").select(v.alias("id"), (v * 37 % 101).alias("cached"), (v % 97).alias("recently_evicted"), (v % 3 * 101).alias("pages"))
+    return rounded(surfaces.residency(counters), "cached_fraction").select("id", "cached_fraction", "thrashing")
+
+
+@query(f"WITH {SURFACE_SQL} SELECT blob_bytes::BIGINT AS blob_bytes, arg_min(queue_depth, (-bytes_per_sec, queue_depth)) AS queue_depth, max(bytes_per_sec) AS bytes_per_sec FROM surface GROUP BY blob_bytes")
+def best_depth(spark, sf_dir):
+    return surfaces.first_best(derive.surface(spark), ["blob_bytes"], "bytes_per_sec", ["queue_depth"]).select("blob_bytes", "queue_depth", "bytes_per_sec")
 
 
 # Models
@@ -588,6 +682,11 @@ def survey_slices(spark, sf_dir):
     return model.survey(spark.createDataFrame(REPOS, "repo string, experts int, hidden long, inter long")).select("repo", "slice_bytes", "in_band")
 
 
+@query("WITH c(repo, experts, hidden, inter) AS (VALUES " + ", ".join(f"('{r}', {e or 'NULL'}, {h}, {i})" for r, e, h, i in REPOS) + "), s AS (SELECT repo, hidden * inter * 4.5::DOUBLE / 8 AS b FROM c WHERE experts IS NOT NULL) SELECT count(*) FILTER (b < 262144) AS n_in_band, count(*) AS n, arg_min(repo, (b, repo)) AS smallest, min(b) AS smallest_bytes FROM s")
+def survey_summary(spark, sf_dir):
+    return model.survey_summary(model.survey(spark.createDataFrame(REPOS, "repo string, experts int, hidden long, inter long")))
+
+
 @query(f"{_RANKED} SELECT 'blk.' || layer || '.ffn_up_exps.weight' AS tensor, slot AS slice, 'bytes differ' AS problem FROM h, range(0, 16) s(slot) WHERE r = 1 AND (slot * 7 + 3) % 16 = expert")
 def verify_permutation(spark, sf_dir):
     """A checkpoint repacked by a permutation, in which a byte of each layer's hottest expert is then changed: verify finds these
@@ -698,7 +797,7 @@ def store_file_round_trip(spark, sf_dir):
     return store.read(spark, path, payload=False).select("layer", "slot", "kind", "ty", "n_weights", "nbytes")
 
 
-@query()
+@query(f"SELECT {4 * LAYERS + 1} AS tensors, {4 * LAYERS} AS permuted, 0 AS mismatches")
 def repack_round_trip(spark, sf_dir):
     """A checkpoint repacked by co-activation order and verified: (tensors, permuted, mismatches)."""
     from ..sources import plan, scratch, synth

@@ -71,6 +71,11 @@ def spans(placed: DataFrame) -> DataFrame:
     return one.select("layer", "slot", "bytes", "offset", (F.col("end") - F.col("offset")).alias("span"), (F.col("end") - F.col("offset") == F.col("bytes")).alias("contiguous"))
 
 
+def precision_mix(records: DataFrame) -> DataFrame:
+    """(ty, n, bytes): how many records of a store have each type, and what they take."""
+    return records.groupBy("ty").agg(F.count(F.lit(1)).alias("n"), F.sum("nbytes").alias("bytes"))
+
+
 def quantise(slices: DataFrame) -> DataFrame:
     """slices (layer, slot, kind, type, weights array<float>) -> (layer, slot, kind, ty, n_weights, nbytes, payload)."""
     tags = {name: tag for name, tag, _, _ in NATIVE_TYPES}

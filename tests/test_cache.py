@@ -1,5 +1,7 @@
 """Policies against published shares of the optimum, a plain emulation, and each other."""
 
+import random
+
 import pytest
 
 from routelake.operators import cache
@@ -93,3 +95,17 @@ def test_stream_equals_batch(spark, tmp_path):
             if n == name:
                 c.access(k, 1, 1.0)
         assert got[name] == c.stats.hits
+
+
+def test_reuse_distances_in_blocks(spark):
+    rng = random.Random(21)
+    keys = [rng.choice([1, 1, 1, *range(30)]) for _ in range(400)]
+    log = spark.createDataFrame(list(enumerate(keys)), "seq long, key long")
+    want = {}
+    for s, k in enumerate(keys):
+        before = [i for i in range(s) if keys[i] == k]
+        want[s] = (before[-1], len(set(keys[before[-1] + 1 : s]))) if before else (None, None)
+    for block in (7, 100, 1000):
+        got = {r["seq"]: (r["prev_seq"], r["distance"]) for r in cache.reuse_distance(log, block).collect()}
+        assert got == want
+    assert cache.reuse_distance(log.where("false")).count() == 0
