@@ -41,7 +41,8 @@ def features(docs: DataFrame, carry: bool = False) -> DataFrame:
     # Only texts with a window twice are sorted: (window, place) in order, places whose neighbour has the same window, words under them.
     pairs = F.array_sort(F.transform(F.col("_g"), lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     places = lambda p: F.array_sort(F.transform(F.filter(p, lambda x, j: (x["g"] == F.get(p, j - 1)["g"]) | (x["g"] == F.get(p, j + 1)["g"])), lambda x: x["i"]))
-    covered = lambda q: F.aggregate(q, F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(5), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
+    covered = lambda q: F.aggregate(q, F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda a,
+        x: F.struct((a["n"] + F.least(F.lit(5), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     # A one-element transform binds an intermediate array once instead of copying its expression.
     bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     repeated = F.when(F.size(F.array_distinct("_g")) == F.size("_g"), F.lit(0)).otherwise(bind(pairs, lambda p: covered(places(p))))
@@ -93,7 +94,8 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float, delta: float)
     stratum's rules reject more than alpha of its good documents. Rejections grow from step to step, and so does the
     level: the last step below the limit is the one before the first above it.
     """
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(0))) == 0).alias("c")).where("q AND c").select("_id")
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("q"),
+        (F.max(F.coalesce("toxic", F.lit(0))) == 0).alias("c")).where("q AND c").select("_id")
     held = feats.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_id"), "left_semi")
     at_step = [F.sum((F.col("step") <= j).cast("long")).alias(f"k_{j}") for j in range(1, STEPS + 1)]
     counts = held.groupBy(stratum(F.col("lang")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *at_step)

@@ -295,7 +295,8 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 part = at[cut[k] : cut[k + 1]]
                 to.append(k)
-                payload.append(squeeze(np.array([side]), np.diff(part, prepend=0).astype(np.int32), pack_names(name[cut[k] : cut[k + 1]]), held["around"][part], held["before"][part].astype(np.uint8), held["after"][part].astype(np.uint8), least[part], most[part]))
+                payload.append(squeeze(np.array([side]), np.diff(part, prepend=0).astype(np.int32), pack_names(name[cut[k] : cut[k + 1]]),
+                    held["around"][part], held["before"][part].astype(np.uint8), held["after"][part].astype(np.uint8), least[part], most[part]))
         return parcels(to, [docs_["block"][0].as_py()] * len(to), payload)
 
     def _answered(answers: list) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +413,8 @@ def _result(block: Block, gone: np.ndarray) -> pa.Table:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return remove_earlier(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_earlier(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: Every string of 50 bytes with its least document; places are walked in pieces of 300, as engines cut long strings slowly.

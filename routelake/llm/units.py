@@ -58,7 +58,9 @@ def split_rule(path: str) -> str:
         return "before_space"
     steps = [n["type"] for n in (norm or {}).get("normalizers", [])]
     parts = (pre or {}).get("pretokenizers") or [{}]
-    if set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s" in parts[0]["pattern"].get("Regex", ""):
+    if set(steps) <= {"NFC", "Replace",
+        "Lowercase"} and "Lowercase" in steps and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s" in parts[0]["pattern"].get("Regex",
+        ""):
         return "at_space"
     return "whole"
 

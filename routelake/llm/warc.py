@@ -124,7 +124,8 @@ def normalise(data: bytes, revisits: dict[int, int | None]) -> tuple[bytes, byte
             whole = revisit(whole, revisits[k])
         squeeze = zlib.compressobj(4, zlib.DEFLATED, GZIP)
         member = squeeze.compress(whole) + squeeze.flush()
-        index.append({"offset": len(out), "length": len(member), "type": "revisit" if k in revisits else "response", "uri": head["warc-target-uri"], "digest": head["warc-payload-digest"], "id": head["warc-record-id"]})
+        index.append({"offset": len(out), "length": len(member), "type": "revisit" if k in revisits else "response", "uri": head["warc-target-uri"],
+            "digest": head["warc-payload-digest"], "id": head["warc-record-id"]})
         out += member
     return bytes(out), "".join(json.dumps(x) + "\n" for x in index).encode()
 
@@ -235,7 +236,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         raise ValueError(f"record {at['id']} doesn't agree with its headers")
                     number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
                     rows.append({"page_id": number("x-page-id"), "payload_bytes": size, "payload_digest": sha, "record_type": head["warc-type"], "refers_to": number("x-refers-to-page-id")})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
+                yield pa.RecordBatch.from_pylist(rows,
+                    pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
     return _archives(spark, folder).mapInArrow(parse, RECORD_SQL)
 

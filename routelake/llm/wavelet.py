@@ -55,7 +55,8 @@ def encode_segment(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes
         cur = other
     null = np.array([d is None for d in doc_ids], np.uint8)
     directory = b"".join(
-        [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), lengths.astype("<i8").tobytes(), alphabet.astype("<u4").tobytes(), np.array(zeros, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(ones, "<i8").tobytes()]
+        [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), lengths.astype("<i8").tobytes(), alphabet.astype("<u4").tobytes(),
+            np.array(zeros, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(ones, "<i8").tobytes()]
     )
     directory = zstandard.ZstdCompressor(level=3).compress(directory)
     return struct.pack("<5Q", len(ids), levels, len(doc_ids), len(alphabet), len(directory)) + directory + b"".join(blocks)
@@ -249,7 +250,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard
             name = f"{part:08d}-{k:06d}.wm"
             every, lengths = np.concatenate(ids), np.concatenate(lens)
             put(folder, name, encode_shard(every, doc_ids, lengths))
-            row = pa.RecordBatch.from_pylist([{"part": part, "shard": k, "name": name, "n_docs": len(doc_ids), "n_ids": len(every)}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = pa.RecordBatch.from_pylist([{"part": part, "shard": k, "name": name, "n_docs": len(doc_ids), "n_ids": len(every)}],
+                pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             doc_ids, lens, ids, k = [], [], [], k + 1
             del every, lengths
             trim()
@@ -288,7 +290,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 trim()
                 rows = len(shard.doc_ids)
                 yield pa.record_batch(
-                    [pa.array([b.column(0)[i].as_py()] * rows, pa.string()), pa.array(shard.doc_ids, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array([crc(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64())],
+                    [pa.array([b.column(0)[i].as_py()] * rows, pa.string()), pa.array(shard.doc_ids, pa.int64()), pa.array(at[:-1], pa.int64()),
+                        pa.array(shard.lengths, pa.int64()), pa.array([crc(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64())],
                     ["name", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
 
