@@ -144,8 +144,10 @@ def cmd_build_store(spark, a):
     for row in rows[: meta.n_layers]:
         first = decode(container.slices(spark, a.model).where(F.col("tensor") == row["expert_tensors"][0]), "values").select(F.col("slice").alias("key"), "values")
         bits = F.create_map(*[x for n, b in tags.items() for x in (F.lit(n), F.lit(b))])
-        sens = codec.rmse_by_codec(first).select(F.lit(row["trace_layer"]).alias("layer"), F.col("key").cast("int").alias("expert"), F.lit(1).alias("ord"), bits[F.col("name")].alias("bits"), F.col("rmse").alias("error"))
-        zero = spark.range(row["n_experts"]).select(F.lit(row["trace_layer"]).alias("layer"), F.col("id").cast("int").alias("expert"), F.lit(0).alias("ord"), F.lit(row["min_baseline_bits"]).alias("bits"), F.lit(0.0).alias("error"))
+        sens = codec.rmse_by_codec(first).select(F.lit(row["trace_layer"]).alias("layer"), F.col("key").cast("int").alias("expert"),
+            F.lit(1).alias("ord"), bits[F.col("name")].alias("bits"), F.col("rmse").alias("error"))
+        zero = spark.range(row["n_experts"]).select(F.lit(row["trace_layer"]).alias("layer"), F.col("id").cast("int").alias("expert"),
+            F.lit(0).alias("ord"), F.lit(row["min_baseline_bits"]).alias("bits"), F.lit(0.0).alias("error"))
         config = allocate.Config(row["weights_per_expert"], (a.ram_mib * MIB) // len(rows), row["min_baseline_bits"], storage_bps=bps, error_budget=("uniform", a.error_bits), require_protection=False)
         chosen = allocate.allocate(freq.where(F.col("layer") == row["trace_layer"]), sens.unionByName(zero), meta.n_tokens, config)
         types = chosen.select(F.col("expert").alias("slice"), F.when(F.col("tier") == "resident", "Q8").otherwise(allocate.nearest_native(F.col("bits"))).alias("type"))
@@ -162,7 +164,8 @@ def cmd_bench(spark, a):
     sizes = store.spans(store.read(spark, a.store, payload=False)).select("layer", F.col("slot").alias("expert"), "bytes")
     surface = _surface(spark, a.probe)
     asked = sizes.select(F.col("bytes").alias("blob_bytes"), F.explode(F.array(F.lit(1), F.lit(a.queue_depth))).alias("queue_depth")).distinct()
-    charged = surfaces.lookup(asked, surface).where("bytes_per_sec IS NOT NULL").select(F.col("blob_bytes").alias("bytes"), "queue_depth", surfaces.charge(F.col("blob_bytes"), F.col("bytes_per_sec")).alias("seconds"))
+    charged = surfaces.lookup(asked, surface).where("bytes_per_sec IS NOT NULL").select(F.col("blob_bytes").alias("bytes"), "queue_depth",
+        surfaces.charge(F.col("blob_bytes"), F.col("bytes_per_sec")).alias("seconds"))
     if a.compare:
         configs = replay.sweep_configs(meta.top_k, a.cache_mib * MIB, a.queue_depth, a.budget)
     else:
@@ -181,7 +184,8 @@ def cmd_advise(spark, a):
     found = advise.model_findings(first, _surface(spark, a.probe), stats.byte_entropy(raw))
     if a.trace:
         meta, wide = _trace(spark, a.trace)
-        found += advise.trace_findings(wide, first, meta.n_layers, meta.n_experts, meta.top_k, meta.n_tokens, a.cache_mib * MIB, a.acceptance, meta.prefill_tokens, _surface(spark, a.probe) if a.probe else None)
+        found += advise.trace_findings(wide, first, meta.n_layers, meta.n_experts, meta.top_k, meta.n_tokens, a.cache_mib * MIB, a.acceptance,
+            meta.prefill_tokens, _surface(spark, a.probe) if a.probe else None)
     else:
         found += advise.no_trace(spark)
     report = advise.ranked(found)
@@ -205,9 +209,15 @@ def parser() -> argparse.ArgumentParser:
     add("probe", cmd_probe, o("--probe", required=True))
     add("kio", cmd_kio, o("--rows", required=True))
     add("predict", cmd_predict, t, o("--fit", type=float, default=0.5), o("--budgets"))
-    add("build-store", cmd_build_store, m, t, pr, o("--out", required=True), o("--ram-mib", type=int, default=512), o("--group-align", type=int, default=2 * MIB), o("--group-experts", type=int, default=8), o("--error-bits", type=float, default=4.5))
-    add("bench", cmd_bench, o("--store", required=True), t, pr, o("--cache-mib", type=int, default=64), o("--policy", default="gdsf"), o("--predictor", default="sticky+markov"), o("--budget", type=int, default=16), o("--queue-depth", type=int, default=8), o("--fit", type=float, default=0.5), o("--compare", action="store_true"))
-    add("synth", cmd_synth, o("--out", required=True), t, o("--experts", type=int, default=32), o("--layers", type=int, default=2), o("--tokens", type=int, default=4000), o("--clusters", type=int, default=4), o("--locality", type=float, default=0.85), o("--persistence", type=float, default=0.7), o("--layer-coupling", type=float, default=0.45), o("--top-k", type=int, default=4), o("--prefill", type=int, default=0), o("--prefill-locality", type=float, default=0.05), o("--no-scatter", action="store_true"))
+    add("build-store", cmd_build_store, m, t, pr, o("--out", required=True), o("--ram-mib", type=int, default=512),
+        o("--group-align", type=int, default=2 * MIB), o("--group-experts", type=int, default=8), o("--error-bits", type=float, default=4.5))
+    add("bench", cmd_bench, o("--store", required=True), t, pr, o("--cache-mib", type=int, default=64), o("--policy", default="gdsf"),
+        o("--predictor", default="sticky+markov"), o("--budget", type=int, default=16), o("--queue-depth", type=int, default=8),
+        o("--fit", type=float, default=0.5), o("--compare", action="store_true"))
+    add("synth", cmd_synth, o("--out", required=True), t, o("--experts", type=int, default=32), o("--layers", type=int, default=2),
+        o("--tokens", type=int, default=4000), o("--clusters", type=int, default=4), o("--locality", type=float, default=0.85),
+        o("--persistence", type=float, default=0.7), o("--layer-coupling", type=float, default=0.45), o("--top-k", type=int, default=4),
+        o("--prefill", type=int, default=0), o("--prefill-locality", type=float, default=0.05), o("--no-scatter", action="store_true"))
     add("inspect", cmd_inspect, m)
     add("fit", cmd_fit, m, o("--ram", type=float, required=True), o("--ctx", type=int, default=4096), o("--recommend-quant", action="store_true"), o("--json", action="store_true"))
     add("compare", cmd_compare, o("a"), o("b"), o("--tensor", default=""), o("--limit", type=int, default=12))

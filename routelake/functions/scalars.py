@@ -53,7 +53,8 @@ def tensor_bytes(tensors: DataFrame) -> DataFrame:
     t = F.broadcast(ggml_types(tensors.sparkSession).select(F.col("id").alias("ggml_type"), F.col("name").alias("type_name"), "block_elems", "block_bytes"))
     df = tensors.withColumn("n_elements", n_elements(F.col("dims"))).join(t, "ggml_type", "left")
     whole = F.col("n_elements") % F.col("block_elems") == 0
-    return df.withColumn("bits_per_weight", F.col("block_bytes") * 8.0 / F.col("block_elems")).withColumn("expected_bytes", F.when(whole, F.expr("n_elements div block_elems") * F.col("block_bytes"))).drop("block_elems", "block_bytes")
+    return df.withColumn("bits_per_weight", F.col("block_bytes") * 8.0 / F.col("block_elems")).withColumn("expected_bytes",
+        F.when(whole, F.expr("n_elements div block_elems") * F.col("block_bytes"))).drop("block_elems", "block_bytes")
 
 
 def slice_elements(dims: Column) -> Column:

@@ -21,7 +21,9 @@ def classify(ratio: Column) -> Column:
 
 
 def finding(df: DataFrame, idx: int, topic: str, metric: Column, baseline: Column, verdict: Column, ratio: Column | None = None) -> DataFrame:
-    base = df.select(F.lit(idx).alias("idx"), F.lit(topic).alias("topic"), metric.cast("double").alias("metric"), baseline.cast("double").alias("baseline"), verdict.alias("verdict"), (ratio if ratio is not None else metric / baseline).cast("double").alias("ratio"))
+    base = df.select(F.lit(idx).alias("idx"), F.lit(topic).alias("topic"), metric.cast("double").alias("metric"),
+        baseline.cast("double").alias("baseline"), verdict.alias("verdict"),
+        (ratio if ratio is not None else metric / baseline).cast("double").alias("ratio"))
     return base
 
 
@@ -58,7 +60,8 @@ def model_findings(layer: DataFrame, surface: DataFrame, entropy: DataFrame | No
     return out
 
 
-def trace_findings(wide: DataFrame, layer: DataFrame, n_layers: int, n_experts: int, top_k: int, n_tokens: int, cache_bytes: int, alpha: float, prefill: int = 0, surface: DataFrame | None = None) -> list[DataFrame]:
+def trace_findings(wide: DataFrame, layer: DataFrame, n_layers: int, n_experts: int, top_k: int, n_tokens: int, cache_bytes: int, alpha: float,
+    prefill: int = 0, surface: DataFrame | None = None) -> list[DataFrame]:
     """Checks on a trace's first layer, and on all of it for the cache. layer: one row (bytes_per_expert, slice_bytes)."""
     first = wide.where("layer = 0")
     spark: SparkSession = wide.sparkSession

@@ -118,7 +118,9 @@ def plan_layer(freq: np.ndarray, tokens: int, loss, config: Config) -> tuple[lis
         now += added_at
     rows = [{"expert": e, "freq": int(freq[e]), "tier": "resident" if resident[e] else "storage", "bits": rungs[at[e]][0], "label": rungs[at[e]][1], "bytes": size(rungs[at[e]][0])} for e in range(n)]
     after = total(at, seconds)
-    return rows, {"resident_bytes": sum(r["bytes"] for r in rows if r["tier"] == "resident"), "baseline_seconds": before_seconds, "planned_seconds": after, "baseline_loss": before_loss, "planned_loss": total(at, loss), "speedup": before_seconds / after if after > 0 else 1.0}
+    return rows, {"resident_bytes": sum(r["bytes"] for r in rows if r["tier"] == "resident"), "baseline_seconds": before_seconds,
+        "planned_seconds": after, "baseline_loss": before_loss, "planned_loss": total(at, loss),
+        "speedup": before_seconds / after if after > 0 else 1.0}
 
 
 ALLOC = "layer int, expert int, freq long, tier string, bits double, label string, bytes long, baseline_seconds double, planned_seconds double, baseline_loss double, planned_loss double, speedup double, resident_bytes long"

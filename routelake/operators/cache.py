@@ -200,7 +200,9 @@ def simulate(log: DataFrame, configs: DataFrame, count_from: int = 0) -> DataFra
         def result() -> pd.DataFrame:
             s = cache.stats
             hits, misses = s.hits - before.hits, s.misses - before.misses
-            return pd.DataFrame([{**head, "hits": hits, "misses": misses, "evictions": s.evictions - before.evictions, "bytes_fetched": s.bytes_fetched - before.bytes_fetched, "fetch_seconds": s.fetch_seconds - before.fetch_seconds, "hit_rate": hits / (hits + misses) if hits + misses else 0.0}])
+            return pd.DataFrame([{**head, "hits": hits, "misses": misses, "evictions": s.evictions - before.evictions,
+                "bytes_fetched": s.bytes_fetched - before.bytes_fetched, "fetch_seconds": s.fetch_seconds - before.fetch_seconds,
+                "hit_rate": hits / (hits + misses) if hits + misses else 0.0}])
 
         for pdf in frames:
             for config, policy, capacity, share, seq, key, size, cost in zip(*[pdf[c] for c in ("config", "policy", "capacity", "protected_share", "seq", "key", "bytes", "cost")], strict=True):

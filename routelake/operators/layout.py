@@ -18,7 +18,8 @@ def identity(n_experts: int, layers: DataFrame) -> DataFrame:
 
 def check_permutation(layout: DataFrame, n_experts: int) -> DataFrame:
     """Layers whose layout is not a bijection of 0..n_experts-1, with what is wrong."""
-    seen = layout.groupBy("layer").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("slot").alias("slots"), F.countDistinct("expert").alias("experts"), F.min(F.least("slot", "expert")).alias("lo"), F.max(F.greatest("slot", "expert")).alias("hi"))
+    seen = layout.groupBy("layer").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("slot").alias("slots"),
+        F.countDistinct("expert").alias("experts"), F.min(F.least("slot", "expert")).alias("lo"), F.max(F.greatest("slot", "expert")).alias("hi"))
     return seen.where((F.col("rows") != n_experts) | (F.col("slots") != n_experts) | (F.col("experts") != n_experts) | (F.col("lo") != 0) | (F.col("hi") != n_experts - 1))
 
 
@@ -36,7 +37,10 @@ def shape(slots: DataFrame, merge_gap: int = 0) -> DataFrame:
     out = F.aggregate(
         "slots",
         F.struct(F.lit(0).alias("runs"), F.lit(0).alias("span"), F.lit(None).cast("int").alias("last")),
-        lambda a, s: F.when(a["last"].isNull() | (s > a["last"] + 1 + merge_gap), F.struct((a["runs"] + 1).alias("runs"), (a["span"] + 1).alias("span"), s.alias("last"))).otherwise(F.struct(a["runs"].alias("runs"), (a["span"] + s - a["last"]).alias("span"), s.alias("last"))),
+        lambda a,
+            s: F.when(a["last"].isNull() | (s > a["last"] + 1 + merge_gap),
+                F.struct((a["runs"] + 1).alias("runs"), (a["span"] + 1).alias("span"), s.alias("last"))).otherwise(F.struct(a["runs"].alias("runs"),
+                    (a["span"] + s - a["last"]).alias("span"), s.alias("last"))),
         lambda a: F.struct(a["runs"].alias("runs"), a["span"].alias("span")),
     )
     return slots.select("token", "layer", out.alias("s")).select("token", "layer", "s.runs", "s.span")
@@ -48,7 +52,8 @@ def cost(shapes: DataFrame, surface: DataFrame, slice_bytes: int, tensors: int,
     A request's time follows the bandwidth at the mean request size; with an empty surface, seconds are requests.
     """
     t = max(1, tensors)
-    rows = shapes.select("layer", (F.col("runs") * t).cast("long").alias("requests"), (F.col("span").cast("long") * slice_bytes * t).alias("bytes")).groupBy("layer", "requests", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    rows = shapes.select("layer", (F.col("runs") * t).cast("long").alias("requests"),
+        (F.col("span").cast("long") * slice_bytes * t).alias("bytes")).groupBy("layer", "requests", "bytes").agg(F.count(F.lit(1)).alias("n"))
     mean = F.when(F.col("requests") > 0, F.floor(F.col("bytes") / F.col("requests"))).otherwise(0)
     asked = rows.withColumn("blob_bytes", F.greatest(mean, F.lit(1)).cast("long")).withColumn("queue_depth", F.lit(queue_depth))
     timed = surfaces.lookup(asked, surface).withColumn("seconds", F.when(F.col("bytes_per_sec") > 0, F.col("bytes") / F.col("bytes_per_sec")).otherwise(F.col("requests").cast("double")))

@@ -83,7 +83,8 @@ def inspect(tensors: DataFrame) -> DataFrame:
 def fit(models: DataFrame) -> DataFrame:
     """models (data_bytes, ram_bytes, ctx, ...) with reserve, projected, ceiling, fits, max_weights."""
     reserve = F.lit(RESERVE_BASE) + F.col("ctx") * RESERVE_TOKEN
-    df = models.withColumn("reserve", reserve.cast("long")).withColumn("projected", F.col("data_bytes") + F.col("reserve")).withColumn("ceiling", F.floor(F.col("ram_bytes") * F.lit(USABLE)).cast("long"))
+    df = models.withColumn("reserve", reserve.cast("long")).withColumn("projected", F.col("data_bytes") + F.col("reserve")).withColumn("ceiling",
+        F.floor(F.col("ram_bytes") * F.lit(USABLE)).cast("long"))
     return df.withColumn("fits", (F.col("ram_bytes") > 0) & (F.col("projected") <= F.col("ceiling"))).withColumn("max_weights", F.greatest(F.lit(0), F.col("ceiling") - F.col("reserve")))
 
 
@@ -110,7 +111,8 @@ def survey(configs: DataFrame, bpw: float = 4.5) -> DataFrame:
 
 
 def survey_summary(surveyed: DataFrame) -> DataFrame:
-    return surveyed.agg(F.count_if("in_band").alias("n_in_band"), F.count(F.lit(1)).alias("n"), F.min_by("repo", F.struct("slice_bytes", "repo")).alias("smallest"), F.min("slice_bytes").alias("smallest_bytes"))
+    return surveyed.agg(F.count_if("in_band").alias("n_in_band"), F.count(F.lit(1)).alias("n"),
+        F.min_by("repo", F.struct("slice_bytes", "repo")).alias("smallest"), F.min("slice_bytes").alias("smallest_bytes"))
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
@@ -123,7 +125,9 @@ def agreement(pairs: DataFrame) -> DataFrame:
     p = pairs.withColumn("ok", ok)
     s = lambda c: F.sum(F.when(F.col("ok"), c))
     a, b = F.col("a"), F.col("b")
-    g = p.groupBy("key").agg(s(F.lit(1)).alias("n"), s((a - b) * (a - b)).alias("se"), F.max(F.when(F.col("ok"), F.abs(a - b))).alias("max_abs"), s(a).alias("sa"), s(b).alias("sb"), s(a * a).alias("saa"), s(b * b).alias("sbb"), s(a * b).alias("sab"), F.count_if(~F.col("ok")).alias("non_finite"))
+    g = p.groupBy("key").agg(s(F.lit(1)).alias("n"), s((a - b) * (a - b)).alias("se"), F.max(F.when(F.col("ok"), F.abs(a - b))).alias("max_abs"),
+        s(a).alias("sa"), s(b).alias("sb"), s(a * a).alias("saa"), s(b * b).alias("sbb"), s(a * b).alias("sab"),
+        F.count_if(~F.col("ok")).alias("non_finite"))
     n = F.col("n")
     rmse = F.sqrt(F.col("se") / n)
     ref = F.sqrt(F.col("saa") / n)
@@ -135,8 +139,11 @@ def agreement(pairs: DataFrame) -> DataFrame:
 def compare(spark: SparkSession, path_a: str, path_b: str, name: str = "", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(agreement by tensor, skipped tensors with reasons) of two containers; the first is the reference."""
     a, b = (container.tensors(spark, p).where(F.col("name").contains(name)) for p in (path_a, path_b))
-    both = a.alias("a").join(b.alias("b"), F.col("a.name") == F.col("b.name"), "full").select(F.coalesce("a.name", "b.name").alias("name"), F.col("a.idx").alias("idx"), F.col("a.dims").alias("da"), F.col("b.dims").alias("db"), F.col("a.ggml_type").alias("ta"), F.col("b.ggml_type").alias("tb"))
-    reason = F.when(F.col("da").isNull(), "only in b").when(F.col("db").isNull(), "only in a").when(F.col("da") != F.col("db"), "dims differ").when(~F.col("ta").isin(*DECODABLE) | ~F.col("tb").isin(*DECODABLE), "type can't be decoded")
+    both = a.alias("a").join(b.alias("b"), F.col("a.name") == F.col("b.name"), "full").select(F.coalesce("a.name", "b.name").alias("name"),
+        F.col("a.idx").alias("idx"), F.col("a.dims").alias("da"), F.col("b.dims").alias("db"), F.col("a.ggml_type").alias("ta"),
+        F.col("b.ggml_type").alias("tb"))
+    reason = F.when(F.col("da").isNull(), "only in b").when(F.col("db").isNull(), "only in a").when(F.col("da") != F.col("db"),
+        "dims differ").when(~F.col("ta").isin(*DECODABLE) | ~F.col("tb").isin(*DECODABLE), "type can't be decoded")
     both = both.withColumn("reason", reason)
     usable = both.where("reason IS NULL").orderBy("idx")
     if limit is not None:
@@ -154,7 +161,8 @@ def compare(spark: SparkSession, path_a: str, path_b: str, name: str = "", limit
                 x, y = codec.decode(ka, bytes(da), len(da) // sa * ea).astype(np.float64), codec.decode(kb, bytes(db), len(da) // sa * ea).astype(np.float64)
                 ok = np.isfinite(x) & np.isfinite(y)
                 x, y = x[ok], y[ok]
-                out.append((t, float(((x - y) ** 2).sum()), float(np.abs(x - y).max(initial=0)), float(x.sum()), float(y.sum()), float((x * x).sum()), float((y * y).sum()), float((x * y).sum()), len(x), int((~ok).sum())))
+                out.append((t, float(((x - y) ** 2).sum()), float(np.abs(x - y).max(initial=0)), float(x.sum()), float(y.sum()), float((x * x).sum()),
+                    float((y * y).sum()), float((x * y).sum()), len(x), int((~ok).sum())))
             yield pd.DataFrame(out, columns=["tensor", "se", "mx", "sa", "sb", "saa", "sbb", "sab", "n", "bad"])
 
     part = joined.mapInPandas(sums, "tensor string, se double, mx double, sa double, sb double, saa double, sbb double, sab double, n long, bad long")
@@ -163,7 +171,8 @@ def compare(spark: SparkSession, path_a: str, path_b: str, name: str = "", limit
     rmse, ref = F.sqrt(F.col("se") / n), F.sqrt(F.col("saa") / n)
     den = F.sqrt((F.col("saa") / n - F.pow(F.col("sa") / n, F.lit(2.0))) * (F.col("sbb") / n - F.pow(F.col("sb") / n, F.lit(2.0))))
     num = F.col("sab") / n - F.col("sa") / n * F.col("sb") / n
-    done = g.select("tensor", rmse.alias("rmse"), F.col("mx").alias("max_abs"), F.when(ref > 0, rmse / ref).alias("rel_rmse"), F.when(den > 0, num / den).alias("corr"), "n", F.col("bad").alias("non_finite"))
+    done = g.select("tensor", rmse.alias("rmse"), F.col("mx").alias("max_abs"), F.when(ref > 0, rmse / ref).alias("rel_rmse"),
+        F.when(den > 0, num / den).alias("corr"), "n", F.col("bad").alias("non_finite"))
     return done, both.where("reason IS NOT NULL").select("name", "reason")
 
 
@@ -219,7 +228,8 @@ def verify(spark: SparkSession, source: str, target: str, plan: Plan) -> DataFra
     """
     a, b = (container.tensors(spark, p).select("name", "dims", "ggml_type", "nbytes") for p in (source, target))
     shape = a.alias("a").join(b.alias("b"), F.col("a.name") == F.col("b.name"), "full")
-    wrong = shape.where("b.name IS NULL OR a.name IS NULL OR a.dims <> b.dims OR a.ggml_type <> b.ggml_type OR a.nbytes <> b.nbytes").select(F.coalesce("a.name", "b.name").alias("tensor"), F.lit(-1).cast("long").alias("slice"), F.lit("shape differs").alias("problem"))
+    wrong = shape.where("b.name IS NULL OR a.name IS NULL OR a.dims <> b.dims OR a.ggml_type <> b.ggml_type OR a.nbytes <> b.nbytes").select(F.coalesce("a.name", "b.name").alias("tensor"),
+        F.lit(-1).cast("long").alias("slice"), F.lit("shape differs").alias("problem"))
     rows = [(n, s, e) for x in plan.layers for n in x.tensors for s, e in enumerate(x.perm)]
     moved = spark.createDataFrame(rows, "tensor string, slice long, old long")
     digest = lambda p: container.slices(spark, p).select("tensor", "slice", F.sha2("data", 256).alias("h"))

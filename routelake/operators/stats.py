@@ -47,7 +47,8 @@ def mass_in_top(freq: DataFrame, tops: list[int]) -> DataFrame:
 
 def top_partners(pairs: DataFrame, k: int) -> DataFrame:
     """(layer, expert, partner, n, rank): each expert's k strongest partners with a count above 0, ties to the smaller id."""
-    both = pairs.where("n > 0").select("layer", F.inline(F.array(F.struct(F.col("ea").alias("expert"), F.col("eb").alias("partner"), F.col("n")), F.struct(F.col("eb").alias("expert"), F.col("ea").alias("partner"), F.col("n")))))
+    both = pairs.where("n > 0").select("layer",
+        F.inline(F.array(F.struct(F.col("ea").alias("expert"), F.col("eb").alias("partner"), F.col("n")), F.struct(F.col("eb").alias("expert"), F.col("ea").alias("partner"), F.col("n")))))
     order = Window.partitionBy("layer", "expert").orderBy(F.desc("n"), "partner")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -72,7 +73,8 @@ def window_union(wide: DataFrame, widths: list[int], n_tokens: int, top_k: int,
             continue
         sets = wide.where(F.col("token") < full * w).select("layer", F.floor(F.col("token") / w).alias("win"), F.explode("experts").alias("e"))
         sizes = sets.distinct().groupBy("layer", "win").agg(F.count(F.lit(1)).alias("u"))
-        parts.append(sizes.groupBy("layer").agg((F.sum("u") / F.lit(full)).alias("mean_union")).select("layer", F.lit(w).alias("w"), F.least("mean_union", F.lit(float(n_experts))).alias("mean_union")))
+        parts.append(sizes.groupBy("layer").agg((F.sum("u") / F.lit(full)).alias("mean_union")).select("layer", F.lit(w).alias("w"),
+            F.least("mean_union", F.lit(float(n_experts))).alias("mean_union")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -119,7 +121,8 @@ def byte_entropy(data: DataFrame) -> DataFrame:
                 if raw:
                     by[key] = by.get(key, 0) + np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
             rows = [(k, int(v), int(c[v])) for k, c in by.items() for v in np.flatnonzero(c)]
-            yield pa.record_batch([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["key", "byte", "c"])
+            yield pa.record_batch([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())],
+                ["key", "byte", "c"])
 
     kind = data.schema["key"].dataType.simpleString()
     counts = data.select("key", "data").mapInArrow(count, f"key {kind}, byte int, c long").groupBy("key", "byte").agg(F.sum("c").alias("c"))

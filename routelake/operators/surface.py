@@ -43,18 +43,22 @@ def charge(n_bytes: Column, bytes_per_sec: Column) -> Column:
 def summary(surface: DataFrame) -> DataFrame:
     """peak, worst (bytes/s), spread (peak / worst), and the cell of the peak."""
     peak = F.max_by(F.struct("blob_bytes", "queue_depth"), F.struct("bytes_per_sec", (-F.col("cell_idx")).alias("i")))
-    return surface.agg(F.max("bytes_per_sec").alias("peak"), F.min("bytes_per_sec").alias("worst"), peak.alias("p")).select("peak", "worst", (F.col("peak") / F.col("worst")).alias("spread"), F.col("p.blob_bytes").alias("peak_blob_bytes"), F.col("p.queue_depth").alias("peak_queue_depth"))
+    return surface.agg(F.max("bytes_per_sec").alias("peak"), F.min("bytes_per_sec").alias("worst"), peak.alias("p")).select("peak", "worst",
+        (F.col("peak") / F.col("worst")).alias("spread"), F.col("p.blob_bytes").alias("peak_blob_bytes"),
+        F.col("p.queue_depth").alias("peak_queue_depth"))
 
 
 def from_json(spark, path: str) -> DataFrame:
     """A surface written as one JSON object with a list of cells; an absent cache_bypassed means true."""
     raw = spark.read.schema("note string, cache_bypassed boolean, cells array<struct<blob_bytes:bigint,queue_depth:int,bytes_per_sec:double>>").json(path, multiLine=True)
-    return raw.select(F.coalesce("cache_bypassed", F.lit(True)).alias("cache_bypassed"), F.posexplode("cells").alias("cell_idx", "c")).select("cell_idx", "c.blob_bytes", "c.queue_depth", "c.bytes_per_sec", "cache_bypassed")
+    return raw.select(F.coalesce("cache_bypassed", F.lit(True)).alias("cache_bypassed"),
+        F.posexplode("cells").alias("cell_idx", "c")).select("cell_idx", "c.blob_bytes", "c.queue_depth", "c.bytes_per_sec", "cache_bypassed")
 
 
 def to_json(surface: DataFrame, path: str, note: str = "", cache_bypassed: bool = True) -> None:
     cells = F.sort_array(F.collect_list(F.struct("cell_idx", "blob_bytes", "queue_depth", "bytes_per_sec")))
-    one = surface.agg(cells.alias("c")).select(F.lit(note).alias("note"), F.lit(cache_bypassed).alias("cache_bypassed"), F.transform("c", lambda x: F.struct(x["blob_bytes"].alias("blob_bytes"), x["queue_depth"].alias("queue_depth"), x["bytes_per_sec"].alias("bytes_per_sec"))).alias("cells"))
+    one = surface.agg(cells.alias("c")).select(F.lit(note).alias("note"), F.lit(cache_bypassed).alias("cache_bypassed"),
+        F.transform("c", lambda x: F.struct(x["blob_bytes"].alias("blob_bytes"), x["queue_depth"].alias("queue_depth"), x["bytes_per_sec"].alias("bytes_per_sec"))).alias("cells"))
     one.coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -80,7 +84,8 @@ def engine_report(rows: DataFrame) -> DataFrame:
     ).where("value IS NOT NULL")
     one = rows.agg(F.max("gbps").alias("best"), F.coalesce(F.max(F.when(F.col("engine") == "pread", F.col("gbps"))), F.lit(0.0)).alias("base"), at("threads").alias("t"), at("uring-stream").alias("u"))
     recommend = F.when(F.col("t") > F.col("u") * 1.05, 1.0).when(F.col("u") > F.col("t") * 1.05, -1.0).when(F.col("t").isNotNull() & F.col("u").isNotNull(), 0.0)
-    whole = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in (("best", F.col("best")), ("base", F.col("base")), ("gain", F.col("best") / floor(F.col("base"))), ("recommend", recommend))])))
+    whole = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n,
+        c in (("best", F.col("best")), ("base", F.col("base")), ("gain", F.col("best") / floor(F.col("base"))), ("recommend", recommend))])))
     return whole.select("metric", F.lit(None).cast("int").alias("qd"), "value").unionByName(percent.select("metric", "qd", "value"))
 
 

@@ -61,7 +61,8 @@ def routing_topk(spark, sf_dir):
     return derive.trace(spark, sf_dir)
 
 
-@query(f"WITH {TRACE_SQL} SELECT count(*) FILTER (expert < 0 OR expert >= 16) AS bad_experts, count(*) FILTER (layer >= 4) AS bad_layers, 0::BIGINT AS bad_rows, (SELECT (max(token) + 1) * 4 - count(DISTINCT (token, layer)) FROM trace)::BIGINT AS missing_pairs, 0::BIGINT AS bad_prefill, 0::BIGINT AS bad_shape FROM trace")
+@query(f"WITH {TRACE_SQL} SELECT count(*) FILTER (expert < 0 OR expert >= 16) AS bad_experts, count(*) FILTER (layer >= 4) AS bad_layers, 0::BIGINT "
+    f"AS bad_rows, (SELECT (max(token) + 1) * 4 - count(DISTINCT (token, layer)) FROM trace)::BIGINT AS missing_pairs, 0::BIGINT AS bad_prefill, 0::BIGINT AS bad_shape FROM trace")
 def trace_validation(spark, sf_dir):
     return trace_faults(derive.trace(spark, sf_dir), LAYERS, EXPERTS, TOP_K, 100)
 
@@ -72,7 +73,8 @@ def phase_split(spark, sf_dir):
     return t.groupBy("phase", "layer").agg(F.sum("k").alias("selections"), F.count(F.lit(1)).alias("tokens"))
 
 
-@query(f"WITH {TRACE_SQL} SELECT layer, expert::INT AS expert, count(trace.token) AS n FROM (SELECT l::INT AS layer, e::INT AS expert FROM range(0, 4) a(l), range(0, 16) b(e)) LEFT JOIN trace USING (layer, expert) GROUP BY ALL")
+@query(f"WITH {TRACE_SQL} SELECT layer, expert::INT AS expert, count(trace.token) AS n FROM (SELECT l::INT AS layer, e::INT AS expert FROM range(0, "
+    f"4) a(l), range(0, 16) b(e)) LEFT JOIN trace USING (layer, expert) GROUP BY ALL")
 def expert_frequency(spark, sf_dir):
     return stats.frequency(derive.trace_wide(spark, sf_dir).select("layer", F.explode("experts").alias("expert")), EXPERTS)
 
@@ -101,12 +103,15 @@ def mass_in_top(spark, sf_dir):
     return rounded(stats.mass_in_top(f, [1, 2, 4, 8]), "mass")
 
 
-@query(f"WITH {RAGGED_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace GROUP BY ALL), h AS (SELECT *, row_number() OVER (ORDER BY n DESC, expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (1), (10), (50)) t(top) GROUP BY ALL")
+@query(f"WITH {RAGGED_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace GROUP BY ALL), h AS (SELECT *, row_number() OVER (ORDER BY n DESC, "
+    f"expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (1), (10), (50)) t(top) GROUP BY ALL")
 def mass_in_top_orders(spark, sf_dir):
     return rounded(stats.mass_in_top(stats.frequency(derive.ragged_trace(spark, sf_dir)), [1, 10, 50]), "mass")
 
 
-@query(f"WITH {TRACE_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < {FIT_SQL} GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (2), (4)) t(top) GROUP BY ALL")
+@query(f"WITH {TRACE_SQL}, f AS (SELECT layer, expert, count(*) AS n FROM trace WHERE token < {FIT_SQL} GROUP BY ALL), h AS (SELECT *, row_number() "
+    f"OVER (PARTITION BY layer ORDER BY n DESC, expert) AS r FROM f) SELECT layer, top, round(sum(CASE WHEN r <= top THEN n ELSE 0 END) / "
+        f"sum(n)::DOUBLE, {R}) AS mass FROM h, (VALUES (2), (4)) t(top) GROUP BY ALL")
 def expert_skew_by_layer(spark, sf_dir):
     return rounded(predict.skew(derive.trace_wide(spark, sf_dir), fit_tokens(spark, sf_dir), [2, 4]), "mass")
 
@@ -117,7 +122,8 @@ def hottest_experts(spark, sf_dir):
     return predict.hottest(stats.hot_rank(f), 4)
 
 
-@query(f"WITH {TRACE_SQL}, p AS (SELECT a.layer, a.expert, b.expert AS partner, count(*) AS n FROM trace a JOIN trace b ON a.token = b.token AND a.layer = b.layer AND a.expert <> b.expert GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer, expert ORDER BY n DESC, partner)::INT AS rank FROM p) WHERE rank <= 3")
+@query(f"WITH {TRACE_SQL}, p AS (SELECT a.layer, a.expert, b.expert AS partner, count(*) AS n FROM trace a JOIN trace b ON a.token = b.token AND "
+    f"a.layer = b.layer AND a.expert <> b.expert GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer, expert ORDER BY n DESC, partner)::INT AS rank FROM p) WHERE rank <= 3")
 def partner_topk(spark, sf_dir):
     return stats.top_partners(stats.coactivation(derive.trace_wide(spark, sf_dir)), 3)
 
@@ -135,7 +141,8 @@ def window_union(spark, sf_dir):
     return rounded(stats.window_union(derive.trace_wide(spark, sf_dir), [1, 2, 4, 8], n_tokens(spark, sf_dir), TOP_K, EXPERTS), "mean_union")
 
 
-@query(f"WITH {TRACE_SQL} SELECT b.layer, count(a.expert) AS reused, count(*) AS total, round(count(a.expert) / count(*)::DOUBLE, {R}) AS overlap FROM trace b LEFT JOIN trace a ON a.token = b.token - 1 AND a.layer = b.layer AND a.expert = b.expert WHERE b.token > 0 GROUP BY b.layer")
+@query(f"WITH {TRACE_SQL} SELECT b.layer, count(a.expert) AS reused, count(*) AS total, round(count(a.expert) / count(*)::DOUBLE, {R}) AS overlap "
+    f"FROM trace b LEFT JOIN trace a ON a.token = b.token - 1 AND a.layer = b.layer AND a.expert = b.expert WHERE b.token > 0 GROUP BY b.layer")
 def adjacent_overlap(spark, sf_dir):
     return rounded(stats.adjacent_overlap(derive.trace_wide(spark, sf_dir)), "overlap")
 
@@ -216,19 +223,24 @@ _ASKED = "asked(blob_bytes, queue_depth) AS (VALUES (4096, 1), (65536, 8), (1000
 _NEAR = "(SELECT bytes_per_sec FROM surface s ORDER BY abs(ln({b} / s.blob_bytes::DOUBLE)) + abs(ln({q} / s.queue_depth::DOUBLE)), cell_idx LIMIT 1)"
 
 
-@query(f"WITH {SURFACE_SQL}, {_ASKED} SELECT blob_bytes::BIGINT AS blob_bytes, queue_depth, arg_min(bytes_per_sec, (round(d, 12), cell_idx)) AS bytes_per_sec FROM (SELECT a.blob_bytes, a.queue_depth, s.cell_idx, s.bytes_per_sec, abs(ln(a.blob_bytes / s.blob_bytes::DOUBLE)) + abs(ln(a.queue_depth / s.queue_depth::DOUBLE)) AS d FROM asked a, surface s) GROUP BY ALL")
+@query(f"WITH {SURFACE_SQL}, {_ASKED} SELECT blob_bytes::BIGINT AS blob_bytes, queue_depth, arg_min(bytes_per_sec, (round(d, 12), cell_idx)) AS "
+    f"bytes_per_sec FROM (SELECT a.blob_bytes, a.queue_depth, s.cell_idx, s.bytes_per_sec, abs(ln(a.blob_bytes / s.blob_bytes::DOUBLE)) + "
+        f"abs(ln(a.queue_depth / s.queue_depth::DOUBLE)) AS d FROM asked a, surface s) GROUP BY ALL")
 def surface_lookup(spark, sf_dir):
     asked = spark.createDataFrame([(4096, 1), (65536, 8), (100000, 3), (300000, 6), (1000000, 16), (50000000, 32)], "blob_bytes long, queue_depth int")
     return surfaces.lookup(asked, derive.surface(spark))
 
 
-@query(f"WITH {SURFACE_SQL} SELECT max(bytes_per_sec) AS peak, min(bytes_per_sec) AS worst, round(max(bytes_per_sec) / min(bytes_per_sec), {R}) AS spread, arg_max(blob_bytes, bytes_per_sec)::BIGINT AS peak_blob_bytes, arg_max(queue_depth, bytes_per_sec) AS peak_queue_depth FROM surface")
+@query(f"WITH {SURFACE_SQL} SELECT max(bytes_per_sec) AS peak, min(bytes_per_sec) AS worst, round(max(bytes_per_sec) / min(bytes_per_sec), {R}) AS "
+    f"spread, arg_max(blob_bytes, bytes_per_sec)::BIGINT AS peak_blob_bytes, arg_max(queue_depth, bytes_per_sec) AS peak_queue_depth FROM surface")
 def surface_summary(spark, sf_dir):
     return rounded(surfaces.summary(derive.surface(spark)), "spread")
 
 
 #: Published rates of I/O engines as (engine, depth, dontcache, GB/s).
-ENGINES = [("pread", 1, False, 0.099), ("threads", 4, False, 0.537), ("threads", 8, False, 1.522), ("threads", 16, False, 3.291), ("uring-batch", 8, False, 0.550), ("uring-batch", 16, False, 0.816), ("uring-batch", 32, False, 1.086), ("uring-stream", 8, False, 1.362), ("uring-stream", 16, False, 1.544), ("uring-stream", 32, False, 1.063), ("uring-stream", 16, True, 0.795), ("uring-stream", 32, True, 0.816)]
+ENGINES = [("pread", 1, False, 0.099), ("threads", 4, False, 0.537), ("threads", 8, False, 1.522), ("threads", 16, False, 3.291),
+    ("uring-batch", 8, False, 0.550), ("uring-batch", 16, False, 0.816), ("uring-batch", 32, False, 1.086), ("uring-stream", 8, False, 1.362),
+    ("uring-stream", 16, False, 1.544), ("uring-stream", 32, False, 1.063), ("uring-stream", 16, True, 0.795), ("uring-stream", 32, True, 0.816)]
 _ENGINES = "e(engine, qd, dc, g) AS (VALUES " + ", ".join(f"('{e}', {q}, {str(d).lower()}, {g}::DOUBLE)" for e, q, d, g in ENGINES) + ")"
 
 
@@ -257,7 +269,8 @@ def _layout_cost(spark, sf_dir, gap, scatter=False):
     if scatter:
         lay = lay.select("layer", ((F.col("expert") % 4) * 4 + F.floor(F.col("expert") / 4)).cast("int").alias("slot"), "expert")
     c = layout.cost(layout.shape(layout.slots_of(wide, lay), gap), derive.surface(spark), 131072, 3, 8)
-    return c.select("layer", F.round("seconds_per_token", 12).alias("seconds_per_token"), F.round("bytes_per_token", 6).alias("bytes_per_token"), F.round("requests_per_token", R).alias("requests_per_token"))
+    return c.select("layer", F.round("seconds_per_token", 12).alias("seconds_per_token"), F.round("bytes_per_token", 6).alias("bytes_per_token"),
+        F.round("requests_per_token", R).alias("requests_per_token"))
 
 
 @query(_layout_sql(0))
@@ -293,7 +306,8 @@ def layout_optimize(spark, sf_dir):
     return layout.optimise(derive.trace_wide(spark, sf_dir), derive.surface(spark), EXPERTS, 131072, passes=3)
 
 
-@query(_layout_sql(0).replace("SELECT layer, round(avg(bytes / bw), 12) AS seconds_per_token, round(avg(bytes), 6) AS bytes_per_token, round(avg(requests), 9) AS requests_per_token FROM", "SELECT layer, 0 AS broken_orders, true AS no_worse, true AS cost_agrees, round(avg(bytes / bw), 12) AS seconds_before FROM"))
+@query(_layout_sql(0).replace("SELECT layer, round(avg(bytes / bw), 12) AS seconds_per_token, round(avg(bytes), 6) AS bytes_per_token, round(avg(requests), 9) AS requests_per_token FROM",
+    "SELECT layer, 0 AS broken_orders, true AS no_worse, true AS cost_agrees, round(avg(bytes / bw), 12) AS seconds_before FROM"))
 def layout_search_invariants(spark, sf_dir):
     """What must hold of searched orders: each is a permutation, costs no more than the identity, and costs what the layout's
     own cost says."""
@@ -303,10 +317,12 @@ def layout_search_invariants(spark, sf_dir):
     broken = layout.check_permutation(found, EXPERTS).select("layer", F.lit(1).alias("bad"))
     costed = layout.cost(layout.shape(layout.slots_of(wide, found.select("layer", "slot", "expert")), 0), derive.surface(spark), 131072, 3, 8).select("layer", "seconds_per_token")
     rows = each.join(broken, "layer", "left").join(costed, "layer")
-    return rows.select("layer", F.coalesce("bad", F.lit(0)).alias("broken_orders"), (F.col("after") <= F.col("before")).alias("no_worse"), (F.abs(F.col("after") / F.col("seconds_per_token") - 1) < 1e-9).alias("cost_agrees"), F.round("before", 12).alias("seconds_before"))
+    return rows.select("layer", F.coalesce("bad", F.lit(0)).alias("broken_orders"), (F.col("after") <= F.col("before")).alias("no_worse"),
+        (F.abs(F.col("after") / F.col("seconds_per_token") - 1) < 1e-9).alias("cost_agrees"), F.round("before", 12).alias("seconds_before"))
 
 
-@query(f"WITH a AS ({_layout_sql(0)}), b AS ({_layout_sql(0, '(expert % 4) * 4 + expert // 4')}), r AS (SELECT layer, a.seconds_per_token / b.seconds_per_token AS s FROM a JOIN b USING (layer)) SELECT layer, round(s, 6) AS speedup, s >= 1.05 AS worth_repacking FROM r")
+@query(f"WITH a AS ({_layout_sql(0)}), b AS ({_layout_sql(0, '(expert % 4) * 4 + expert // 4')}), r AS (SELECT layer, a.seconds_per_token / "
+    f"b.seconds_per_token AS s FROM a JOIN b USING (layer)) SELECT layer, round(s, 6) AS speedup, s >= 1.05 AS worth_repacking FROM r")
 def layout_speedup(spark, sf_dir):
     return layout.speedup(_layout_cost(spark, sf_dir, 0), _layout_cost(spark, sf_dir, 0, True)).withColumn("speedup", F.round("speedup", 6))
 
@@ -331,13 +347,15 @@ def _log(spark, sf_dir):
     return derive.access_log(spark, sf_dir).select("seq", "key", F.lit(1000).cast("long").alias("bytes"), F.lit(1.0).alias("cost"))
 
 
-@query(f"{_DIST} SELECT slots, count(*) FILTER (distance < slots) AS hits, count(*) FILTER (distance IS NULL OR distance >= slots) AS misses, round(count(*) FILTER (distance < slots) / count(*)::DOUBLE, {R}) AS hit_rate FROM p LEFT JOIN d USING (seq), (VALUES (10), (40), (100)) s(slots) GROUP BY slots")
+@query(f"{_DIST} SELECT slots, count(*) FILTER (distance < slots) AS hits, count(*) FILTER (distance IS NULL OR distance >= slots) AS misses, "
+    f"round(count(*) FILTER (distance < slots) / count(*)::DOUBLE, {R}) AS hit_rate FROM p LEFT JOIN d USING (seq), (VALUES (10), (40), (100)) s(slots) GROUP BY slots")
 def lru_hit_rate(spark, sf_dir):
     r = cache.simulate(_log(spark, sf_dir), _configs(spark, ["lru"], [10, 40, 100]))
     return rounded(r.select((F.col("capacity") / 1000).cast("int").alias("slots"), "hits", "misses", "hit_rate"), "hit_rate")
 
 
-@query(f"WITH {LOG_SQL}, c AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM log GROUP BY key) SELECT slots, round(sum(CASE WHEN r <= slots THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS hit_rate FROM c, (VALUES (10), (40), (100)) s(slots) GROUP BY slots")
+@query(f"WITH {LOG_SQL}, c AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS r FROM log GROUP BY key) SELECT slots, "
+    f"round(sum(CASE WHEN r <= slots THEN n ELSE 0 END) / sum(n)::DOUBLE, {R}) AS hit_rate FROM c, (VALUES (10), (40), (100)) s(slots) GROUP BY slots")
 def offline_optimal_hit_rate(spark, sf_dir):
     return rounded(cache.offline_optimum(derive.access_log(spark, sf_dir), [10, 40, 100]), "hit_rate")
 
@@ -420,7 +438,8 @@ FROM run, ops WHERE i = n"""
 @query(_REPLAY)
 def replay_default(spark, sf_dir):
     sizes, charged = _replay_inputs(spark)
-    out = replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, fit_tokens(spark, sf_dir), [{"policy": "gdsf", "predictor": "sticky+markov", "budget": 4, "cache_bytes": 12 << 20, "queue_depth": 8}])
+    out = replay.run(derive.trace_wide(spark, sf_dir), sizes, charged, fit_tokens(spark, sf_dir),
+        [{"policy": "gdsf", "predictor": "sticky+markov", "budget": 4, "cache_bytes": 12 << 20, "queue_depth": 8}])
     digits = {"bytes_per_token": 3, "effective_bps": 0, "tokens_per_second": 4}
     return out.withColumns({c: F.round(c, digits.get(c, R)) for c, kind in out.dtypes if kind == "double"})
 
@@ -442,10 +461,12 @@ def _roundtrip_sql() -> str:
         levels = (1 << bits) - 1
         if symmetric:
             d = _HALF.format(x="(top / 127)")
-            cells.append(f"SELECT vec_id, '{name}' AS name, v, CASE WHEN top > 0 THEN greatest(-127.0::DOUBLE, least(127.0::DOUBLE, sign(v) * floor(abs(v * (127.0::DOUBLE / top)) + 0.5))) * ({d}) ELSE 0 END AS y FROM g")
+            cells.append(f"SELECT vec_id, '{name}' AS name, v, CASE WHEN top > 0 THEN greatest(-127.0::DOUBLE, least(127.0::DOUBLE, sign(v) * "
+                f"floor(abs(v * (127.0::DOUBLE / top)) + 0.5))) * ({d}) ELSE 0 END AS y FROM g")
         else:
             lo, d = _HALF.format(x="lo"), _HALF.format(x=f"((hi - lo) / {levels}.0::DOUBLE)")
-            cells.append(f"SELECT vec_id, '{name}' AS name, v, l + d * CASE WHEN d > 0 THEN greatest(0.0::DOUBLE, least({levels}.0::DOUBLE, sign((v - l) / d) * floor(abs((v - l) / d) + 0.5))) ELSE 0 END AS y FROM (SELECT *, {lo} AS l, {d} AS d FROM g)")
+            cells.append(f"SELECT vec_id, '{name}' AS name, v, l + d * CASE WHEN d > 0 THEN greatest(0.0::DOUBLE, least({levels}.0::DOUBLE, sign((v - "
+                f"l) / d) * floor(abs((v - l) / d) + 0.5))) ELSE 0 END AS y FROM (SELECT *, {lo} AS l, {d} AS d FROM g)")
     return f"v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT *, max(abs(v)) OVER k AS top, min(v) OVER k AS lo, max(v) OVER k AS hi FROM v WINDOW k AS (PARTITION BY vec_id)), y AS ({' UNION ALL '.join(cells)})"
 
 
@@ -458,7 +479,8 @@ def quant_roundtrip_rmse(spark, sf_dir):
     return codec.rmse_table(_vectors(spark, sf_dir)).withColumn("rmse", F.round("rmse", 8))
 
 
-@query(f"WITH {_roundtrip_sql()} SELECT name, count(*) AS n, round(sqrt(avg((v - y) * (v - y))), 6) AS rmse, round(max(abs(v - y)), 6) AS max_abs, round(sqrt(avg((v - y) * (v - y))) / sqrt(avg(v * v)), 6) AS rel_rmse, round(corr(v, y), 6) AS corr FROM y GROUP BY name")
+@query(f"WITH {_roundtrip_sql()} SELECT name, count(*) AS n, round(sqrt(avg((v - y) * (v - y))), 6) AS rmse, round(max(abs(v - y)), 6) AS max_abs, "
+    f"round(sqrt(avg((v - y) * (v - y))) / sqrt(avg(v * v)), 6) AS rel_rmse, round(corr(v, y), 6) AS corr FROM y GROUP BY name")
 def tensor_agreement(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     rows = F.array(*[F.struct(F.lit(n).alias("key"), codec.roundtrip(F.col("values"), n).alias("y")) for n in codec.BITS])
@@ -467,13 +489,18 @@ def tensor_agreement(spark, sf_dir):
     return out.select(F.col("key").alias("name"), "n", *[F.round(c, 6).alias(c) for c in ("rmse", "max_abs", "rel_rmse", "corr")])
 
 
-@query("WITH t(name, tag, bits, group_bytes) AS (VALUES ('Q8', 0, 8, 66), ('Q5', 1, 5, 44), ('Q4', 2, 4, 36), ('Q3', 3, 3, 28), ('Q2', 4, 2, 20)) SELECT name, tag, bits, group_bytes, group_bytes * 8 / 64.0::DOUBLE AS bits_per_weight, (1048576 // 64 * group_bytes)::BIGINT AS bytes, ceil(1048576 * (group_bytes * 8 / 64.0::DOUBLE) / 8)::BIGINT AS bytes_at FROM t")
+@query("WITH t(name, tag, bits, group_bytes) AS (VALUES ('Q8', 0, 8, 66), ('Q5', 1, 5, 44), ('Q4', 2, 4, 36), ('Q3', 3, 3, 28), ('Q2', 4, 2, 20)) "
+    "SELECT name, tag, bits, group_bytes, group_bytes * 8 / 64.0::DOUBLE AS bits_per_weight, (1048576 // 64 * group_bytes)::BIGINT AS bytes, "
+        "ceil(1048576 * (group_bytes * 8 / 64.0::DOUBLE) / 8)::BIGINT AS bytes_at FROM t")
 def quantised_size(spark, sf_dir):
     t = scalars.native_types(spark)
-    return t.select("name", "tag", "bits", "group_bytes", "bits_per_weight", (F.lit(1048576 // 64) * F.col("group_bytes")).cast("long").alias("bytes"), scalars.bytes_at(F.lit(1048576), F.col("bits_per_weight")).alias("bytes_at"))
+    return t.select("name", "tag", "bits", "group_bytes", "bits_per_weight",
+        (F.lit(1048576 // 64) * F.col("group_bytes")).cast("long").alias("bytes"),
+        scalars.bytes_at(F.lit(1048576), F.col("bits_per_weight")).alias("bytes_at"))
 
 
-@query("WITH t(ord, name, b) AS (VALUES (0, 'Q8', 8.25), (1, 'Q5', 5.5), (2, 'Q4', 4.5), (3, 'Q3', 3.5), (4, 'Q2', 2.5)), a(bits) AS (VALUES (1.0), (2.625), (3.0), (4.0), (4.5), (5.0), (6.5625), (16.0)) SELECT bits::DOUBLE AS bits, arg_min(name, (abs(bits - b), ord)) AS name FROM a, t GROUP BY bits")
+@query("WITH t(ord, name, b) AS (VALUES (0, 'Q8', 8.25), (1, 'Q5', 5.5), (2, 'Q4', 4.5), (3, 'Q3', 3.5), (4, 'Q2', 2.5)), a(bits) AS (VALUES (1.0), "
+    "(2.625), (3.0), (4.0), (4.5), (5.0), (6.5625), (16.0)) SELECT bits::DOUBLE AS bits, arg_min(name, (abs(bits - b), ord)) AS name FROM a, t GROUP BY bits")
 def nearest_bits(spark, sf_dir):
     asked = spark.createDataFrame([(x,) for x in (1.0, 2.625, 3.0, 4.0, 4.5, 5.0, 6.5625, 16.0)], "bits double")
     t = F.broadcast(scalars.native_types(spark).agg(F.collect_list(F.struct("ord", "name", "bits_per_weight")).alias("t")))  # one row
@@ -481,20 +508,23 @@ def nearest_bits(spark, sf_dir):
     return asked.join(t).select("bits", best["n"].alias("name"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS l1, round(max_v - min_v, 8) AS spread FROM (SELECT *, list_max(embedding)::DOUBLE AS max_v, list_min(embedding)::DOUBLE AS min_v FROM embeddings)")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS l1, round(max_v - min_v, 8) AS spread FROM (SELECT "
+    "*, list_max(embedding)::DOUBLE AS max_v, list_min(embedding)::DOUBLE AS min_v FROM embeddings)")
 def weight_extremes(spark, sf_dir):
     v = F.col("values")
     l1 = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x))
     return _vectors(spark, sf_dir).select(F.col("key").alias("vec_id"), F.round(l1, 6).alias("l1"), F.round(F.array_max(v) - F.array_min(v), 8).alias("spread"))
 
 
-@query(f"WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT count(*) AS n, round(sum({_HALF.format(x='v')}), 6) AS total, round(max(abs(v - ({_HALF.format(x='v')}))), 10) AS worst FROM v")
+@query(f"WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT count(*) AS n, round(sum({_HALF.format(x='v')}), 6) AS "
+    f"total, round(max(abs(v - ({_HALF.format(x='v')}))), 10) AS worst FROM v")
 def half_precision(spark, sf_dir):
     v = _vectors(spark, sf_dir).select(F.explode("values").alias("v"))
     return v.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(scalars.half(F.col("v"))), 6).alias("total"), F.round(F.max(F.abs(F.col("v") - scalars.half(F.col("v")))), 10).alias("worst"))
 
 
-@query("WITH b AS (SELECT lang AS key, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')) AS h FROM documents), c AS (SELECT key, h, count(*)::DOUBLE AS n FROM b WHERE h <> '' GROUP BY ALL) SELECT key, sum(n)::BIGINT AS n_bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY key")
+@query("WITH b AS (SELECT lang AS key, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')) AS h FROM documents), c AS "
+    "(SELECT key, h, count(*)::DOUBLE AS n FROM b WHERE h <> '' GROUP BY ALL) SELECT key, sum(n)::BIGINT AS n_bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY key")
 def byte_entropy(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("key"), F.col("text").cast("binary").alias("data"))
     return stats.byte_entropy(d).withColumn("entropy", F.round("entropy", 6))
@@ -529,7 +559,9 @@ def _errors(e):
     return e.select(F.expr("vec_id div 16").cast("int").alias("layer"), (F.col("vec_id") % 16).cast("int").alias("expert"), F.inline(rows))
 
 
-@query(f"WITH {TRACE_SQL}, {_SENS}, f AS (SELECT layer, expert, count(*) AS n FROM trace GROUP BY ALL), l AS (SELECT f.layer, f.expert, f.n, b.at_bits, arg_min(s.error, (abs(s.bits - b.at_bits), s.ord)) AS loss FROM f, (VALUES (3.0::DOUBLE), (5.5::DOUBLE)) b(at_bits), sens s WHERE s.layer = f.layer AND s.expert = f.expert GROUP BY ALL) SELECT layer, at_bits, round(sum(n / (SELECT count(*) FROM embeddings)::DOUBLE * loss), {R}) AS expected FROM l GROUP BY ALL")
+@query(f"WITH {TRACE_SQL}, {_SENS}, f AS (SELECT layer, expert, count(*) AS n FROM trace GROUP BY ALL), l AS (SELECT f.layer, f.expert, f.n, "
+    f"b.at_bits, arg_min(s.error, (abs(s.bits - b.at_bits), s.ord)) AS loss FROM f, (VALUES (3.0::DOUBLE), (5.5::DOUBLE)) b(at_bits), sens s WHERE "
+        f"s.layer = f.layer AND s.expert = f.expert GROUP BY ALL) SELECT layer, at_bits, round(sum(n / (SELECT count(*) FROM embeddings)::DOUBLE * loss), {R}) AS expected FROM l GROUP BY ALL")
 def weighted_loss(spark, sf_dir):
     asked = _freq(spark, sf_dir).withColumn("at_bits", F.explode(F.array(F.lit(3.0), F.lit(5.5))))
     lost = allocate.loss_at(asked, _mean_sens(spark, sf_dir))
@@ -571,7 +603,8 @@ def allocation_demoted(spark, sf_dir):
     return allocate.demoted_any(bit_allocation(spark, sf_dir), 8.25)
 
 
-@query("WITH t(ord, name, b) AS (VALUES " + ", ".join(f"({i}, '{n}', {scalars.group_bytes(n) / 8}::DOUBLE)" for i, (n, *_) in enumerate(scalars.NATIVE_TYPES)) + ") SELECT vec_id, arg_min(name, (abs(1 + 8 * abs(embedding[1]::DOUBLE) - b), ord)) AS type FROM embeddings, t GROUP BY vec_id")
+@query("WITH t(ord, name, b) AS (VALUES " + ", ".join(f"({i}, '{n}', {scalars.group_bytes(n) / 8}::DOUBLE)" for i,
+    (n, *_) in enumerate(scalars.NATIVE_TYPES)) + ") SELECT vec_id, arg_min(name, (abs(1 + 8 * abs(embedding[1]::DOUBLE) - b), ord)) AS type FROM embeddings, t GROUP BY vec_id")
 def nearest_native_type(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", allocate.nearest_native(1 + 8 * F.abs(F.get("embedding", 0).cast("double"))).alias("type"))
 
@@ -593,7 +626,8 @@ def tier_costs(spark, sf_dir):
     """Bytes of text by language, read at each tier's rate."""
     n, fast, slow = F.col("n"), F.lit(allocate.RESIDENT_BPS), F.lit(allocate.STORAGE_BPS)
     sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("key")).agg(F.sum(F.octet_length("text")).alias("n"))
-    return sizes.select("key", "n", scalars.human(n).alias("human"), F.round(scalars.tier_seconds(n, fast), 12).alias("resident_seconds"), F.round(scalars.tier_seconds(n, slow), 12).alias("storage_seconds"), F.round(scalars.storage_penalty(fast, slow), R).alias("penalty"))
+    return sizes.select("key", "n", scalars.human(n).alias("human"), F.round(scalars.tier_seconds(n, fast), 12).alias("resident_seconds"),
+        F.round(scalars.tier_seconds(n, slow), 12).alias("storage_seconds"), F.round(scalars.storage_penalty(fast, slow), R).alias("penalty"))
 
 
 _COUNTERS = "c AS (SELECT vec_id AS id, (vec_id * 37 % 101)::BIGINT AS cached, (vec_id % 97)::BIGINT AS recently_evicted, (vec_id % 3 * 101)::BIGINT AS pages FROM embeddings)"
@@ -606,7 +640,8 @@ def page_residency(spark, sf_dir):
     return rounded(surfaces.residency(counters), "cached_fraction").select("id", "cached_fraction", "thrashing")
 
 
-@query(f"WITH {SURFACE_SQL} SELECT blob_bytes::BIGINT AS blob_bytes, arg_min(queue_depth, (-bytes_per_sec, queue_depth)) AS queue_depth, max(bytes_per_sec) AS bytes_per_sec FROM surface GROUP BY blob_bytes")
+@query(f"WITH {SURFACE_SQL} SELECT blob_bytes::BIGINT AS blob_bytes, arg_min(queue_depth, (-bytes_per_sec, queue_depth)) AS queue_depth, "
+    f"max(bytes_per_sec) AS bytes_per_sec FROM surface GROUP BY blob_bytes")
 def best_depth(spark, sf_dir):
     return surfaces.first_best(derive.surface(spark), ["blob_bytes"], "bytes_per_sec", ["queue_depth"]).select("blob_bytes", "queue_depth", "bytes_per_sec")
 
@@ -635,15 +670,18 @@ def fit_table(spark, sf_dir):
     return model.fit_table(_models(spark)).select("model", "tier", "weight_bytes", "tier_fits")
 
 
-@query(f"WITH {_FITS}, {_TIERS}, x AS (SELECT model, ord, tier, floor(params * bpw / 8)::BIGINT AS w, floor(params * bpw / 8) <= greatest(0, ceiling - reserve) AS ok FROM f, t) SELECT model, arg_max(tier, ord) FILTER (ok) AS tier, max(w) FILTER (ok) AS weight_bytes FROM x GROUP BY model")
+@query(f"WITH {_FITS}, {_TIERS}, x AS (SELECT model, ord, tier, floor(params * bpw / 8)::BIGINT AS w, floor(params * bpw / 8) <= greatest(0, ceiling "
+    f"- reserve) AS ok FROM f, t) SELECT model, arg_max(tier, ord) FILTER (ok) AS tier, max(w) FILTER (ok) AS weight_bytes FROM x GROUP BY model")
 def recommend_quant(spark, sf_dir):
     return model.recommend(model.fit_table(_models(spark)), ["model"])
 
 
 #: A small header: one good block, one whose router disagrees, one tensor without a block, and one of no mixture.
 TENSORS = [
-    (0, "blk.0.ffn_gate_exps.weight", [64, 128, 32], 12, 147456), (1, "blk.0.ffn_up_exps.weight", [64, 128, 32], 12, 147456), (2, "blk.0.ffn_down_exps.weight", [128, 64, 32], 14, 215040), (3, "blk.0.ffn_gate_inp.weight", [64, 32], 0, 8192),
-    (4, "blk.1.ffn_gate_exps.weight", [64, 128, 32], 1, 524288), (5, "blk.1.ffn_gate_inp.weight", [64, 16], 0, 4096), (6, "ffn_up_exps.stray", [64, 8], 1, 1024), (7, "token_embd.weight", [64, 256], 1, 32768),
+    (0, "blk.0.ffn_gate_exps.weight", [64, 128, 32], 12, 147456), (1, "blk.0.ffn_up_exps.weight", [64, 128, 32], 12, 147456),
+        (2, "blk.0.ffn_down_exps.weight", [128, 64, 32], 14, 215040), (3, "blk.0.ffn_gate_inp.weight", [64, 32], 0, 8192),
+    (4, "blk.1.ffn_gate_exps.weight", [64, 128, 32], 1, 524288), (5, "blk.1.ffn_gate_inp.weight", [64, 16], 0, 4096),
+        (6, "ffn_up_exps.stray", [64, 8], 1, 1024), (7, "token_embd.weight", [64, 256], 1, 32768),
 ]
 _TENSORS = "t(idx, name, dims, ggml_type, nbytes) AS (VALUES " + ", ".join(f"({i}, '{n}', {d}::BIGINT[], {k}, {b}::BIGINT)" for i, n, d, k, b in TENSORS) + ")"
 _TYPES = "y(ggml_type, type_name, block_elems, block_bytes) AS (VALUES " + ", ".join(f"({i}, '{n}', {e}, {b})" for i, n, e, b in scalars.GGML_TYPES) + ")"
@@ -667,22 +705,31 @@ def moe_skipped(spark, sf_dir):
     return model.moe_skipped(_tensors(spark))
 
 
-@query(f"WITH {_TENSORS}, {_TYPES} SELECT name, list_product(dims)::BIGINT AS n_elements, block_bytes * 8.0::DOUBLE / block_elems AS bits_per_weight, (list_product(dims)::BIGINT // block_elems * block_bytes)::BIGINT AS expected_bytes, (list_product(dims) / dims[-1])::BIGINT AS slice_elements, CASE WHEN name LIKE '%ffn_gate_exps%' THEN 'gate' WHEN name LIKE '%ffn_up_exps%' THEN 'up' WHEN name LIKE '%ffn_down_exps%' THEN 'down' END AS kind, ggml_type IN (0, 1, 2, 3, 8, 12, 14, 30) AS decodable, ((nbytes + 4095) // 4096 * 4096)::BIGINT AS aligned FROM t JOIN y USING (ggml_type)")
+@query(f"WITH {_TENSORS}, {_TYPES} SELECT name, list_product(dims)::BIGINT AS n_elements, block_bytes * 8.0::DOUBLE / block_elems AS bits_per_weight, "
+    f"(list_product(dims)::BIGINT // block_elems * block_bytes)::BIGINT AS expected_bytes, (list_product(dims) / dims[-1])::BIGINT AS slice_elements, "
+        f"CASE WHEN name LIKE '%ffn_gate_exps%' THEN 'gate' WHEN name LIKE '%ffn_up_exps%' THEN 'up' WHEN name LIKE '%ffn_down_exps%' THEN 'down' END "
+            f"AS kind, ggml_type IN (0, 1, 2, 3, 8, 12, 14, 30) AS decodable, ((nbytes + 4095) // 4096 * 4096)::BIGINT AS aligned FROM t JOIN y USING (ggml_type)")
 def tensor_shapes(spark, sf_dir):
     t = scalars.tensor_bytes(_tensors(spark))
-    return t.select("name", "n_elements", "bits_per_weight", "expected_bytes", scalars.slice_elements(F.col("dims")).alias("slice_elements"), scalars.kind_of(F.col("name")).alias("kind"), scalars.can_decode(F.col("ggml_type")).alias("decodable"), scalars.align_up(F.col("nbytes"), 4096).alias("aligned"))
+    return t.select("name", "n_elements", "bits_per_weight", "expected_bytes", scalars.slice_elements(F.col("dims")).alias("slice_elements"),
+        scalars.kind_of(F.col("name")).alias("kind"), scalars.can_decode(F.col("ggml_type")).alias("decodable"),
+        scalars.align_up(F.col("nbytes"), 4096).alias("aligned"))
 
 
 #: Published expert shapes as (repo, experts, hidden, inter).
-REPOS = [("granite", 32, 1024, 512), ("olmoe", 64, 2048, 1024), ("qwen1.5", 60, 2048, 1408), ("qwen3-30b", 128, 2048, 768), ("dsv2-lite", 64, 2048, 1408), ("mixtral", 8, 4096, 14336), ("phi-3.5", 16, 4096, 6400), ("dense", None, 4096, 11008)]
+REPOS = [("granite", 32, 1024, 512), ("olmoe", 64, 2048, 1024), ("qwen1.5", 60, 2048, 1408), ("qwen3-30b", 128, 2048, 768),
+    ("dsv2-lite", 64, 2048, 1408), ("mixtral", 8, 4096, 14336), ("phi-3.5", 16, 4096, 6400), ("dense", None, 4096, 11008)]
 
 
-@query("WITH c(repo, experts, hidden, inter) AS (VALUES " + ", ".join(f"('{r}', {e or 'NULL'}, {h}, {i})" for r, e, h, i in REPOS) + ") SELECT repo, hidden * inter * 4.5::DOUBLE / 8 AS slice_bytes, hidden * inter * 4.5::DOUBLE / 8 < 262144 AS in_band FROM c WHERE experts IS NOT NULL")
+@query("WITH c(repo, experts, hidden, inter) AS (VALUES " + ", ".join(f"('{r}', {e or 'NULL'}, {h}, {i})" for r, e, h,
+    i in REPOS) + ") SELECT repo, hidden * inter * 4.5::DOUBLE / 8 AS slice_bytes, hidden * inter * 4.5::DOUBLE / 8 < 262144 AS in_band FROM c WHERE experts IS NOT NULL")
 def survey_slices(spark, sf_dir):
     return model.survey(spark.createDataFrame(REPOS, "repo string, experts int, hidden long, inter long")).select("repo", "slice_bytes", "in_band")
 
 
-@query("WITH c(repo, experts, hidden, inter) AS (VALUES " + ", ".join(f"('{r}', {e or 'NULL'}, {h}, {i})" for r, e, h, i in REPOS) + "), s AS (SELECT repo, hidden * inter * 4.5::DOUBLE / 8 AS b FROM c WHERE experts IS NOT NULL) SELECT count(*) FILTER (b < 262144) AS n_in_band, count(*) AS n, arg_min(repo, (b, repo)) AS smallest, min(b) AS smallest_bytes FROM s")
+@query("WITH c(repo, experts, hidden, inter) AS (VALUES " + ", ".join(f"('{r}', {e or 'NULL'}, {h}, {i})" for r, e, h,
+    i in REPOS) + "), s AS (SELECT repo, hidden * inter * 4.5::DOUBLE / 8 AS b FROM c WHERE experts IS NOT NULL) SELECT count(*) FILTER (b < 262144) "
+        "AS n_in_band, count(*) AS n, arg_min(repo, (b, repo)) AS smallest, min(b) AS smallest_bytes FROM s")
 def survey_summary(spark, sf_dir):
     return model.survey_summary(model.survey(spark.createDataFrame(REPOS, "repo string, experts int, hidden long, inter long")))
 
@@ -715,7 +762,9 @@ _REC = "rec AS (SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT A
 
 def _records(spark, sf_dir):
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (v % 3).cast("int")).alias("kind"), (64 + v % 7).cast("long").alias("nbytes"))
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").cast("int").alias("layer"),
+        (F.expr("vec_id div 3") % 16).cast("int").alias("slot"),
+        F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (v % 3).cast("int")).alias("kind"), (64 + v % 7).cast("long").alias("nbytes"))
 
 
 _PLACED = f"""{_REC}, g AS (SELECT layer, slot // 4 AS g, sum(nbytes) AS size FROM rec GROUP BY ALL),
@@ -730,14 +779,16 @@ def store_layout(spark, sf_dir):
     return store.layout(_records(spark, sf_dir), 1024, 4).drop("align")
 
 
-@query(f"WITH {_PLACED} SELECT count(*) AS records, sum(nbytes)::BIGINT AS payload_bytes, max(\"offset\" + nbytes)::BIGINT AS data_bytes, (max(\"offset\" + nbytes) - sum(nbytes))::BIGINT AS padding_bytes, count(DISTINCT group_id) AS groups, count(*) * 40 AS index_bytes FROM p")
+@query(f"WITH {_PLACED} SELECT count(*) AS records, sum(nbytes)::BIGINT AS payload_bytes, max(\"offset\" + nbytes)::BIGINT AS data_bytes, "
+    f"(max(\"offset\" + nbytes) - sum(nbytes))::BIGINT AS padding_bytes, count(DISTINCT group_id) AS groups, count(*) * 40 AS index_bytes FROM p")
 def store_stats(spark, sf_dir):
     from ..sources import store
 
     return store.stats(store.layout(_records(spark, sf_dir), 1024, 4))
 
 
-@query(f"WITH {_PLACED} SELECT layer, slot, sum(nbytes)::BIGINT AS bytes, min(\"offset\")::BIGINT AS \"offset\", (max(\"offset\" + nbytes) - min(\"offset\"))::BIGINT AS span, max(\"offset\" + nbytes) - min(\"offset\") = sum(nbytes) AS contiguous FROM p GROUP BY ALL")
+@query(f"WITH {_PLACED} SELECT layer, slot, sum(nbytes)::BIGINT AS bytes, min(\"offset\")::BIGINT AS \"offset\", (max(\"offset\" + nbytes) - "
+    f"min(\"offset\"))::BIGINT AS span, max(\"offset\" + nbytes) - min(\"offset\") = sum(nbytes) AS contiguous FROM p GROUP BY ALL")
 def store_spans(spark, sf_dir):
     from ..sources import store
 
@@ -785,13 +836,17 @@ def trace_file_round_trip(spark, sf_dir):
     return traces.read(spark, path, 128)
 
 
-@query("SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END)::INT AS ty, 64::BIGINT AS n_weights, (CASE WHEN vec_id % 2 = 0 THEN 36 ELSE 20 END)::BIGINT AS nbytes FROM embeddings")
+@query("SELECT (vec_id // 48)::INT AS layer, ((vec_id // 3) % 16)::INT AS slot, ['gate', 'up', 'down'][vec_id % 3 + 1] AS kind, (CASE WHEN vec_id % 2 "
+    "= 0 THEN 2 ELSE 4 END)::INT AS ty, 64::BIGINT AS n_weights, (CASE WHEN vec_id % 2 = 0 THEN 36 ELSE 20 END)::BIGINT AS nbytes FROM embeddings")
 def store_file_round_trip(spark, sf_dir):
     """Embeddings quantised as expert slices, written as a store and read again, without payloads."""
     from ..sources import scratch, store
 
     vid = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").cast("int").alias("layer"), (F.expr("vec_id div 3") % 16).cast("int").alias("slot"), F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (vid % 3).cast("int")).alias("kind"), F.when(vid % 2 == 0, "Q4").otherwise("Q2").alias("type"), F.col("embedding").alias("weights"))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 48").cast("int").alias("layer"),
+        (F.expr("vec_id div 3") % 16).cast("int").alias("slot"),
+        F.get(F.array(F.lit("gate"), F.lit("up"), F.lit("down")), (vid % 3).cast("int")).alias("kind"),
+        F.when(vid % 2 == 0, "Q4").otherwise("Q2").alias("type"), F.col("embedding").alias("weights"))
     path = f"{scratch(spark, 'store')}/s.bin"
     store.write(store.quantise(rows), path, 4096, 4)
     return store.read(spark, path, payload=False).select("layer", "slot", "kind", "ty", "n_weights", "nbytes")
@@ -821,16 +876,20 @@ def stream_lru(spark, sf_dir):
     from ..sources import scratch
     from ..streaming import lru
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", lru.PROVIDER)
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     accesses = events.select(F.lit("users").alias("cache"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("user_id").alias("key"))
     name = f"lru_{uuid.uuid4().hex}"
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")  # one cache needs one; each has a state store
+    # One cache needs one partition, and each has a state store. A query keeps the settings it starts with; the session gets its own back.
+    wanted = {"spark.sql.shuffle.partitions": "2", "spark.sql.streaming.stateStore.providerClass": lru.PROVIDER}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        q = lru.lru_stream(accesses, 40).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        updates = lru.lru_stream(accesses, 40).writeStream.outputMode("update").format("memory").queryName(name)
+        q = updates.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     q.awaitTermination()
     return spark.table(name).groupBy("cache").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))

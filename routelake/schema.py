@@ -28,7 +28,8 @@ def trace_faults(trace: DataFrame, n_layers: int, n_experts: int, top_k: int, pr
         ((F.col("expert") < 0) | (F.col("expert") >= n_experts)).cast("int").alias("bad_expert"),
         ((F.col("layer") < 0) | (F.col("layer") >= n_layers)).cast("int").alias("bad_layer"),
     )
-    pairs = trace.select("token", "layer", "rnk", *row).groupBy("token", "layer").agg(F.countDistinct("rnk").alias("k"), F.count(F.lit(1)).alias("rows"), F.sum("bad_expert").alias("bad_expert"), F.sum("bad_layer").alias("bad_layer"))
+    pairs = trace.select("token", "layer", "rnk", *row).groupBy("token", "layer").agg(F.countDistinct("rnk").alias("k"),
+        F.count(F.lit(1)).alias("rows"), F.sum("bad_expert").alias("bad_expert"), F.sum("bad_layer").alias("bad_layer"))
     total = pairs.agg(
         F.coalesce(F.sum("bad_expert"), F.lit(0)).alias("bad_experts"),
         F.coalesce(F.sum("bad_layer"), F.lit(0)).alias("bad_layers"),

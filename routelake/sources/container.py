@@ -167,7 +167,8 @@ def slice_bytes(t: Tensor) -> int:
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     c = parse(path)
-    return spark.createDataFrame([(path, c.version, len(c.tensors), len(c.keys), c.alignment, c.data_start, c.file_len, c.file_len - c.data_start, c.value("general.architecture"))], "path string, version int, n_tensors long, n_keys long, alignment long, data_start long, file_len long, data_len long, architecture string")
+    return spark.createDataFrame([(path, c.version, len(c.tensors), len(c.keys), c.alignment, c.data_start, c.file_len, c.file_len - c.data_start, c.value("general.architecture"))],
+        "path string, version int, n_tensors long, n_keys long, alignment long, data_start long, file_len long, data_len long, architecture string")
 
 
 def keys(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +176,8 @@ def keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tensors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame([(t.idx, t.name, t.dims, t.ggml_type, t.offset, t.nbytes) for t in parse(path).tensors], "idx int, name string, dims array<bigint>, ggml_type int, offset long, nbytes long")
+    return spark.createDataFrame([(t.idx, t.name, t.dims, t.ggml_type, t.offset, t.nbytes) for t in parse(path).tensors],
+        "idx int, name string, dims array<bigint>, ggml_type int, offset long, nbytes long")
 
 
 class Slices(InputPartition):

@@ -43,7 +43,8 @@ class Plan:
     def text(self) -> str:
         out = [HEAD, f"model {self.model}", f"trace {self.trace}"]
         for x in self.layers:
-            out += ["", f"layer {x.block} experts {len(x.perm)} speedup {x.speedup:.4f} requests {x.requests_before:.2f} -> {x.requests_after:.2f}", "tensors " + ",".join(x.tensors), "perm " + ",".join(map(str, x.perm))]
+            out += ["", f"layer {x.block} experts {len(x.perm)} speedup {x.speedup:.4f} requests {x.requests_before:.2f} -> {x.requests_after:.2f}",
+                "tensors " + ",".join(x.tensors), "perm " + ",".join(map(str, x.perm))]
         return "\n".join(out) + "\n"
 
 

@@ -55,14 +55,18 @@ def layout(records: DataFrame, requested_align: int, group_experts: int) -> Data
         return rows.select(*records.columns, F.col("_before").alias("offset"), F.lit(0).alias("group_id"), F.lit(align).cast("long").alias("align"))
     sizes = rows.groupBy(*keys).agg(F.sum("nbytes").alias("size"))
     over = Window.partitionBy(F.lit(0)).orderBy(*keys)  # a row per group
-    starts = sizes.withColumn("_start", F.coalesce(F.sum(align_up(F.col("size"), align)).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("group_id", F.row_number().over(over) - 1)
+    starts = sizes.withColumn("_start",
+        F.coalesce(F.sum(align_up(F.col("size"), align)).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("group_id",
+        F.row_number().over(over) - 1)
     return rows.join(starts.drop("size"), keys).select(*records.columns, (F.col("_start") + F.col("_before")).alias("offset"), "group_id", F.lit(align).cast("long").alias("align"))
 
 
 def stats(placed: DataFrame) -> DataFrame:
     """records, payload_bytes, data_bytes, padding_bytes, groups, index_bytes of a layout."""
-    one = placed.agg(F.count(F.lit(1)).alias("records"), F.sum("nbytes").alias("payload_bytes"), F.max(F.col("offset") + F.col("nbytes")).alias("data_bytes"), F.countDistinct("group_id").alias("groups"))
-    return one.select("records", "payload_bytes", "data_bytes", (F.col("data_bytes") - F.col("payload_bytes")).alias("padding_bytes"), "groups", (F.col("records") * struct.calcsize(RECORD)).alias("index_bytes"))
+    one = placed.agg(F.count(F.lit(1)).alias("records"), F.sum("nbytes").alias("payload_bytes"),
+        F.max(F.col("offset") + F.col("nbytes")).alias("data_bytes"), F.countDistinct("group_id").alias("groups"))
+    return one.select("records", "payload_bytes", "data_bytes", (F.col("data_bytes") - F.col("payload_bytes")).alias("padding_bytes"), "groups",
+        (F.col("records") * struct.calcsize(RECORD)).alias("index_bytes"))
 
 
 def spans(placed: DataFrame) -> DataFrame:
@@ -83,7 +87,8 @@ def quantise(slices: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             data = [codec.quantize(t, w) for t, w in zip(pdf["type"], pdf["weights"], strict=True)]
-            yield pd.DataFrame({"layer": pdf["layer"], "slot": pdf["slot"], "kind": pdf["kind"], "ty": pdf["type"].map(tags).astype("int32"), "n_weights": pdf["weights"].map(len).astype("int64"), "nbytes": [len(d) for d in data], "payload": data})
+            yield pd.DataFrame({"layer": pdf["layer"], "slot": pdf["slot"], "kind": pdf["kind"], "ty": pdf["type"].map(tags).astype("int32"),
+                "n_weights": pdf["weights"].map(len).astype("int64"), "nbytes": [len(d) for d in data], "payload": data})
 
     return slices.select("layer", "slot", "kind", "type", "weights").mapInPandas(run, "layer int, slot int, kind string, ty int, n_weights long, nbytes long, payload binary")
 
@@ -163,7 +168,8 @@ class StoreReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist([dict(zip([*SCHEMA.names], [*r, data], strict=True))], SCHEMA)
 
 
-SCHEMA = pa.schema([("layer", pa.int32()), ("slot", pa.int32()), ("kind", pa.string()), ("ty", pa.int32()), ("n_weights", pa.int64()), ("offset", pa.int64()), ("nbytes", pa.int64()), ("payload", pa.binary())])
+SCHEMA = pa.schema([("layer", pa.int32()), ("slot", pa.int32()), ("kind", pa.string()), ("ty", pa.int32()), ("n_weights", pa.int64()),
+    ("offset", pa.int64()), ("nbytes", pa.int64()), ("payload", pa.binary())])
 
 
 class StoreSource(DataSource):

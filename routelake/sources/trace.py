@@ -83,7 +83,8 @@ class TraceReader(DataSourceReader):
                 if len(ids) != row * n or (len(ids) and ids.max() >= m.n_experts):
                     raise TraceError(f"{self.path}: an expert id is out of range")
                 cell = np.arange(row * n)
-                yield pa.record_batch([pa.array(a + cell // row), pa.array((cell % row // m.top_k).astype(np.int32)), pa.array((cell % m.top_k).astype(np.int32)), pa.array(ids.astype(np.int32))], ["token", "layer", "rnk", "expert"])
+                yield pa.record_batch([pa.array(a + cell // row), pa.array((cell % row // m.top_k).astype(np.int32)), pa.array((cell % m.top_k).astype(np.int32)), pa.array(ids.astype(np.int32))],
+                    ["token", "layer", "rnk", "expert"])
 
 
 class TraceSource(DataSource):
