@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -78,49 +78,64 @@ def ladder(config: Config) -> list[tuple[float, str]]:
 def plan_layer(freq: np.ndarray, tokens: int, loss, config: Config) -> tuple[list[dict], dict]:
     """One layer: the hottest experts stay resident, then bits are taken where they save most time for the error they add.
 
-    loss(expert, bits) is the error of storing an expert so. An expert whose next rung adds no expected error is demoted at
-    once; otherwise the rung with the largest saving per added error is taken, while the sum stays under the ceiling.
+    loss(expert, bits) is the error of storing an expert so. Each step down the ladder has a fixed saving and added error. Steps
+    that add none are taken first, others by saving per added error (ties to the smaller id) while the sum stays under the
+    ceiling. A heap holds the next step of every expert; those above the ceiling wait until a step lowers the sum.
     """
-    n, rungs, w = len(freq), ladder(config), config.weights_per_expert
+    n, rungs = len(freq), ladder(config)
+    bits = np.array([b for b, _ in rungs])
+    size = np.ceil(config.weights_per_expert * bits / 8)
     rate = freq / max(tokens, 1)
-    size = lambda b: math.ceil(w * b / 8)
-    base = size(config.baseline_bits)
-    room = config.resident_budget // base if base else 0
+    room = int(config.resident_budget // size[0]) if size[0] else 0
     resident = np.zeros(n, bool)
     resident[np.lexsort((np.arange(n), -freq))[:room]] = True
-    bps = np.where(resident, config.resident_bps, config.storage_bps)
-    seconds = lambda e, b: float(size(b) / bps[e]) if bps[e] > 0 else 0.0
-    total = lambda at, f: float(sum(rate[e] * f(e, rungs[at[e]][0]) for e in range(n)))
-    at = np.zeros(n, int)
+    bps = np.where(resident, config.resident_bps, config.storage_bps)[:, None]
+    seconds = np.divide(size, bps, out=np.zeros((n, len(rungs))), where=bps > 0)
+    errors = np.array([[loss(e, b) for b in bits] for e in range(n)], float).reshape(n, len(rungs))
+    added, saved = rate[:, None] * np.diff(errors), -rate[:, None] * np.diff(seconds)
     kind, value = config.error_budget
     uniform = lambda b: float(sum(rate[e] * loss(e, b) for e in range(n)))
     ceiling = {"absolute": lambda: value, "uniform": lambda: uniform(value), "relative": lambda: uniform(config.baseline_bits) * value}[kind]()
-    before_loss, before_seconds = total(at, loss), total(at, seconds)
-    now = before_loss
-    while not (config.require_protection and not config.protected):
-        pick, best = None, 0.0
-        for e in range(n):
-            if at[e] + 1 >= len(rungs) or e in config.protected or rungs[at[e] + 1][0] < config.floor_bits:
-                continue
-            old, new = rungs[at[e]][0], rungs[at[e] + 1][0]
-            added = rate[e] * (loss(e, new) - loss(e, old))
-            if added <= 0:
-                pick, added_at = e, added
-                break
-            if now + added > ceiling:
-                continue
-            gain = rate[e] * (seconds(e, old) - seconds(e, new)) / added
-            if gain > best:
-                pick, best, added_at = e, gain, added
-        if pick is None:
-            break
-        at[pick] += 1
-        now += added_at
-    rows = [{"expert": e, "freq": int(freq[e]), "tier": "resident" if resident[e] else "storage", "bits": rungs[at[e]][0], "label": rungs[at[e]][1], "bytes": size(rungs[at[e]][0])} for e in range(n)]
-    after = total(at, seconds)
-    return rows, {"resident_bytes": sum(r["bytes"] for r in rows if r["tier"] == "resident"), "baseline_seconds": before_seconds,
-        "planned_seconds": after, "baseline_loss": before_loss, "planned_loss": total(at, loss),
-        "speedup": before_seconds / after if after > 0 else 1.0}
+    at, experts = np.zeros(n, int), np.arange(n)
+    now = before_loss = float((rate * errors[:, 0]).sum())
+    lowest = int((bits >= config.floor_bits).sum()) - 1
+
+    def step(e: int) -> list[tuple[bool, float, int]]:
+        k = at[e]
+        if k >= lowest or e in config.protected:
+            return []
+        if added[e, k] <= 0:
+            return [(False, 0.0, e)]
+        return [(True, -saved[e, k] / added[e, k], e)] if saved[e, k] > 0 else []
+
+    heap = [] if config.require_protection and not config.protected else [s for e in range(n) for s in step(e)]
+    heapq.heapify(heap)
+    waiting: list = []
+    while heap:
+        costly, _, e = first = heapq.heappop(heap)
+        more = added[e, at[e]]
+        if costly and now + more > ceiling:
+            waiting.append(first)
+            continue
+        at[e] += 1
+        now += more
+        for s in step(e) + (waiting if more < 0 else []):
+            heapq.heappush(heap, s)
+        waiting = [] if more < 0 else waiting
+    rows = [
+        {"expert": e, "freq": int(freq[e]), "tier": "resident" if resident[e] else "storage", "bits": rungs[at[e]][0], "label": rungs[at[e]][1], "bytes": int(size[at[e]])}
+        for e in range(n)
+    ]
+    before, after = float((rate * seconds[:, 0]).sum()), float((rate * seconds[experts, at]).sum())
+    summary = {
+        "resident_bytes": sum(r["bytes"] for r in rows if r["tier"] == "resident"),
+        "baseline_seconds": before,
+        "planned_seconds": after,
+        "baseline_loss": before_loss,
+        "planned_loss": float((rate * errors[experts, at]).sum()),
+        "speedup": before / after if after > 0 else 1.0,
+    }
+    return rows, summary
 
 
 ALLOC = "layer int, expert int, freq long, tier string, bits double, label string, bytes long, baseline_seconds double, planned_seconds double, baseline_loss double, planned_loss double, speedup double, resident_bytes long"

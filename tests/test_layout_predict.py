@@ -99,7 +99,7 @@ def test_bigger_caches_read_less(spark):
     assert all(r["hits"] + r["misses"] == 200 * 2 * 4 for r in rows)
 
 
-def test_allocation_guard_and_budget():
+def test_allocation_guard_and_budget(spark):
     freq = np.arange(16)[::-1] * 10
     error = lambda e, b: {8.25: 0.0, 4.5: 0.001, 2.5: 0.002}[min((8.25, 4.5, 2.5), key=lambda x: abs(x - b))]
     c = allocate.Config(4096, 4 * 4224, 8.25, error_budget=("uniform", 4.5))
@@ -115,7 +115,8 @@ def test_allocation_guard_and_budget():
     assert allocate.plan_layer(freq, 100, error, kept)[0][15]["label"] == "keep"
     none = allocate.Config(4096, 0, 8.25, ladder=allocate.LADDER[2:3], error_budget=("relative", 2.0), require_protection=False)  # twice nothing
     assert allocate.plan_layer(freq[:4] + 1, 100, error, none)[1]["speedup"] == 1.0
-    assert allocate.nearest_native(4.4) == "Q4" and allocate.nearest_native(16) == "Q8"
+    near = spark.range(1).select(*[allocate.nearest_native(F.lit(b)) for b in (4.4, 16.0)])
+    assert tuple(near.head()) == ("Q4", "Q8")
 
 
 def test_surface_json(spark, tmp_path):
