@@ -165,6 +165,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     def count(batches):
         tok = load(path)
         for b in batches:
+            b = b.filter(pa.array([k[:1] == UNIT for k in b.column(0).to_pylist()], pa.bool_()))
             texts = [k[1:].decode("utf-8", "surrogatepass") for k in b.column(0).to_pylist()]
             n = [len(e.ids) for at in range(0, len(texts), 4096) for e in tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], ["key", "salts", "pieces"])
@@ -172,7 +173,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     dealt = docs.select("doc_id", "text").mapInArrow(postings, "key binary, salt int, p binary").repartition(n_partitions(spark), "key", "salt")
     # max(octet_length(p)) keeps all columns, and no filter on keys stands here, so that both readers share the exchange.
     distinct = dealt.groupBy("key", "salt").agg(F.max(F.octet_length("p")).alias("most")).where(F.col("most") >= 0)
-    by_key = distinct.where(F.substring("key", 1, 1) == F.lit(UNIT)).groupBy("key").agg(F.collect_set("salt").alias("salts"))  # at most SALTS + 1
+    by_key = distinct.groupBy("key").agg(F.collect_set("salt").alias("salts"))  # at most SALTS + 1
     pieces = by_key.mapInArrow(count, "key binary, salts array<int>, pieces long").select("key", F.explode("salts").alias("salt"), "pieces")
     parts = dealt.join(pieces.hint("merge"), ["key", "salt"], "left").select("key", "p", "pieces").mapInArrow(_expand, "block long, info boolean, payload binary")
     sums = parts.groupBy("block").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
