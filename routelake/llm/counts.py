@@ -36,7 +36,7 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list) -> Iterator[pa.RecordBatch]:
+def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list, frequent: int) -> Iterator[pa.RecordBatch]:
     """Rows (unit, salt, postings): block id (8 bytes), then places in the block (2 bytes each), then frequencies (1 byte each)."""
     both, freq = np.unique(at << 16 | docs, return_counts=True)
     parts = -(-freq // 255)  # a frequency above 255 takes several postings
@@ -56,7 +56,7 @@ def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list
     data[_ragged(starts + 8 + 2 * n, n)] = count
     keys = pa.array([UNIT + u.encode("utf-8", "surrogatepass") for u in units], pa.binary())
     bounds = np.concatenate([[0], ends]).astype(np.int32)
-    salt = np.where(n >= FREQUENT, 1 + zlib.crc32(block.to_bytes(8, "little")) % SALTS, 0).astype(np.int32)
+    salt = np.where(n >= frequent, 1 + zlib.crc32(block.to_bytes(8, "little")) % SALTS, 0).astype(np.int32)
     out = pa.record_batch([keys, pa.array(salt), pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(bounds), pa.py_buffer(data)])], schema=POSTINGS)
     for k in range(0, out.num_rows, 50_000):
         yield out.slice(k, 50_000)
@@ -68,7 +68,7 @@ def _flush(block: int, units: list, docs: np.ndarray, at: np.ndarray, info: list
     yield pa.RecordBatch.from_pylist(rows, POSTINGS)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], rule: str) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], rule: str, frequent: int) -> Iterator[pa.RecordBatch]:
     part, k = TaskContext.get().partitionId(), 0
     index, at, docs, info, held = _Index(), [], [], [], 0
     for b in slices(batches, 64):
@@ -80,10 +80,10 @@ def _postings(batches: Iterator[pa.RecordBatch], rule: str) -> Iterator[pa.Recor
             info.append((doc_id, len(text.encode("utf-8", "surrogatepass")) if text else 0))
             held += len(found)
             if held >= BLOCK_UNITS or len(info) >= BLOCK_DOCS:
-                yield from _flush(part << 24 | k, list(index), np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info)
+                yield from _flush(part << 24 | k, list(index), np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info, frequent)
                 index, at, docs, info, held, k = _Index(), [], [], [], 0, k + 1
     if info:
-        yield from _flush(part << 24 | k, list(index), np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info)
+        yield from _flush(part << 24 | k, list(index), np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)]), info, frequent)
 
 
 PARTS = pa.schema([("block", pa.int64()), ("info", pa.bool_()), ("payload", pa.binary())])
@@ -145,14 +145,14 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(doc, mask=null.astype(bool)), pa.array(size), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every document.
 
     docs: doc_id, text; other columns are ignored. Null text counts as empty: 0 bytes, 0 tokens. Null doc_ids and
     repeated rows are documents of their own. No rows: no rows.
 
     Blocks of documents become postings (pre-token -> places in the block and frequencies), dealt once by pre-token, and
-    by block where it is frequent; both the distinct pre-tokens, whose pieces are counted once each, and the join back read
+    by block where `frequent` documents of one hold it; both the distinct pre-tokens, whose pieces are counted once each, and the join back read
     that exchange. Sums return as a row per block and task; ids are not kept anywhere.
     """
     spark = docs.sparkSession
@@ -160,7 +160,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     rule = split_rule(path)
 
     def postings(batches):
-        return _postings(batches, rule)
+        return _postings(batches, rule, frequent)
 
     def count(batches):
         tok = load(path)

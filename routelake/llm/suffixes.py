@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, ship, trim
-from .parcels import PARCEL, bucket_of, held_by_several, layout, mix, pack_names, parcels, squeeze, unpack_names, unsqueeze
+from .parcels import HOT_BLOCKS, PARCEL, bucket_of, held_by_several, layout, mix, pack_names, parcels, squeeze, unpack_names, unsqueeze
 
 GRAM = 20
 #: Bytes of a block; more only in very large tables, see layout().
@@ -245,13 +245,13 @@ def first_holders(name: np.ndarray, around: np.ndarray, before: np.ndarray, afte
     return rows[by], shifts[by], firsts[by]
 
 
-def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
+def remove_earlier(docs: DataFrame, span: int = 50, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """Removes every byte that a string of span bytes covers which also starts in a document with a smaller doc_id.
 
     docs: doc_id, text; other columns are ignored. Result: doc_id, n_bytes, spans (array of start, end: the removed
     runs of UTF-8 bytes), kept (the remaining bytes). Matches never cross documents, and texts are judged as they came.
     Null text: empty. Null doc_ids stand after all others; equal doc_ids, null ones too, don't remove from each other.
-    No rows: no rows.
+    No rows: no rows. What stands around anchors in hot_blocks blocks or more is dealt by more bytes than theirs.
     """
     if span < GRAM + 1:
         raise ValueError(f"span must be above {GRAM}")
@@ -299,6 +299,9 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
                     held["around"][part], held["before"][part].astype(np.uint8), held["after"][part].astype(np.uint8), least[part], most[part]))
         return parcels(to, [docs_["block"][0].as_py()] * len(to), payload)
 
+    def held(table: pa.Table) -> pa.Table:
+        return held_by_several(table, hot_blocks)
+
     def _answered(answers: list) -> tuple[np.ndarray, np.ndarray]:
         """The sorted names that several documents hold, and which of them are hot."""
         found = [unsqueeze(p) for p in answers]
@@ -387,7 +390,7 @@ def remove_earlier(docs: DataFrame, span: int = 50) -> DataFrame:
     both = lambda first, second: first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)))
     by_block = lambda df: df.groupBy("block")
     offers = by_block(blocked).applyInArrow(offer, PARCEL)
-    answers = offers.groupBy("to").applyInArrow(held_by_several, PARCEL)
+    answers = offers.groupBy("to").applyInArrow(held, PARCEL)
     asks = by_block(blocked).cogroup(answers.groupBy("to")).applyInArrow(ask, PARCEL)
     orders = asks.groupBy("to").applyInArrow(order, PARCEL)
     return by_block(blocked).cogroup(both(answers, orders).groupBy("to")).applyInArrow(cut, OUT_SQL)

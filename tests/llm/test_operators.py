@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from routelake.llm import chaining, common, counts, graph, jaccard, mixing, neighbours, packing, parcels, quality, registry, suffixes, units, warc, wavelet
+from routelake.llm import chaining, common, counts, graph, jaccard, mixing, neighbours, packing, quality, registry, suffixes, units, warc, wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -131,9 +131,9 @@ def test_wavelet_shards(spark, docs, rows, none):
     assert wavelet.read_shards(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
-def test_counts(docs, rows, none, path, monkeypatch):
-    got = counts.count_tokens(docs.repartition(3), path, 100).toPandas()
+@pytest.mark.parametrize(("path", "frequent"), [(BYTE_BPE, 1024), (BYTE_BPE, 2), (WORD_BPE, 3)])
+def test_counts(docs, rows, none, path, frequent):
+    got = counts.count_tokens(docs.repartition(3), path, 100, frequent).toPandas()
     plain = ids_of(path)
     want = collections.Counter((r[0], len((r[1] or "").encode()), n := len(plain(r[1])), n > 100) for r in rows)
     assert want == collections.Counter((None if math.isnan(r.doc_id) else int(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got.itertuples())
@@ -284,8 +284,7 @@ def test_gzip_forms():
 @pytest.mark.parametrize(("block", "hot"), [(2_000, 256), (2_000, 2), (10**7, 256)])
 def test_suffixes(docs, rows, none, monkeypatch, block, hot):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
-    monkeypatch.setattr(parcels, "HOT_BLOCKS", hot)
-    got = suffixes.remove_earlier(docs).collect()
+    got = suffixes.remove_earlier(docs, hot_blocks=hot).collect()
     first = {}
     for r in rows:
         b = (r[1] or "").encode()
