@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -84,18 +85,22 @@ def bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
     return ((name >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def held_by_several(table: pa.Table, hot_blocks: int = HOT_BLOCKS) -> pa.Table:
+def held_by_several(hot_blocks: int = HOT_BLOCKS) -> Callable[[pa.Table], pa.Table]:
     """Parcels (sorted names, bits: held by several in the block) of a bucket -> to each block, its names that several hold,
     with bits: in hot_blocks blocks or more."""
-    origin, found = table["origin"].to_pylist(), [unsqueeze(p) for p in table["payload"].to_pylist()]
-    name = [unpack_names(f[0]) for f in found]
-    several = np.concatenate([np.unpackbits(f[1], count=len(n)).astype(bool) for f, n in zip(found, name, strict=True)])
-    _, group, n = np.unique(np.concatenate(name), return_inverse=True, return_counts=True)
-    yes = n > 1
-    yes[group[several]] = True
-    answers, at = [], 0
-    for one in name:
-        mine = group[at : at + len(one)]
-        answers.append(squeeze(pack_names(one[yes[mine]]), np.packbits(n[mine[yes[mine]]] >= hot_blocks)))
-        at += len(one)
-    return parcels(origin, table["to"].to_pylist(), answers)
+
+    def answer(table: pa.Table) -> pa.Table:
+        origin, found = table["origin"].to_pylist(), [unsqueeze(p) for p in table["payload"].to_pylist()]
+        name = [unpack_names(f[0]) for f in found]
+        several = np.concatenate([np.unpackbits(f[1], count=len(n)).astype(bool) for f, n in zip(found, name, strict=True)])
+        _, group, n = np.unique(np.concatenate(name), return_inverse=True, return_counts=True)
+        yes = n > 1
+        yes[group[several]] = True
+        answers, at = [], 0
+        for one in name:
+            mine = group[at : at + len(one)]
+            answers.append(squeeze(pack_names(one[yes[mine]]), np.packbits(n[mine[yes[mine]]] >= hot_blocks)))
+            at += len(one)
+        return parcels(origin, table["to"].to_pylist(), answers)
+
+    return answer

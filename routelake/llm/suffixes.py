@@ -299,9 +299,6 @@ def remove_earlier(docs: DataFrame, span: int = 50, hot_blocks: int = HOT_BLOCKS
                     held["around"][part], held["before"][part].astype(np.uint8), held["after"][part].astype(np.uint8), least[part], most[part]))
         return parcels(to, [docs_["block"][0].as_py()] * len(to), payload)
 
-    def held(table: pa.Table) -> pa.Table:
-        return held_by_several(table, hot_blocks)
-
     def _answered(answers: list) -> tuple[np.ndarray, np.ndarray]:
         """The sorted names that several documents hold, and which of them are hot."""
         found = [unsqueeze(p) for p in answers]
@@ -390,7 +387,7 @@ def remove_earlier(docs: DataFrame, span: int = 50, hot_blocks: int = HOT_BLOCKS
     both = lambda first, second: first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)))
     by_block = lambda df: df.groupBy("block")
     offers = by_block(blocked).applyInArrow(offer, PARCEL)
-    answers = offers.groupBy("to").applyInArrow(held, PARCEL)
+    answers = offers.groupBy("to").applyInArrow(held_by_several(hot_blocks), PARCEL)
     asks = by_block(blocked).cogroup(answers.groupBy("to")).applyInArrow(ask, PARCEL)
     orders = asks.groupBy("to").applyInArrow(order, PARCEL)
     return by_block(blocked).cogroup(both(answers, orders).groupBy("to")).applyInArrow(cut, OUT_SQL)
