@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -638,3 +639,86 @@ def test_fuzzy_passages_are_found(spark, monkeypatch):
         assert r["first_doc_id"] < r["doc_id"] and len(x) >= 50 and 0.8 * max(len(x), len(y)) <= r["matched"] <= _common(x, y)
     for cell, places in planted.items():
         assert np.mean([len(covered[d] & set(range(a, b))) >= 0.8 * (b - a) for d, a, b in places]) >= 0.9, cell
+
+
+def every_pair(texts):
+    """Words of each document that passages with any earlier one cover: all pairs of documents that share seeds, no index."""
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "block": pa.array([0] * len(texts), pa.int32())})
+    block = chaining.Block(table)
+    hashes, matches, covered = (block.words.hash >> np.uint64(32)).astype(np.uint32), collections.defaultdict(list), collections.defaultdict(set)
+    places = collections.defaultdict(list)
+    for name, of, at in zip(*(x.tolist() for x in block.seeds()), strict=True):
+        for e, there in places[name]:
+            if e < of:
+                matches[of, e].append((at, there))
+        places[name].append((of, at))
+    for (d, e), found in matches.items():
+        x, y = (hashes[block.words.bounds[k] : block.words.bounds[k + 1]] for k in (d, e))
+        made = chaining.runs(*np.array(found).T)
+        for path in chaining.chain(*made):
+            if made[4][path].sum() < chaining.CHAIN_SEEDS or made[2][path[-1]] - made[0][path[0]] + 1 < chaining.CHAIN_WORDS:
+                continue
+            rows = np.stack([c[path] for c in made[:4]], 1)
+            lo = max(0, int(rows[0, 0]) - chaining.MARGIN)
+            near, rows = x[lo : int(rows[-1, 2]) + 1 + chaining.MARGIN], (rows - [lo, 0, lo, 0]).tolist()
+            whole = chaining.align(near, y, rows)
+            for a, b, c, e_, matched in [whole] if whole[4] >= 0.8 * max(whole[1] - whole[0], whole[3] - whole[2]) else [chaining.align(near, y, [r]) for r in rows]:
+                if b - a >= 50 and matched >= 0.8 * max(b - a, e_ - c):
+                    covered[d].update(range(lo + a, lo + b))
+    return covered
+
+
+@pytest.mark.parametrize("block", [4_000, 10_000_000])
+def test_passages_of_any_holder(spark, monkeypatch, block):
+    monkeypatch.setattr(chaining, "BLOCK_BYTES", block)
+    monkeypatch.setattr(chaining, "PAIRS", 500)
+    rng = random.Random(5)
+    made = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    line, second = made(14), made(11)
+    texts, last = [], []
+    for _ in range(8):
+        p = made(100)
+        parts = [made(9) + p[k : k + 24] + made(9) for k in range(0, 90, 12)]
+        q = list(p)
+        for k in range(6, 100, 11):
+            q[k : k + 1] = rng.choice([made(1), [], [q[k], *made(1)]])
+        # The whole copy is neither the first holder of any seed nor the nearest one before the edited copy.
+        texts += [*parts, made(20) + p + made(20), *[made(5) + x for x in parts]]
+        last.append(made(15) + q + made(15))
+    texts += [made(30) + line + made(30) for _ in range(40)] + [made(20) + line + made(k) + second + made(20) for k in range(30)]
+    texts += [["the"] * n + made(60) + line for n in (30, 49, 70, 200)] + [line + made(3), line + second, texts[8], texts[8]] + last
+    texts = [" ".join(t) for t in texts]
+    got = chaining.find_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    covered = collections.defaultdict(set)
+    for r in got:
+        assert r["first_doc_id"] < r["doc_id"] and r["identity"] >= 0.8 and r["end_word"] - r["start_word"] >= 50
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    want = every_pair(texts)
+    assert all(len(want[d]) >= 80 for d in range(len(texts) - 8, len(texts)))
+    assert {d: w - covered[d] for d, w in want.items() if w - covered[d]} == {}
+
+
+def test_what_cannot_grow_is_no_passage():
+    rng, grown, n = random.Random(3), 0, 2 * chaining.BESIDE + chaining.SEED
+    for _ in range(4_000):
+        words_ = rng.choice((2, 4, 30))
+        x = [rng.randrange(1, 1 + words_) for _ in range(160)]
+        share = rng.choice((0, 0.3, 0.6, 0.9))
+        y = [w if rng.random() < share else rng.randrange(1, 1 + words_) for w in x]
+        for _ in range(rng.randrange(3)):
+            del y[rng.choice((rng.randrange(60), 160 - 8 - rng.randrange(60)))]
+        i, j = 70, rng.choice((70, 69, 68))
+        line = [100, 101, 102, 103, 104, 105, 106]
+        x[i : i + 7], y[j : j + 7] = line, line
+        x, y = np.array(x, np.uint32), np.array(y, np.uint32)
+        near = [z[k - chaining.BESIDE : k - chaining.BESIDE + n][None] for z, k in ((x, i), (y, j))]
+        a, b, c, d, matched = chaining.align(x, y, [(i, j, i + 6, j + 6)])
+        grows = bool(chaining.may_grow(*near, 50)[0])
+        lo, hi = 0, 7
+        while x[i + lo - 1] == y[j + lo - 1] and i + lo > 1 and j + lo > 1:
+            lo -= 1
+        while i + hi < len(x) and j + hi < len(y) and x[i + hi] == y[j + hi]:
+            hi += 1
+        assert grows or ((a, b, c, d) == (i + lo, i + hi, j + lo, j + hi) and b - a < 50)
+        grown += not grows
+    assert grown > 300
