@@ -1,6 +1,7 @@
 """The pipeline's stages on small tables: columns, what each keeps, and that each works on what the one before kept."""
 
 import math
+import random
 
 import corpus_pipeline
 import pytest
@@ -70,3 +71,18 @@ def test_empty(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = materialize(f(spark, docs, DIR), "t")
         assert docs.count() == 0
+
+
+def test_passages_of_any_holder_are_cut(spark):
+    rng = random.Random(9)
+    made = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    p = made(100)
+    parts = [made(9) + p[k : k + 24] + made(9) for k in range(0, 90, 12)]
+    edited = [made(1)[0] if k % 11 == 6 else w for k, w in enumerate(p)]
+    # The whole copy is neither the first holder of any seed nor the nearest one before the edited copy.
+    texts = [*parts, made(20) + p + made(20), *[made(5) + x for x in parts], made(15) + edited + made(15)]
+    rows = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, read(spark, DIR, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    left = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.cut_repeated_passages(spark, docs, DIR).collect()}
+    assert len(left[len(texts) - 1]) <= 40
+    assert all(left[k] == texts[k] for k in range(len(texts) - 1))
