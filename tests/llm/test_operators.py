@@ -722,3 +722,23 @@ def test_what_cannot_grow_is_no_passage():
         assert grows or ((a, b, c, d) == (i + lo, i + hi, j + lo, j + hi) and b - a < 50)
         grown += not grows
     assert grown > 300
+
+
+def in_order(rng, made):
+    """Two documents: parts of a passage stand singly in the first one before the passage, edited in the second."""
+    p = made(100)
+    parts = [made(9) + p[k : k + 24] + made(9) for k in range(0, 90, 12)]
+    q = [made(1)[0] if k % 11 == 6 else w for k, w in enumerate(p)]
+    return sum(parts, []) + made(20) + p + made(20), made(15) + q + made(15)
+
+
+def test_passages_behind_their_parts_in_one_document(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK_BYTES", 4_000)
+    rng = random.Random(15)
+    pairs = [in_order(rng, lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]) for _ in range(6)]
+    texts = [" ".join(x) for pair in pairs for x in pair]
+    got = chaining.find_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    covered = collections.defaultdict(set)
+    for r in got:
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert all(len(covered[d] & set(range(15, 115))) >= 90 for d in range(1, 12, 2))

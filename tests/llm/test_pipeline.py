@@ -86,3 +86,18 @@ def test_passages_of_any_holder_are_cut(spark):
     left = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.cut_repeated_passages(spark, docs, DIR).collect()}
     assert len(left[len(texts) - 1]) <= 40
     assert all(left[k] == texts[k] for k in range(len(texts) - 1))
+
+
+def test_passages_behind_their_parts_in_one_document_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK_BYTES", 4_000)
+    rng = random.Random(10)
+    made = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        p = made(100)
+        texts.append(sum([made(9) + p[k : k + 24] + made(9) for k in range(0, 90, 12)], []) + made(20) + p + made(20))
+        texts.append(made(15) + [made(1)[0] if k % 11 == 6 else w for k, w in enumerate(p)] + made(15))
+    rows = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, read(spark, DIR, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    left = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.cut_repeated_passages(spark, docs, DIR).collect()}
+    assert all(left[k] == texts[k] and len(left[k + 1]) <= 40 for k in range(0, 12, 2))
