@@ -742,3 +742,37 @@ def test_passages_behind_their_parts_in_one_document(spark, monkeypatch):
     for r in got:
         covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
     assert all(len(covered[d] & set(range(15, 115))) >= 90 for d in range(1, 12, 2))
+
+
+@pytest.mark.parametrize("words_", [2, 5, 300])
+def test_short_lines_and_repeated_words(spark, monkeypatch, words_):
+    """Lines of many documents, with slots, twice in one, and runs of one word: all pairs find no more, but for words that an
+    end is drawn out to from a chain that lies within a passage found before."""
+    monkeypatch.setattr(chaining, "BLOCK_BYTES", 6_000)
+    monkeypatch.setattr(chaining, "PAIRS", 500)
+    rng = random.Random(words_)
+    made = lambda n: [f"w{rng.randrange(words_)}" for _ in range(n)]
+    line, second = ([f"{c}{k}" for k in range(n)] for c, n in (("a", 14), ("b", 11)))
+    texts = []
+    for k in range(60):
+        some = [list(line), made(rng.randrange(12)), list(second), made(30), [rng.choice("xyz")] * rng.choice((5, 7, 12, 30, 49, 70))]
+        some += [list(line)] if k % 3 else [line[:7] + made(1) + line[8:], second[:6] + made(1) + second[6:]]
+        rng.shuffle(some)
+        texts.append(" ".join(sum(some, [])))
+    got = chaining.find_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    covered = collections.defaultdict(set)
+    for r in got:
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    want = every_pair(texts)
+    left = {d: w - covered[d] for d, w in want.items() if w - covered[d]}
+    assert all(min(abs(k - c) for c in covered[d]) <= 5 for d, w in left.items() for k in w) and sum(map(len, left.values())) <= 12
+    assert words_ < 300 or not left
+
+
+def test_dense_words_bound_passages():
+    words = np.array([9, 9, *[1, 2, 3, 4, 8] * 10, 9, 9], np.uint32)
+    assert not chaining.dense(words, np.array([1, 2, 3, 4], np.uint32), 50, 0.8)  # 49 words from the first to the last one there
+    assert chaining.dense(words, np.array([1, 2, 3, 4], np.uint32), 49, 0.8)
+    assert not chaining.dense(words, np.array([1, 2, 3], np.uint32), 40, 0.8)
+    assert not chaining.dense(words[:30], np.array([1, 2, 3, 4, 8], np.uint32), 50, 0.8)
+    assert chaining.dense(words, np.array([1, 2, 3, 4, 8], np.uint32), 50, 1.0)
