@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from routelake.llm import chaining, common, counts, graph, jaccard, mixing, neighbours, packing, quality, registry, suffixes, units, warc, wavelet
+from routelake.llm import chaining, common, counts, graph, jaccard, mixing, neighbours, packing, parcels, quality, registry, suffixes, units, warc, wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -776,3 +776,52 @@ def test_dense_words_bound_passages():
     assert not chaining.dense(words, np.array([1, 2, 3], np.uint32), 40, 0.8)
     assert not chaining.dense(words[:30], np.array([1, 2, 3, 4, 8], np.uint32), 50, 0.8)
     assert chaining.dense(words, np.array([1, 2, 3, 4, 8], np.uint32), 50, 1.0)
+
+
+def test_many_ends_are_drawn_out_alike():
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 4, 4_000).astype(np.uint32)
+    y = np.where(rng.random(4_000) < 0.7, x, rng.integers(1, 4, 4_000)).astype(np.uint32)
+    i, j = rng.integers(100, 3_900, 500), rng.integers(100, 3_900, 500)
+    j = np.where(rng.random(500) < 0.7, i + rng.integers(-1, 2, 500), j)
+    n_i, n_j = rng.integers(0, 65, 500), rng.integers(0, 90, 500)
+    for step in (1, -1):
+        ends = lambda w, k, n: w[k : k + n] if step == 1 else w[k - n + 1 : k + 1][::-1]  # noqa: B023, E731
+        want = [chaining._draw(ends(x, a, n), ends(y, b, m)) for a, b, n, m in zip(i, j, n_i, n_j, strict=True)]
+        assert chaining.draw_all(x, y, i, j, n_i, n_j, step).tolist() == [list(w) for w in want]
+
+
+def test_a_frequent_name_is_paired_in_bounded_memory():
+    """Places of one name in 6,000 documents, none of which can grow."""
+    import tracemalloc
+
+    rng, n, width = np.random.default_rng(6), 6_000, 2 * chaining.BESIDE + chaining.SEED
+    near = rng.integers(1, 1 << 32, (n, width)).astype(np.uint32)
+    near[:, chaining.BESIDE : chaining.BESIDE + 9] = np.arange(1, 10)
+    starts = np.zeros((n, width), bool)
+    starts[:, [chaining.BESIDE, chaining.BESIDE + 3]] = True
+    words = chaining.ranked(near)
+    doc = np.arange(n)
+    found = [(chaining.pack_names(np.full(n, 7, np.uint64)), doc, doc, doc.astype(np.uint64), doc, np.packbits(np.ones(n, bool)), *words, np.packbits(starts, axis=1))]
+    tracemalloc.start()
+    pairs = chaining.candidates([0], found, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs[0]) == 0 and peak < 70_000_000
+
+
+def test_texts_are_shuffled_once(docs):
+    """All steps read one exchange of the texts, also where further columns come back."""
+    cut = chaining.remove_passages(docs.limit(30))
+    cut.collect()
+    plan = cut._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(block" in line and "Reused" not in line]) == 1
+
+
+def test_parcels_by_planes():
+    rng = np.random.default_rng(8)
+    arrays = [rng.integers(0, 300, 5_000).astype(np.int32), rng.integers(0, 1 << 40, (30, 7)), np.zeros(0, np.uint16), rng.random(9), np.arange(2, dtype=np.uint8)]
+    for some in (arrays, arrays[2:]):
+        data = parcels.squeeze(*some, planes=True)
+        assert all(a.dtype == b.dtype and a.shape == b.shape and (a == b).all() for a, b in zip(some, parcels.unsqueeze(data), strict=True))
+    assert len(parcels.squeeze(*arrays, planes=True)) < len(parcels.squeeze(*arrays))
