@@ -698,6 +698,21 @@ def test_passages_of_any_holder(spark, monkeypatch, block):
     assert {d: w - covered[d] for d, w in want.items() if w - covered[d]} == {}
 
 
+def test_passages_leave_only_the_last_shuffles(spark, docs):
+    """The shuffles of the steps up to the pairs are gone when the words of these pairs are sent."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = re.findall(r"shuffle_(\d+)_", str(manager.getAllFiles().mkString(" ")))
+        return set(map(int, names))
+
+    newest = max(shuffles(), default=-1)
+    passages = chaining.find_passages(docs)
+    found = passages.collect()
+    left = {k for k in shuffles() if k > newest}
+    assert found and 0 < len(left) <= 4, left  # texts, pairs and words
+
+
 def test_what_cannot_grow_is_no_passage():
     rng, grown, n = random.Random(3), 0, 2 * chaining.BESIDE + chaining.SEED
     for _ in range(4_000):
