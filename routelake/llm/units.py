@@ -1,7 +1,8 @@
 """Exact tokenization through a cache of units: stretches of text that a tokenizer never joins across.
 
 A unit's ids don't depend on its surroundings, so a text's ids are its units' ids in a row. Every distinct unit is
-encoded by the tokenizers library once per cache; the cache is emptied when it is full, which changes no result.
+encoded by the tokenizers library once per cache; a full cache, and one of a task that ends, keeps only units that were met
+repeatedly, which changes no result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import trim
 CACHE_BYTES = 96 << 20
 #: What a unit takes besides its letters and ids: its string, its number and its place in the index.
 UNIT_BYTES = 200
+#: Units at most that a cache keeps when it is full or its task ends: about 30 MB.
+KEPT_UNITS = 120_000
 #: Texts handled at a time.
 SLICE = 256
 #: A byte-level pre-tokenizer starts a new piece at a single space between two other characters, always.
@@ -110,6 +113,36 @@ def load(path: str):
     return tok
 
 
+def byte_letters() -> dict[str, str]:
+    """How byte-level tokenizers write the letters of _LETTER above ASCII: a character for each byte."""
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(c): "".join(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_ABOVE_ASCII, _BYTE_LETTERS = re.compile(r"[^\x00-\x7f]"), byte_letters()
+
+
+def words_only(tok, spec: dict, rule: str):
+    """A tokenizer of the same model for words of letters, written byte by byte as the model has them, between spaces; None
+    where the file's other steps could change such words further than by lower case."""
+    pre = spec["pre_tokenizer"]
+    byte_level = pre if rule == "before_space" else (pre["pretokenizers"][1:] or [{}])[0]
+    plain = byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space") and bool(byte_level.get("use_regex")) == (rule == "before_space")
+    if not plain or len(pre.get("pretokenizers", ())) > 2 or spec["model"]["type"] != "BPE":
+        return None
+    if any(re.fullmatch(f"[ {_LETTER}]*", t["content"]) for t in spec.get("added_tokens") or []):
+        return None
+    # White space, the only thing that is replaced, isn't in words, and their letters are their own NFC.
+    if any(n["type"] == "Replace" and n["pattern"] != {"Regex": r"\s+"} for n in (spec.get("normalizer") or {}).get("normalizers", [])):
+        return None
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(tok.model)
+    out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return out
+
+
 class _Ids:
     """Ids of numbered stretches, one after another."""
 
@@ -137,15 +170,17 @@ class _Ids:
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tok, self.rule = load(path), split_rule(path)
-        self.units, self.end, self.letters = _Ids(), None, 0
+        self.forget()
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
         # Which ids begin or end a piece, by which the ids of many one-piece units can be told apart.
         self.marks = None
         if self.rule == "before_space" or self.rule == "at_space" and suffix:
             vocabulary = self.tok.get_vocab(with_added_tokens=False)
             self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
             self.marks[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.rule == "before_space" else t.endswith(suffix))]] = True
+        self.bare = words_only(self.tok, spec, self.rule) if self.marks is not None else None
 
     def _learn(self) -> None:
         """Ids of the units met for the first time."""
@@ -160,42 +195,80 @@ class Encoder:
 
     def forget(self) -> None:
         """Empties the cache; the tokenizer stays."""
-        self.units, self.end, self.letters = _Ids(), None, 0
+        self.units, self.uses, self.end, self.letters = _Ids(), np.zeros(1 << 14, np.int64), None, 0
+
+    def _begin(self, end_id: int | None) -> None:
+        self.forget()
+        self.end = end_id
+        self.units.index[None] = 0  # stands for the end of a text
+        self.units.index.fresh.clear()
+        self.units.add(np.array([] if end_id is None else [end_id], np.uint32), np.array([int(end_id is not None)]))
+
+    def keep(self) -> None:
+        """Drops units met only once since the last time, and the rarest ones above KEPT_UNITS; all if they still take much."""
+        old, n = self.units, self.units.n
+        if not n:
+            return
+        uses = _room(self.uses, n)[:n]
+        k = 1 + np.flatnonzero(uses[1:] > 1)
+        k = np.sort(k[np.argsort(-uses[k], kind="stable")[:KEPT_UNITS]])
+        names, (ids, ends) = list(old.index), old.take(k)
+        names = [names[i] for i in k.tolist()]
+        self._begin(self.end)
+        self.units.index.update(zip(names, range(1, len(names) + 1), strict=True))
+        self.units.add(ids, np.diff(ends, prepend=0))
+        self.letters = sum(map(len, names))
+        if self.held() > CACHE_BYTES // 2:
+            self.forget()
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units and how many each has. Words of letters alone are one piece each, and go in one text."""
         single = np.array([self.marks is not None and _ONE_PIECE[self.rule].fullmatch(u) is not None for u in units], bool)
         lens = np.zeros(len(units), np.int64)
-        parts: list = [None] * len(units)
         words = [u for u, yes in zip(units, single.tolist(), strict=True) if yes]
+        ids = np.zeros(0, np.uint32)
         if words:
-            ids = np.array(self.tok.encode_batch_fast([("" if self.rule == "before_space" else " ").join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = self._encode_words(words)
             edge = np.flatnonzero(self.marks[ids])
             bounds = np.append(edge, len(ids)) if self.rule == "before_space" else np.concatenate([[0], edge + 1])
             if len(bounds) != len(words) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
                 raise ValueError("the pieces of a text don't agree with its words")
-            for k, a, b in zip(np.flatnonzero(single).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                parts[k] = ids[a:b]
             lens[single] = np.diff(bounds)
-        rest = np.flatnonzero(~single).tolist()
-        for k, e in zip(rest, self.tok.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
-            parts[k] = np.array(e.ids, np.uint32)
-            lens[k] = len(parts[k])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), lens
+        rest = [e.ids for e in self.tok.encode_batch_fast([u for u, yes in zip(units, single.tolist(), strict=True) if not yes], add_special_tokens=False)]
+        lens[~single] = np.fromiter(map(len, rest), np.int64, len(rest))
+        of_words = np.repeat(single, lens)
+        out = np.empty(len(of_words), np.uint32)
+        out[of_words] = ids
+        out[~of_words] = np.fromiter(chain.from_iterable(rest), np.uint32, len(of_words) - len(ids))
+        return out, lens
+
+    def _encode_words(self, words: list[str]) -> np.ndarray:
+        """Ids of words of letters, which are one piece each."""
+        text = ("" if self.rule == "before_space" else " ").join(words)
+        tok = self.bare or self.tok
+        if self.bare:  # what the steps before the model make of words
+            if self.rule == "at_space":
+                text = text.lower()
+            if not text.isascii():
+                text = _ABOVE_ASCII.sub(lambda m: _BYTE_LETTERS[m[0]], text)
+            if self.rule == "before_space":
+                text = text.replace(" ", " \u0120")
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def encode(self, texts: list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row (null: none), with end_id after each text, and where each text starts, with the end."""
-        if self.held() > CACHE_BYTES or end_id != self.end or not self.units.n:
-            self.forget()
-            self.end = end_id
-            self.units.index[None] = 0  # stands for the end of a text
-            self.units.add(np.array([] if end_id is None else [end_id], np.uint32), np.array([int(end_id is not None)]))
+        if self.held() > CACHE_BYTES:
+            self.keep()
+        if end_id != self.end or not self.units.n:
+            self._begin(end_id)
         units, n_units = [], [0]
         for t in texts:
             units += units_of(t, self.rule)
             n_units.append(len(units))
         at = np.fromiter(map(self.units.index.__getitem__, units), np.int64, len(units))
         self._learn()
+        self.uses = _room(self.uses, self.units.n)
+        self.uses[: self.units.n] += np.bincount(at, minlength=self.units.n)
         n_units = np.array(n_units)
         ids, ends = self.units.take(np.insert(at, n_units[1:], 0))
         return ids, np.concatenate([[0], ends])[n_units + np.arange(len(n_units))]
@@ -213,7 +286,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file. Its tokenizer outlives tasks where Spark keeps workers; its cache must not, see kept()."""
+    """The worker's encoder for a file. Its tokenizer outlives tasks where Spark keeps workers; of its cache only a part may, see kept()."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
@@ -221,12 +294,12 @@ def encoder(path: str) -> Encoder:
 
 
 def kept(rows: Iterator) -> Iterator:
-    """rows of a task that uses encoder(); when they end, the cache is emptied and its memory given back."""
+    """rows of a task that uses encoder(); when they end, the cache keeps frequent units, and other memory is given back."""
     try:
         yield from rows
     finally:
         for e in _ENCODERS.values():
-            e.forget()
+            e.keep()
         trim()
 
 

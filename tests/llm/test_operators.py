@@ -58,6 +58,45 @@ def _same(a, b):
 # Tokens
 
 
+@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
+def test_words_of_letters_go_to_the_model_alone(path):
+    """Words of letters, accented and capital ones too, get the library's ids without the steps before the model."""
+    rng, enc, plain = random.Random(9), units.Encoder(path), ids_of(path)
+    letters = [chr(c) for c in range(65, 256) if re.fullmatch(f"[{units._LETTER}]", chr(c))]
+    words_ = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)] + letters
+    assert enc.bare is not None
+    lead = " " if enc.rule == "before_space" else ""
+    assert enc._encode_words([lead + w for w in words_]).tolist() == [i for w in words_ for i in plain(lead + w)]
+    spec = units.json.loads(open(path, encoding="utf-8").read())
+    spec["added_tokens"] = [{"content": "ab"}]
+    assert units.words_only(enc.tok, spec, enc.rule) is None  # such a word would be found as a token of its own
+
+
+@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
+def test_caches_keep_repeated_units(path, monkeypatch):
+    """Units met repeatedly outlive a task, others don't; ids stay the library's."""
+    enc, plain, learnt = units.Encoder(path), ids_of(path), []
+    inner = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda u: learnt.extend(u) or inner(u))
+    monkeypatch.setitem(units._ENCODERS, path, enc)
+    often, rare = "some words stand here often 12 &&", "others é stand 7 times once"
+
+    def task(texts, end):
+        ids, bounds = enc.encode(texts, end)
+        yield from (ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+    want = lambda texts, end: [plain(t) + [end] for t in texts]
+    assert list(units.kept(task([often, often, rare], 2))) == want([often, often, rare], 2)
+    learnt.clear()
+    assert list(units.kept(task([often, rare, "new " + often], 2))) == want([often, rare, "new " + often], 2)
+    assert learnt and not set(learnt) & set(units.units_of(often, enc.rule)[1:]), learnt
+    monkeypatch.setattr(units, "KEPT_UNITS", 3)
+    assert list(task([often] * 3, 2)) == want([often] * 3, 2)
+    enc.keep()
+    assert enc.units.n == 4 and list(task([often, rare], 2)) == want([often, rare], 2)
+    assert list(task([rare], 5)) == want([rare], 5)  # another end
+
+
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
 def test_units_are_exact(path, monkeypatch):
     monkeypatch.setattr(units, "CACHE_BYTES", 400 * units.UNIT_BYTES + (1 << 18))
